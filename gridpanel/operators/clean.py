@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
+from gridpanel.functions.sizes import broadcast_within
 
 # --- rows ----------------------------------------------------------------------------
 
@@ -74,13 +75,15 @@ def on_spine(panel: DataFrame, spine: DataFrame) -> DataFrame:
     return spine.join(panel, ["series", "ts"], "left").select("series", "ts", "value")
 
 
-def coarse_join(fine: DataFrame, coarse: DataFrame, key: Column, name: str) -> DataFrame:
+def coarse_join(
+    fine: DataFrame, coarse: DataFrame, key: Column, name: str, max_periods: int | None = None
+) -> DataFrame:
     """Attach monthly, daily or yearly columns to finer rows.
 
-    ``coarse`` has one row per calendar period under ``name``; the optimizer
-    broadcasts it while its size is under the session's limit.
+    ``coarse`` has one row per calendar period under ``name``. ``max_periods``
+    is the number of periods in the calendar span, if it is known.
     """
-    return fine.withColumn(name, key).join(coarse, name, "left")
+    return fine.withColumn(name, key).join(broadcast_within(coarse, max_periods), name, "left")
 
 
 def override_series(panel: DataFrame, better: DataFrame) -> DataFrame:
