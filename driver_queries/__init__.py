@@ -2,6 +2,7 @@
 
 from driver_queries import (  # noqa: F401
     clean_queries,
+    describe_queries,
 )
 from driver_queries.registry import ORACLES, QUERIES
 
