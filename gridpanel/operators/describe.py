@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
+from gridpanel.functions.sizes import broadcast_within
 from gridpanel.operators.quantiles import exact_quantiles, value_counts
 
 # --- totals of a row -------------------------------------------------------------------
@@ -113,11 +114,13 @@ def yearly_emissions(long_generation: DataFrame, technology: DataFrame, totals:
     ``long_generation`` is ``year, technology, generation`` and ``totals`` is
     ``year, total_generation_gwh``; the intensity is per thousand.
     """
-    factors = technology.select("technology", "direct_e_tco2_gwh").where("direct_e_tco2_gwh > 0")
+    factors = technology.select("technology", "direct_e_tco2_gwh").where(
+        (F.col("direct_e_tco2_gwh") > 0) & F.col("technology").isin(fv.TECHNOLOGIES)
+    )
     emitted = (
         long_generation.groupBy("year", "technology")
         .agg(F.sum("generation").alias("generation"))
-        .join(F.broadcast(factors), "technology")
+        .join(broadcast_within(factors, len(fv.TECHNOLOGIES)), "technology")
         .groupBy("year")
         .agg(F.sum(F.col("generation") * F.col("direct_e_tco2_gwh")).alias("total_emissions_tco2"))
     )
