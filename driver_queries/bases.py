@@ -28,7 +28,7 @@ CAP = {t: fv.CAPACITY_COLUMN[t] for t in fv.TECHNOLOGIES}
 # sector of each line number
 SECTOR_LINES = {"residential": [1, 2, 3], "commercial": [4, 5], "industrial": [6, 7]}
 BORDER_LINE = {"France": 1, "Portugal": 2, "Morocco": 3}
-DEMAND_SCALE = 0.6
+DEMAND_SCALE = 2.0
 # cost column -> (level, slope, source column)
 COSTS = {
     "cost_coal_eur_gwh": (12000.0, 50000.0, "l_tax"),

@@ -119,12 +119,12 @@ def window_draw(spark, sf_dir):
       SELECT r_name AS scenario, count(*) AS suppliers FROM supplier
       JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1)
     SELECT scenario, i AS iteration, (i - 1) // 100 AS iter_block, suppliers
-    FROM counts, (SELECT unnest(generate_series(1, 2345)) AS i) g""",
+    FROM (SELECT scenario, suppliers, unnest(generate_series(1, suppliers * 25)) AS i FROM counts) g""",
 )
 def iteration_blocks(spark, sf_dir):
-    """Every scenario gets iterations 1..2345 in blocks of 100."""
+    """Every scenario gets 25 iterations per supplier, in blocks of 100."""
     counts = runs(spark, sf_dir, "supplier").groupBy("scenario").agg(F.count("*").alias("suppliers"))
-    return draws.iterations(counts, 2345, block=100)
+    return draws.iterations(counts, F.col("suppliers") * 25, block=100)
 
 
 # --- estimates: monthly means of the last year against the mean of each base year ---------------

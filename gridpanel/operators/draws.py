@@ -17,19 +17,21 @@ JITTER, CONSTANT, NORMAL, KDE = "jitter", "constant", "normal", "kde"
 # --- iterations ------------------------------------------------------------------------
 
 
-def iterations(scenarios: DataFrame, n: int, block: int = 1000) -> DataFrame:
+def iterations(scenarios: DataFrame, n: int | Column, block: int = 1000) -> DataFrame:
     """One row per scenario and iteration 1..n with the scenario's settings.
 
     Unrolled in two steps, so that neither a cross join nor an array of n
     elements is needed; ``iter_block`` numbers the runs of ``block`` iterations.
+    ``n`` may be a column of the scenario table.
     """
-    last = (n - 1) // block
+    total = (n if isinstance(n, Column) else F.lit(n)).cast("bigint")
+    last = F.floor((total - 1) / block)
     blocks = scenarios.withColumn(
-        "iter_block", F.explode(F.sequence(F.lit(0), F.lit(last)))
+        "iter_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     ).repartition("scenario", "iter_block")
     first = F.col("iter_block") * block + 1
     return blocks.withColumn(
-        "iteration", F.explode(F.sequence(first, F.least(first + block - 1, F.lit(n))))
+        "iteration", F.explode(F.sequence(first, F.least(first + block - 1, total)))
     )
 
 
