@@ -4,6 +4,7 @@ from driver_queries import (  # noqa: F401
     clean_queries,
     describe_queries,
     draw_queries,
+    ensemble_queries,
     market_queries,
 )
 from driver_queries.registry import ORACLES, QUERIES
