@@ -6,6 +6,7 @@ from driver_queries import (  # noqa: F401
     draw_queries,
     ensemble_queries,
     market_queries,
+    source_queries,
 )
 from driver_queries.registry import ORACLES, QUERIES
 

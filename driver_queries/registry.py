@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpanel.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -73,7 +75,7 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Query],
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(fn(spark, sf_dir), columns)
+            return present(fn(tune(spark), sf_dir), columns)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -37,12 +37,20 @@ def iterations(scenarios: DataFrame, n: int | Column, block: int = 1000) -> Data
 
 def draw_windows(
     runs: DataFrame, seed: int, base_years: list[int] | None = None,
-    max_day_start: int = fv.MAX_DAY_START,
+    max_day_start: int = fv.MAX_DAY_START, partitions: int | None = None,
 ) -> DataFrame:
-    """Add an equally likely base year and first day to each iteration."""
+    """Add an equally likely base year and first day to each iteration.
+
+    Iterations are placed by their key, in the session's number of shuffle
+    partitions unless another is given. The few bytes here become thousands of
+    hours each, so the number must not be left to the size of this table; all
+    later steps of an iteration stay in its partition.
+    """
     years = fv.BASE_YEARS if base_years is None else base_years
     key = ("scenario", "iteration")
-    return runs.withColumns(
+    if partitions is None:
+        partitions = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(partitions, *key).withColumns(
         {
             "base_year": rnd.choice(rnd.uniform(seed, *key, F.lit("base_year")), years),
             "day_start": rnd.integer_between(

@@ -67,11 +67,10 @@ def calibrate_demand(hours: DataFrame, params: dict[str, float]) -> DataFrame:
 SECTOR_CURVES = [(f"a_{s}", f"b_{s}") for s in fv.SECTORS]
 
 
-def demand_at(price: Column, curves=SECTOR_CURVES) -> Column:
-    """Total demand of all sectors at a price in EUR/GWh; no sector goes below 0."""
-    return scalars.add_up(
-        [F.greatest(F.col(a) - F.col(b) * price, F.lit(0.0)) for a, b in curves]
-    )
+def demand_at(price: str, curves=SECTOR_CURVES) -> Column:
+    """Total demand of all sectors at a price in EUR/GWh, given as an SQL
+    expression; no sector goes below 0."""
+    return F.expr(" + ".join(f"greatest({a} - {b} * ({price}), 0D)" for a, b in curves))
 
 
 def price_at(demand: Column, curves=SECTOR_CURVES) -> Column:
@@ -214,8 +213,8 @@ def clear_market(
         Window.unboundedPreceding, Window.currentRow
     )
 
-    def needed(level: Column) -> Column:
-        return gross * demand_at(gross * level, curves) + F.col("net_export")
+    def needed(level: str) -> Column:
+        return gross * demand_at(f"{gross}D * {level}", curves) + F.col("net_export")
 
     def level_for(supply: Column) -> Column:
         return price_at((supply - F.col("net_export")) / gross, curves) / gross
@@ -226,8 +225,8 @@ def clear_market(
         .withColumn("_must", F.sum("lo").over(whole))
         .withColumn("_upto", F.col("_must") + F.sum(flex).over(stack))
         .withColumn("_below", F.col("_upto") - flex)
-        .withColumn("_need", needed(F.col("mc")))
-        .withColumn("_need0", needed(F.lit(0.0)))
+        .withColumn("_need", needed("mc"))
+        .withColumn("_need0", needed("0D"))
         .withColumn("_hit", F.col("_upto") >= F.col("_need"))
         .withColumn("_over", F.col("_must") >= F.col("_need0"))
         .withColumn(
@@ -240,7 +239,7 @@ def clear_market(
     met = (
         laid.withColumn("_met", F.max(F.when(F.col("_marginal"), at_margin)).over(whole))
         .withColumn("_all", F.max("_upto").over(whole))
-        .withColumn("_need_voll", needed(F.lit(voll)))
+        .withColumn("_need_voll", needed(f"{voll}D"))
     )
     short = F.col("_met").isNull() & ~F.col("_over") & (F.col("_need_voll") > F.col("_all"))
     level = (
@@ -276,89 +275,88 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
     gross = 1.0 + constants.loss
     voll = constants.voll
 
-    def needed(level: Column) -> Column:
-        return gross * demand_at(gross * level) + F.col("net_export")
+    def needed(level: str) -> Column:
+        return gross * demand_at(f"{gross}D * {level}") + F.col("net_export")
 
     def level_for(supply: Column) -> Column:
         return price_at((supply - F.col("net_export")) / gross) / gross
 
-    bounds = {}
+    supply = {}
     for t in fv.TECHNOLOGIES:
         low, high = output_bounds(t, constants.params, hydro)
-        bounds |= {f"_lo_{t}": low, f"_hi_{t}": high, f"_mc_{t}": marginal_cost(t, constants)}
+        supply |= {f"_lo_{t}": low, f"_hi_{t}": high, f"_mc_{t}": marginal_cost(t, constants)}
     given = F.col("battery_charge_gwh") if "battery_charge_gwh" in hours.columns else F.lit(0.0)
-    ready = hours.withColumns(
-        bounds | {"charge": pumping(), "battery_charge": given, "net_export": net_exports()}
+    ready = hours.withColumns(supply | {"charge": pumping(), "battery_charge": given}).withColumn(
+        "net_export", net_exports() + F.col("charge") + F.col("battery_charge")
     )
-    used = F.col("net_export") + F.col("charge") + F.col("battery_charge")
-    ready = ready.withColumn("net_export", used)
-    entries = [
+    # ordered by cost, then by name
+    stack = [
         F.struct(
-            F.col(f"_mc_{t}").alias("mc"),
-            F.lit(t).alias("technology"),
-            (F.col(f"_hi_{t}") - F.col(f"_lo_{t}")).alias("flex"),
-            needed(F.col(f"_mc_{t}")).alias("need"),
+            F.col(f"_mc_{t}").alias("mc"), F.lit(t).alias("technology"),
+            F.expr(f"_hi_{t} - _lo_{t}").alias("flex"), needed(f"_mc_{t}").alias("need"),
         )
         for t in fv.TECHNOLOGIES
     ]
     stacked = ready.withColumns(
         {
-            "_stack": F.array_sort(F.array(*entries)),
-            "_must": scalars.add_up([F.col(f"_lo_{t}") for t in fv.TECHNOLOGIES]),
-            "_need0": needed(F.lit(0.0)),
-            "_need_voll": needed(F.lit(voll)),
+            "_stack": F.sort_array(F.array(*stack)),
+            "_must": F.expr(" + ".join(f"_lo_{t}" for t in fv.TECHNOLOGIES)),
+            "_need0": needed("0D"),
+            "_need_voll": needed(f"{voll}D"),
         }
-    )
+    ).withColumn("_over", F.col("_must") >= F.col("_need0"))
     start = F.struct(
         F.col("_must").alias("supply"),
-        (F.col("_must") >= F.col("_need0")).alias("met"),
+        F.col("_over").alias("met"),
         F.lit(None).cast("double").alias("mc"),
         F.lit(None).cast("string").alias("technology"),
         F.lit(0.0).alias("extra"),
-        F.when(F.col("_must") >= F.col("_need0"), F.lit(0.0)).alias("level"),
+        F.when(F.col("_over"), F.lit(0.0)).alias("level"),
     )
 
     def add_block(m, b):
-        hit = ~m["met"] & (m["supply"] + b["flex"] >= b["need"])
+        after = m["supply"] + b["flex"]
         at_margin = F.when(m["supply"] <= b["need"], b["mc"]).otherwise(level_for(m["supply"]))
-        return F.struct(
-            F.when(m["met"] | hit, m["supply"]).otherwise(m["supply"] + b["flex"]).alias("supply"),
-            (m["met"] | hit).alias("met"),
-            F.when(hit, b["mc"]).otherwise(m["mc"]).alias("mc"),
-            F.when(hit, b["technology"]).otherwise(m["technology"]).alias("technology"),
-            F.when(hit, F.greatest(b["need"] - m["supply"], F.lit(0.0)))
-            .otherwise(m["extra"]).alias("extra"),
-            F.when(hit, at_margin).otherwise(m["level"]).alias("level"),
+        extra = F.greatest(b["need"] - m["supply"], F.lit(0.0))
+        here = F.struct(
+            m["supply"].alias("supply"), F.lit(True).alias("met"), b["mc"].alias("mc"),
+            b["technology"].alias("technology"), extra.alias("extra"), at_margin.alias("level"),
+        )
+        below = F.struct(
+            after.alias("supply"), F.lit(False).alias("met"), m["mc"].alias("mc"),
+            m["technology"].alias("technology"), m["extra"].alias("extra"), m["level"].alias("level"),
         )
+        return F.when(m["met"], m).when(after >= b["need"], here).otherwise(below)
 
     folded = stacked.withColumn("_m", F.aggregate("_stack", start, add_block))
     m = F.col("_m")
     short = ~m["met"] & (F.col("_need_voll") > m["supply"])
-    over = F.col("_must") >= F.col("_need0")
+    level = (
+        F.when(m["met"], m["level"]).when(short, F.lit(voll)).otherwise(level_for(m["supply"]))
+    )
     solved = folded.withColumns(
         {
-            "_level": F.when(m["met"], m["level"]).when(short, F.lit(voll)).otherwise(level_for(m["supply"])),
+            "_level": level,
             "shed": F.when(short, F.col("_need_voll") - m["supply"]).otherwise(0.0),
-            "spill": F.when(over, F.col("_must") - F.col("_need0")).otherwise(0.0),
+            "spill": F.when(F.col("_over"), F.col("_must") - F.col("_need0")).otherwise(0.0),
         }
     )
-    out = {}
-    for t in fv.TECHNOLOGIES:
-        low, high, cost = F.col(f"_lo_{t}"), F.col(f"_hi_{t}"), F.col(f"_mc_{t}")
-        cheaper = (cost < m["mc"]) | ((cost == m["mc"]) & (F.lit(t) < m["technology"]))
-        out[f"q_{t}"] = (
-            F.when(over, low)
-            .when(~m["met"] | cheaper, high)
-            .when(m["technology"] == t, low + m["extra"])
-            .otherwise(low)
-        )
-    for s in fv.SECTORS:
-        out[f"{s}_demand"] = F.greatest(
-            F.col(f"a_{s}") - F.col(f"b_{s}") * gross * F.col("_level"), F.lit(0.0)
+    out = {
+        f"q_{t}": F.expr(
+            f"""CASE WHEN _over THEN _lo_{t}
+                WHEN NOT _m.met OR _mc_{t} < _m.mc
+                  OR (_mc_{t} = _m.mc AND '{t}' < _m.technology) THEN _hi_{t}
+                WHEN _m.technology = '{t}' THEN _lo_{t} + _m.extra
+                ELSE _lo_{t} END"""
         )
+        for t in fv.TECHNOLOGIES
+    }
+    out |= {
+        f"{s}_demand": F.expr(f"greatest(a_{s} - b_{s} * ({gross}D * _level), 0D)") for s in fv.SECTORS
+    }
     out["price"] = gross * F.col("_level") / 1000.0
     out["status"] = _status(F.col("spill") > 0, F.col("shed"))
-    helpers = ["_stack", "_must", "_need0", "_need_voll", "_m", "_level", *bounds]
+    helpers = ["_stack", "_must", "_need0", "_need_voll", "_over", "_m", "_level", *supply]
     return solved.withColumns(out).drop(*helpers)
 
 
