@@ -8,6 +8,7 @@ panel, so the operators run on it unchanged.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_queries.registry import table
@@ -92,11 +93,11 @@ def panel(spark, sf_dir):
     steps = lines(spark, sf_dir).groupBy("ts").agg(
         *[e.alias(n) for n, e in step_measures().items()]
     )
-    month = calendars.year_month("ts")
-    caps = steps.groupBy(month.alias("year_month")).agg(
-        *[F.max(GEN[t]).alias(CAP[t]) for t in fv.TECHNOLOGIES]
+    # a month has at most 124 steps; a window spares the second pass over the lines
+    month = Window.partitionBy("year_month")
+    wide = steps.withColumn("year_month", calendars.year_month("ts")).withColumns(
+        {CAP[t]: F.max(GEN[t]).over(month) for t in fv.TECHNOLOGIES}
     )
-    wide = clean.coarse_join(steps, caps, month, "year_month", MAX_MONTHS)
     wide = wide.withColumn("pumped_hydro_pump_cap_gw", 0.7 * F.col("pumped_hydro_turb_cap_gw"))
     wide = wide.withColumns(
         {f"{t}_cap_factor": scalars.capacity_factor(GEN[t], CAP[t]) for t in FACTORS}

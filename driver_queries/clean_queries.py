@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from driver_queries.bases import MAX_DAYS, PANEL_SQL, lines, panel
+from driver_queries.bases import MAX_DAYS, MAX_MONTHS, PANEL_SQL, lines, panel
 from driver_queries.registry import query, table
 from gridpanel.functions import calendars, scalars
 from gridpanel.operators import clean, fill
@@ -134,7 +134,17 @@ def coarse_join(spark, sf_dir):
 )
 def monthly_capacity_join(spark, sf_dir):
     """A wide monthly table joined to the steps of its month."""
-    return panel(spark, sf_dir)
+    steps = lines(spark, sf_dir).groupBy("ts").agg(
+        *[
+            F.sum(F.when(F.col("technology") == t, F.col("l_quantity")).otherwise(0.0)).alias(f"{t}_gen_gwh")
+            for t in ("wind", "nuclear")
+        ]
+    )
+    month = calendars.year_month("ts")
+    caps = steps.groupBy(month.alias("year_month")).agg(
+        F.max("wind_gen_gwh").alias("wind_cap_gw"), F.max("nuclear_gen_gwh").alias("nuclear_cap_gw")
+    )
+    return clean.coarse_join(steps, caps, month, "year_month", MAX_MONTHS)
 
 
 @query(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# The JVM does not compile generated methods above 8000 bytes of bytecode. Stages
-# over wide panels reach that, so beyond 60 columns operators run one by one,
-# with code that is split into small methods.
+# The JVM does not compile generated methods above 8000 bytes of bytecode; stages
+# over wide panels reach that and would be interpreted. Such stages, and those
+# beyond 60 columns (which also covers reading wide files), run operator by
+# operator, with code that is split into small methods.
 RUNTIME = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.codegen.maxFields": "60",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
