@@ -504,10 +504,13 @@ def capacity_means(spark, sf_dir):
 
 @query(
     "histogram50", "o_orderpriority bin:i n:i low:2 high:2 bin_start:4",
-    """WITH ends AS (SELECT o_orderpriority, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1)
+    """WITH ends AS (SELECT o_orderpriority,
+      min(o_totalprice) - CASE WHEN min(o_totalprice) = max(o_totalprice) THEN 0.5 ELSE 0.0 END AS low,
+      max(o_totalprice) + CASE WHEN min(o_totalprice) = max(o_totalprice) THEN 0.5 ELSE 0.0 END AS high
+      FROM orders GROUP BY 1)
     SELECT e.o_orderpriority, bin, low, high, count(*) AS n, low + bin * ((high - low) / 50) AS bin_start FROM (
       SELECT o.o_orderpriority,
-        coalesce(least(floor((o_totalprice - low) * 50 / nullif(high - low, 0)), 49), 0) AS bin
+        least(floor((o_totalprice - low) * 50 / (high - low)), 49) AS bin
       FROM orders o JOIN ends e ON e.o_orderpriority = o.o_orderpriority) b
     JOIN ends e ON e.o_orderpriority = b.o_orderpriority GROUP BY 1, 2, 3, 4""",
 )

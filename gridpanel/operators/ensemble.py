@@ -240,7 +240,11 @@ def metric_matrix(statistics: DataFrame, scenarios: list[str], missing: str = "-
     wide = long.groupBy("metric").pivot("scenario", scenarios).agg(F.first("value"))
     return wide.select(
         "metric",
-        *[F.coalesce(F.format_string("%.2f", F.col(f"`{s}`")), F.lit(missing)).alias(s) for s in scenarios],
+        *[
+            F.when(F.col(f"`{s}`").isNotNull(), F.format_string("%.2f", F.col(f"`{s}`")))
+            .otherwise(missing).alias(s)
+            for s in scenarios
+        ],
     )
 
 
@@ -316,14 +320,15 @@ def mix_percent(results: DataFrame, columns: dict[str, str]) -> DataFrame:
 def histogram(df: DataFrame, key: str, value: str, bins: int = 50) -> DataFrame:
     """Counts in equal bins between each key's own minimum and maximum.
 
-    The last bin includes the maximum. A key with one distinct value has all of
-    its rows in the first bin.
+    The last bin includes the maximum. A key with one distinct value gets a range
+    of half a unit on both sides of it.
     """
     x = F.col(value)
-    ends = df.groupBy(key).agg(F.min(x).alias("low"), F.max(x).alias("high"))
-    at = F.floor(scalars.ratio((x - F.col("low")) * bins, F.col("high") - F.col("low")))
+    flat = F.when(F.min(x) == F.max(x), 0.5).otherwise(0.0)
+    ends = df.groupBy(key).agg((F.min(x) - flat).alias("low"), (F.max(x) + flat).alias("high"))
+    at = F.floor((x - F.col("low")) * bins / (F.col("high") - F.col("low")))
     placed = df.where(x.isNotNull()).join(ends, key).withColumn(
-        "bin", F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")
+        "bin", F.least(at, F.lit(bins - 1)).cast("int")
     )
     width = (F.col("high") - F.col("low")) / bins
     return (
