@@ -14,6 +14,7 @@ from gridpanel import fixed_values as fv
 from gridpanel import schemas
 from gridpanel.functions import keyed_random as rnd
 from gridpanel.operators import draws, project
+from gridpanel.sources import scratch
 
 SEED = 7
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -172,7 +173,9 @@ def estimates_table(spark, sf_dir):
 
 
 def estimate_points(spark, sf_dir):
-    return draws.long_estimates(estimates_table(spark, sf_dir), BASE)
+    """The estimates are a small stored table; statistics, grids and draws read it."""
+    stored = scratch.landed(estimates_table(spark, sf_dir), "estimates")
+    return draws.long_estimates(stored, BASE)
 
 
 @query(

@@ -12,6 +12,7 @@ from gridpanel import fixed_values as fv
 from gridpanel.functions import keyed_random as rnd
 from gridpanel.functions import scalars
 from gridpanel.operators import checks, ensemble
+from gridpanel.sources import scratch
 
 RUN = ["scenario", "iteration"]
 
@@ -262,6 +263,12 @@ def results(spark, sf_dir):
     return owned_lines(spark, sf_dir).groupBy(*RUN).agg(*[c.alias(n) for n, c in columns.items()])
 
 
+def main_results(spark, sf_dir):
+    """The indicators as a stored table: several statistics read it, the line
+    items are read once."""
+    return scratch.landed(results(spark, sf_dir), "main_results")
+
+
 _WHOLE = _qty_sql(ensemble.PRODUCERS)
 RESULTS_SQL = f"""
 {OWNED_SQL.strip()},
@@ -311,7 +318,7 @@ METRICS = [
     f"WITH {RESULTS_SQL} SELECT * FROM statistics",
 )
 def scenario_stats(spark, sf_dir):
-    return ensemble.scenario_statistics(results(spark, sf_dir), digits=None)
+    return ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None)
 
 
 REGION_COLUMNS = [r.replace(" ", "_") for r in REGIONS]
@@ -332,12 +339,12 @@ def underscored(df):
 )
 def metric_matrix(spark, sf_dir):
     """Two-decimal text per cell, compared as numbers rounded the shared way."""
-    statistics = ensemble.scenario_statistics(results(spark, sf_dir), digits=None)
+    statistics = ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None)
     shifted = statistics.select(
         "scenario", *[(F.col(m) + 0.001234567).alias(m) for m in METRICS]
     )
     wide = underscored(ensemble.metric_matrix(shifted, REGIONS))
-    return wide.select("metric", *[F.col(c).cast("double").alias(c) for c in REGION_COLUMNS])
+    return wide.select("metric", *[F.col(c).try_cast("double").alias(c) for c in REGION_COLUMNS])
 
 
 # --- profiles -----------------------------------------------------------------------------------------------

@@ -148,17 +148,21 @@ def period_profile(
 ) -> DataFrame:
     """Mean per iteration and hour of day (0-23) or month (1-12).
 
-    ``complete`` adds periods without hours, with null means.
+    ``complete`` adds periods without hours, with null means. The few periods of
+    an iteration are laid out in place; the hours are read once and not joined.
     """
     columns = PROFILED if columns is None else columns
     means = hours.groupBy(*RUN, period).agg(*[F.avg(c).alias(n) for n, c in columns.items()])
     if not complete:
         return means
     first, last = PERIODS[period]
-    spine = means.select(*RUN).distinct().withColumn(
-        period, F.explode(F.sequence(F.lit(first), F.lit(last)))
+    entry = F.struct(F.col(period), F.struct(*columns).alias("m"))
+    laid = means.groupBy(*RUN).agg(F.map_from_entries(F.collect_list(entry)).alias("by_period"))
+    every = laid.withColumn(period, F.explode(F.sequence(F.lit(first), F.lit(last))))
+    found = F.try_element_at("by_period", F.col(period))
+    return every.select(*RUN, period, found.alias("m")).select(
+        *RUN, period, *[F.col("m")[n].alias(n) for n in columns]
     )
-    return spine.join(means, [*RUN, period], "left")
 
 
 INPUTS = schemas.PANEL_DEMAND + schemas.PANEL_CAPACITIES + fv.COST_COLUMNS

@@ -1,9 +1,9 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile holds every distinct value of a group in one
-task's memory. Here each group is cut into value ranges at approximate
-quantiles (a sketch of bounded size), the ranges are counted, and only the
-ranges that contain a wanted rank are put in order, each on its own.
+task's memory. Here the distinct values of a group are cut into ranges at
+approximate quantiles (a sketch of bounded size), the ranges are counted, and
+only the ranges that contain a wanted rank are put in order, each on its own.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def _ranged(df: DataFrame, counts: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
+def _ranged(counts: DataFrame, keys: list[str], ranges: int) -> DataFrame:
     """Value counts with the number of the range each value falls into."""
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(value, steps, ranges * 8).alias("cuts")
+    # the condition holds always; with it both readings of the counts are the
+    # same plan up to their shuffle, which Spark then runs once
+    counts = counts.where(F.col("copies") > 0)
+    cuts = counts.groupBy(*keys).agg(
+        F.percentile_approx("value", steps, ranges * 8).alias("cuts")
     )
     # the cuts are sorted, so a value's range is the number of cuts below it;
     # halving steps find it without looking at each cut
@@ -51,7 +54,7 @@ def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], ranges: int = RANGES
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles, named by the dict."""
-    placed = _ranged(df, value_counts(df, keys, value), keys, value, ranges)
+    placed = _ranged(value_counts(df, keys, value), keys, ranges)
     sizes = placed.groupBy(*keys, "range").agg(F.sum("copies").alias("size"))
     in_order = Window.partitionBy(*keys).orderBy("range")
     whole = Window.partitionBy(*keys)
