@@ -328,7 +328,9 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
         )
         return F.when(m["met"], m).when(after >= b["need"], here).otherwise(below)
 
-    folded = stacked.withColumn("_m", F.aggregate("_stack", start, add_block))
+    # generated from a one-element array: a later filter on any result then stops
+    # above this column, where it would otherwise repeat the fold per reference
+    folded = stacked.withColumn("_m", F.explode(F.array(F.aggregate("_stack", start, add_block))))
     m = F.col("_m")
     short = ~m["met"] & (F.col("_need_voll") > m["supply"])
     level = (

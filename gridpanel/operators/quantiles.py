@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 512
+RANGES = 128
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
