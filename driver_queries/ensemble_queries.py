@@ -318,7 +318,7 @@ METRICS = [
     f"WITH {RESULTS_SQL} SELECT * FROM statistics",
 )
 def scenario_stats(spark, sf_dir):
-    return ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None)
+    return ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None, max_scenarios=len(REGIONS))
 
 
 REGION_COLUMNS = [r.replace(" ", "_") for r in REGIONS]
@@ -339,7 +339,7 @@ def underscored(df):
 )
 def metric_matrix(spark, sf_dir):
     """Two-decimal text per cell, compared as numbers rounded the shared way."""
-    statistics = ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None)
+    statistics = ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None, max_scenarios=len(REGIONS))
     shifted = statistics.select(
         "scenario", *[(F.col(m) + 0.001234567).alias(m) for m in METRICS]
     )
@@ -522,7 +522,7 @@ def capacity_means(spark, sf_dir):
     JOIN ends e ON e.o_orderpriority = b.o_orderpriority GROUP BY 1, 2, 3, 4""",
 )
 def histogram50(spark, sf_dir):
-    return ensemble.histogram(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return ensemble.histogram(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", max_keys=5)
 
 
 @query(

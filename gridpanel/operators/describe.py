@@ -204,14 +204,20 @@ def accepted(value: Column | str, below: float = fv.ACCEPTED_BELOW_TWH) -> Colum
 # --- distribution, trend, extremes --------------------------------------------------------------
 
 
-def boxplot_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles and the most distant values within 1.5 quartile ranges."""
-    quartiles = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+def boxplot_stats(
+    df: DataFrame, keys: list[str], value: str, max_groups: int | None = None
+) -> DataFrame:
+    """Quartiles and the most distant values within 1.5 quartile ranges.
+
+    ``max_groups`` is the number of groups if fixed lists bound it.
+    """
+    points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = exact_quantiles(df, keys, value, points, max_groups=max_groups)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     within = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
         value_counts(df, keys, value)
-        .join(quartiles, keys)
+        .join(broadcast_within(quartiles, max_groups), keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.sum("copies").alias("n"),

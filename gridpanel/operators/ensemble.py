@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridpanel import fixed_values as fv
 from gridpanel import schemas
 from gridpanel.functions import calendars, scalars
+from gridpanel.functions.sizes import broadcast_within
 from gridpanel.operators.blocks import with_row_number
 from gridpanel.operators.describe import to_long
 from gridpanel.operators.quantiles import exact_quantiles
@@ -223,13 +224,16 @@ def metric_columns() -> dict[str, Column]:
     }
 
 
-def scenario_statistics(results: DataFrame, digits: int | None = 2) -> DataFrame:
+def scenario_statistics(
+    results: DataFrame, digits: int | None = 2, max_scenarios: int | None = None
+) -> DataFrame:
     """Mean, spread, 5th and 95th percentile, target probability and mean metrics
     per scenario."""
     means = results.groupBy("scenario").agg(*[c.alias(n) for n, c in metric_columns().items()])
     shares = results.select("scenario", percent("share_renewable_gen").alias("share"))
     tails = exact_quantiles(
-        shares, ["scenario"], "share", {"ren_share_p5_pct": 0.05, "ren_share_p95_pct": 0.95}
+        shares, ["scenario"], "share", {"ren_share_p5_pct": 0.05, "ren_share_p95_pct": 0.95},
+        max_groups=max_scenarios,
     )
     table = means.join(tails, "scenario")
     if digits is None:
@@ -321,17 +325,20 @@ def mix_percent(results: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, key: str, value: str, bins: int = 50) -> DataFrame:
+def histogram(
+    df: DataFrame, key: str, value: str, bins: int = 50, max_keys: int | None = None
+) -> DataFrame:
     """Counts in equal bins between each key's own minimum and maximum.
 
     The last bin includes the maximum. A key with one distinct value gets a range
-    of half a unit on both sides of it.
+    of half a unit on both sides of it. ``max_keys`` is the number of keys, if a
+    fixed list bounds it: the rows then need not be shuffled to their key's ends.
     """
     x = F.col(value)
     flat = F.when(F.min(x) == F.max(x), 0.5).otherwise(0.0)
     ends = df.groupBy(key).agg((F.min(x) - flat).alias("low"), (F.max(x) + flat).alias("high"))
     at = F.floor((x - F.col("low")) * bins / (F.col("high") - F.col("low")))
-    placed = df.where(x.isNotNull()).join(ends, key).withColumn(
+    placed = df.where(x.isNotNull()).join(broadcast_within(ends, max_keys), key).withColumn(
         "bin", F.least(at, F.lit(bins - 1)).cast("int")
     )
     width = (F.col("high") - F.col("low")) / bins

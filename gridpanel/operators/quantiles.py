@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpanel.functions.sizes import broadcast_within
+
 RANGES = 128
 
 
@@ -23,7 +25,9 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def _ranged(counts: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+def _ranged(
+    counts: DataFrame, keys: list[str], ranges: int, max_groups: int | None
+) -> DataFrame:
     """Value counts with the number of the range each value falls into."""
     steps = [i / ranges for i in range(1, ranges)]
     # the condition holds always; with it both readings of the counts are the
@@ -47,14 +51,20 @@ def _ranged(counts: DataFrame, keys: list[str], ranges: int) -> DataFrame:
             at + step,
         ).otherwise(at),
     )
-    return counts.join(cuts, keys).withColumn("range", below).drop("cuts")
+    # a row of cuts is an array of the given number of ranges
+    rows = None if max_groups is None else max_groups * ranges // len(cuts.columns) + 1
+    return counts.join(broadcast_within(cuts, rows), keys).withColumn("range", below).drop("cuts")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], ranges: int = RANGES
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float],
+    ranges: int = RANGES, max_groups: int | None = None,
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, named by the dict."""
-    placed = _ranged(value_counts(df, keys, value), keys, ranges)
+    """One row per group with linearly interpolated quantiles, named by the dict.
+
+    ``max_groups`` is the number of groups if fixed lists bound it.
+    """
+    placed = _ranged(value_counts(df, keys, value), keys, ranges, max_groups)
     sizes = placed.groupBy(*keys, "range").agg(F.sum("copies").alias("size"))
     in_order = Window.partitionBy(*keys).orderBy("range")
     whole = Window.partitionBy(*keys)

@@ -12,7 +12,7 @@ from gridpanel.plans.simulate import Ensemble
 def report(run: Ensemble, scenarios: list[str] | None = None) -> dict[str, DataFrame]:
     order = fv.SCENARIO_ORDER if scenarios is None else scenarios
     hourly, monthly, main = run.hourly_profiles, run.monthly_profiles, run.main_results
-    statistics = ensemble.scenario_statistics(main)
+    statistics = ensemble.scenario_statistics(main, max_scenarios=len(order))
     share = ensemble.percent
     generation = {t: f"{t}_gen" for t in ensemble.PRODUCERS}
     capacity = {t: fv.CAPACITY_COLUMN[t] for t in ensemble.PRODUCERS}
@@ -32,8 +32,8 @@ def report(run: Ensemble, scenarios: list[str] | None = None) -> dict[str, DataF
         "capacity_inputs": ensemble.capacity_means(run.inputs_realized),
         "generation_mix": ensemble.mix_percent(main, generation),
         "capacity_mix": ensemble.mix_percent(run.inputs_realized, capacity),
-        "share_histogram": ensemble.histogram(shares, "scenario", "share"),
+        "share_histogram": ensemble.histogram(shares, "scenario", "share", max_keys=len(order)),
         "share_axis": ensemble.axis_range(shares, "share"),
-        "price_histogram": ensemble.histogram(main, "scenario", "avg_price"),
+        "price_histogram": ensemble.histogram(main, "scenario", "avg_price", max_keys=len(order)),
         "price_axis": ensemble.axis_range(main, "avg_price"),
     }
