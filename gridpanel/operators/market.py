@@ -156,8 +156,9 @@ def net_exports() -> Column:
     return scalars.add_up([F.col(f"exports_{b}_gwh") - F.col(f"imports_{b}_gwh") for b in fv.BORDERS])
 
 
-def supply_blocks(hours: DataFrame, constants: Constants, keys: list[str], hydro: str = "profile") -> DataFrame:
-    """Long form: one row per hour and technology with bounds and cost."""
+def supply_blocks(hours: DataFrame, constants: Constants, carried: list[str], hydro: str = "profile") -> DataFrame:
+    """Long form: one row per hour and technology with bounds, cost and the
+    carried columns of the hour."""
     rows = []
     for t in fv.TECHNOLOGIES:
         low, high = output_bounds(t, constants.params, hydro)
@@ -167,7 +168,7 @@ def supply_blocks(hours: DataFrame, constants: Constants, keys: list[str], hydro
                 marginal_cost(t, constants).alias("mc"),
             )
         )
-    return hours.select(*keys, F.explode(F.array(*rows)).alias("b")).select(*keys, "b.*")
+    return hours.select(*carried, F.explode(F.array(*rows)).alias("b")).select(*carried, "b.*")
 
 
 def with_technology(df: DataFrame, technology: DataFrame) -> DataFrame:
@@ -195,13 +196,14 @@ def _status(oversupplied: Column, shed: Column) -> Column:
 
 
 def clear_market(
-    blocks: DataFrame, demand: DataFrame, keys: list[str], loss: float, voll: float,
+    blocks: DataFrame, demand: DataFrame | None, keys: list[str], loss: float, voll: float,
     curves=(("a", "b"),),
 ) -> DataFrame:
     """Merit-order clearing of long supply blocks, one market per key.
 
     ``blocks`` has ``technology, lo, hi, mc`` per key; ``demand`` one row per key
-    with the demand curves and ``net_export``. Output below ``lo`` is must-run.
+    with the demand curves and ``net_export``, or None if the blocks carry these
+    columns, which saves the join. Output below ``lo`` is must-run.
     The rest is taken in the order of cost until supply meets the demand at that
     cost; where demand falls between two blocks the price lies between them.
     Returns the blocks with ``q``, and the market's ``price`` (EUR/MWh),
@@ -221,7 +223,7 @@ def clear_market(
 
     flex = F.col("hi") - F.col("lo")
     laid = (
-        blocks.join(demand, keys)
+        (blocks if demand is None else blocks.join(demand, keys))
         .withColumn("_must", F.sum("lo").over(whole))
         .withColumn("_upto", F.col("_must") + F.sum(flex).over(stack))
         .withColumn("_below", F.col("_upto") - flex)
