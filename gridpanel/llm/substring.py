@@ -200,24 +200,31 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     return kept.groupBy("key", "mark").agg(F.collect_set("place").alias("places"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
-    """``key, text, n_words, n_removed, kept``: each row's kept words, joined by one space."""
-    prepared = _prepared(docs, key, text)
-    found = _repeated(prepared, window).select(F.col("key").alias("k"), F.col("mark").alias("m"), "places")
-    both = prepared.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left")
-    key_type = prepared.schema["key"].dataType.simpleString()
+def without_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, result: str = "dedup"
+) -> DataFrame:
+    """``docs`` with a column ``result``: struct of ``n_words``, ``n_removed`` and ``kept``,
+    the row's kept words joined by one space. Columns of ``docs`` may have any names but
+    that one."""
+    found = _repeated(_prepared(docs, key, text), window).select(F.col("key").alias("k"), F.col("mark").alias("m"), "places")
+    own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(own_text).alias("mark"))
+    both = rows.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left")
+
+    @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
+    def removed(texts: pa.Array, places: pa.Array) -> pa.Array:
+        one = pa.record_batch([texts, places], ["text", "places"])
+        parts = [_removed(part, window) for part in words.slices(one, "text")]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_REMOVED))
+
+    own_text = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
+    return both.select("row.*", removed(own_text, "places").alias(result))
 
-    def run(batches):
-        for batch in batches:
-            for part in words.slices(batch, "text"):
-                yield _removed(part, window)
 
-    return both.select("key", "text", "places").mapInArrow(
-        run, f"key {key_type}, n_words bigint, n_removed bigint, kept string"
-    )
+_REMOVED = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
 
 
-def _removed(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
+def _removed(part: pa.RecordBatch, window: int) -> pa.StructArray:
     data, offsets = words.flat(part.column("text"))
     starts, ends, rows = words.spans(data, offsets, words.SPACED)
     places = part.column("places")
@@ -228,16 +235,13 @@ def _removed(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
     np.add.at(change, first, 1)
     np.add.at(change, first + window, -1)
     stays = np.cumsum(change[:-1]) == 0
-    before = np.concatenate([[0], np.cumsum(stays)])
-    n_kept = before[rows[1:]] - before[rows[:-1]]
+    kept_rows = np.concatenate([[0], np.cumsum(stays)])[rows]
     body, new_starts, new_ends = words.joined(data, offsets, starts[stays], ends[stays])
-    kept_rows = before[rows]
-    from_byte = np.where(n_kept > 0, new_starts[np.minimum(kept_rows[:-1], max(len(new_starts) - 1, 0))] if len(new_starts) else 0, 0)
-    to_byte = np.where(n_kept > 0, new_ends[np.maximum(kept_rows[1:] - 1, 0)] if len(new_ends) else 0, 0)
     raw = body.tobytes()
-    kept = [raw[a:b].decode() for a, b in zip(from_byte.tolist(), to_byte.tolist())]
+    kept = [
+        raw[new_starts[a] : new_ends[b - 1]].decode() if b > a else ""
+        for a, b in zip(kept_rows[:-1].tolist(), kept_rows[1:].tolist())
+    ]
     n_words = np.diff(rows)
-    return pa.RecordBatch.from_arrays(
-        [part.column("key"), pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), pa.array(kept, pa.string())],
-        ["key", "n_words", "n_removed", "kept"],
-    )
+    arrays = [pa.array(n_words), pa.array(n_words - np.diff(kept_rows)), pa.array(kept, pa.string())]
+    return pa.StructArray.from_arrays(arrays, [name for name, _ in _REMOVED])
