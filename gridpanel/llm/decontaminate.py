@@ -206,3 +206,23 @@ def find(
     return joined.mapInArrow(
         run, f"key {key_type}, mark bigint, item {item_type}, score double, first_word bigint, last_word bigint"
     ).distinct()
+
+
+def without_passages(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    n: int = N,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``docs`` without the rows that hold a passage of the benchmark."""
+    found = find(docs, benchmark, key, text, item, item_text, n, threshold)
+    found = landed(found.select(F.col("key").alias("k"), F.col("mark").alias("m")).distinct(), "contaminated")
+    found = _sized(found, found.count())
+    own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(own_text).alias("mark"))
+    held = F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))
+    return rows.join(found, held, "left_anti").select("row.*")

@@ -12,6 +12,13 @@ A list hands on a minimum spanning forest of its links, not its pairs, so a grou
 of near copies costs as many rows as it has members. A list beyond ``LIST`` members
 is cut into cells of two blocks each, so that no task holds all of it.
 
+``similar_groups`` looks for a given share of common shingles (Jaccard). At 0.8, fingerprints
+differ in about 15 bits of 100, too many for a guarantee on 64 bits; so it takes 256 bits
+of the distinct shingles, keeps the index by neighbouring pairs of positions (``ring``, about
+99 of 100 pairs at 0.8 meet in one of its lists), and verifies the links of the forest by
+their shingles. The forest takes the closest pairs first, so a group is held together by
+its most similar members.
+
 Rows with equal fingerprints are one node. Null text counts as empty. A text with
 no words has fingerprint zero, which links like any other. Repeated rows stay; an
 empty table gives an empty result.
@@ -34,6 +41,8 @@ from gridpanel.sources.scratch import landed
 
 LIST = 1024
 ROWS = 1 << 16
+WIDTH = 4  # 64-bit words of a fingerprint that finds similar sets
+STEPS = (1, 5)
 
 
 def cover(positions: int, shared: int) -> list[tuple[int, ...]]:
@@ -67,13 +76,14 @@ def _fingerprint(hashes: np.ndarray, width: int) -> bytes:
         for at in range(0, len(hashes), ROWS):
             h = hashes[at : at + ROWS]
             if w:
-                h = words.mix(h + words.U64(w) * words.BASE)
+                h = words.mix(h + words.U64(w * int(words.BASE) % (1 << 64)))
             ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         out.append(np.packbits(2 * ones > len(hashes)).tobytes())
     return b"".join(out)
 
 
-def _texts_to_fingerprints(texts: pa.Array, shingle: int, width: int) -> Iterator[bytes]:
+def _shingles(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each row's shingles, repeats included; a shorter text is one."""
     data, offsets = words.flat(texts)
     data = words.LOWER[data]
     starts, ends, rows = words.spans(data, offsets, words.SPACED)
@@ -81,25 +91,27 @@ def _texts_to_fingerprints(texts: pa.Array, shingle: int, width: int) -> Iterato
     view, digest = memoryview(body.tobytes()), xxhash.xxh64_intdigest
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
         if a == b:
-            yield bytes(8 * width)
+            yield np.zeros(0, np.uint64)
             continue
         k = min(shingle, b - a)
         first, last = starts[a : b - k + 1].tolist(), ends[a + k - 1 : b].tolist()
-        hashes = np.fromiter((digest(view[s:e], 42) for s, e in zip(first, last)), np.uint64, b - a - k + 1)
-        yield _fingerprint(hashes, width)
+        yield np.fromiter((digest(view[s:e], 42) for s, e in zip(first, last)), np.uint64, b - a - k + 1)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, width: int = 1) -> DataFrame:
-    """``key`` and ``fp`` (8 x width bytes, first bit first) of every row."""
-    picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+def fingerprints(rows: DataFrame, shingle: int, width: int = 1, distinct: bool = False) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and the text's ``fp`` (8 x width bytes, first
+    bit first); ``distinct`` counts each different shingle once."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
             for part in words.slices(batch, "text"):
-                fps = pa.array(list(_texts_to_fingerprints(part.column("text"), shingle, width)), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("key"), fps], ["key", "fp"])
+                hashes = _shingles(part.column("text"), shingle)
+                fps = [_fingerprint(np.unique(h) if distinct else h, width) for h in hashes]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fps, pa.binary())], [*kept, "fp"])
 
-    return picked.mapInArrow(run, f"key {picked.schema['key'].dataType.simpleString()}, fp binary")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{schema}, fp binary")
 
 
 def _matrix(fps: pa.Array, width: int) -> np.ndarray:
@@ -222,7 +234,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("64-bit fingerprints are linked at 0 to 4 bits")
-    marked = landed(fingerprints(docs, key, text, shingle), "fingerprints")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    marked = landed(fingerprints(rows, shingle), "fingerprints")
     nodes = landed(marked.groupBy("fp").agg(F.min("key").alias("key")), "nodes")
     found = links(nodes.select("fp"), cover(8, 4), 8 - max_bits, max_bits)
     groups = connected(found, "a", "b")
@@ -234,3 +247,74 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # of distinct fingerprints; Spark splits the rows of a frequent one.
     by_fp = grouped.join(smallest, "root").select("fp", "component")
     return marked.join(by_fp, "fp").select("key", "fp", "component")
+
+
+def bits_for(similarity: float, bits: int) -> int:
+    """Differing bits that pairs of this Jaccard similarity stay below, but for one in a
+    thousand: mean and three standard deviations."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = np.arccos(min(1.0, cosine)) / np.pi
+    return int(np.ceil(bits * p + 3 * np.sqrt(bits * p * (1 - p))))
+
+
+def similar_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``key, mark, copies, first``: for every key and text (``mark``, its hash), how many
+    rows hold it, and whether it is the first of its group (smallest key, null last)."""
+    own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), own_text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    marked = landed(fingerprints(rows, shingle, WIDTH, distinct=True), "fingerprints")
+    order = F.struct(F.col("key").isNull().alias("late"), "key", "mark")
+    nodes = landed(marked.groupBy("fp").agg(F.min(order).alias("head")), "nodes")
+    met = links(nodes.select("fp"), ring(8 * WIDTH, STEPS), 2, bits_for(similarity, 64 * WIDTH), WIDTH)
+    met = landed(met, "met")
+    ends = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
+    heads = nodes.join(ends, "fp").select("fp", F.col("head.key").alias("k"), F.col("head.mark").alias("m"))
+    texts = rows.join(heads, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))).select("fp", "text")
+    sets = landed(_sets(texts, shingle), "shingles").dropDuplicates(["fp"])
+    both = met.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("of_a")), "a")
+    both = both.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("of_b")), "b")
+
+    @F.arrow_udf("double")
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(common / max(1, len(x) + len(y) - common))
+        return pa.array(out, pa.float64())
+
+    groups = connected(both.where(jaccard("of_a", "of_b") >= similarity), "a", "b")
+    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("head").alias("least"))
+    by_fp = rooted.join(least, "root").select("fp", "least")
+    own = marked.groupBy("fp", "key", "mark").agg(F.count("*").alias("copies"))
+    return own.join(by_fp, "fp").select("key", "mark", "copies", order.eqNullSafe(F.col("least")).alias("first"))
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                hashes = [np.unique(h).tobytes() for h in _shingles(part.column("text"), shingle)]
+                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(hashes, pa.binary())], ["fp", "hashes"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp binary, hashes binary")
+
+
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` without near duplicates: of each group the row with the smallest key stays
+    (of rows equal in key and text, one)."""
+    first = landed(similar_groups(docs, key, text, shingle, similarity).where("first"), "first-of-groups")
+    own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(own_text).alias("mark"))
+
+    def kept(some: DataFrame) -> DataFrame:
+        named = some.select(F.col("key").alias("k"), F.col("mark").alias("m"))
+        return rows.join(named, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left_semi")
+
+    repeated = kept(first.where("copies > 1")).dropDuplicates(["key", "mark"])
+    return kept(first.where("copies = 1")).unionByName(repeated).select("row.*")

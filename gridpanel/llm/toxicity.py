@@ -1,8 +1,9 @@
 """Severity of toxic language by cumulative-link ordinal regression.
 
-Labels say toxic or not. Words that are telling (chi-square of their documents, over all
-labelled rows of the fit) become sparse features, log(1 + count). Toxic rows are graded 1
-to ``GRADES`` by how many telling words they hold, in equal shares; others are grade 0.
+Labels say toxic or not. Words and beginnings of words (``PREFIXES`` bytes) that are telling
+(chi-square of their documents, over all labelled rows of the fit) become sparse features,
+log(1 + count in 100 words). Toxic rows are graded 1 to ``GRADES`` by how many telling
+features they hold in 100 words, in equal shares; others are grade 0.
 One weight vector serves all thresholds: P(grade <= k) = sigmoid(t_k - w x), with rising
 t_k. A document gets the probability of each grade and the expected severity.
 
@@ -25,6 +26,7 @@ from gridpanel.llm import words
 SAMPLE = 20_000
 FEATURES = 256
 MIN_ROWS = 3
+PREFIXES = (4, 5, 6, 7, 8)
 GRADES = 3
 RESULT = "struct<severity:double,grade:int,p_toxic:double,probabilities:array<double>>"
 
@@ -45,32 +47,39 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row of every word and of its beginnings; each row's number of words."""
     data, offsets = words.flat(texts)
     data = words.LOWER[data]
     starts, ends, rows = words.spans(data, offsets, words.ALNUM)
-    return words.word_hashes(data, starts, ends).view(np.int64), rows
-
-
-def _counts(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and count of the features that occur."""
-    hashes, rows = _hashed(texts)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    hashes, at = [words.word_hashes(data, starts, ends)], [row]
+    for n in PREFIXES:
+        longer = np.flatnonzero(ends - starts > n)
+        head = words.word_hashes(data, starts[longer], starts[longer] + n)
+        hashes.append(words.mix(head + words.U64(n)))
+        at.append(row[longer])
+    return np.concatenate(hashes).view(np.int64), np.concatenate(at), np.diff(rows)
+
+
+def _values(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and value of the features that occur."""
+    hashes, row, n_words = _hashed(texts)
     if not len(features) or not len(hashes):
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     at = np.searchsorted(features, hashes)
     at[at == len(features)] = 0
     hit = np.flatnonzero(features[at] == hashes)
-    row = np.searchsorted(rows, hit, side="right") - 1
-    pair, count = np.unique(row * len(features) + at[hit], return_counts=True)
-    return pair // len(features), pair % len(features), count
+    pair, count = np.unique(row[hit] * len(features) + at[hit], return_counts=True)
+    row = pair // len(features)
+    return row, pair % len(features), np.log1p(100 * count / n_words[row])
 
 
 def _distinct_words(sample: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in words.slices(batch, "text"):
-                hashes, rows = _hashed(part.column("text"))
-                row = np.repeat(np.arange(part.num_rows), np.diff(rows))
+                hashes, row, _ = _hashed(part.column("text"))
                 seen = np.unique(np.rec.fromarrays([row, hashes], names="row,word"))
                 toxic = part.column("toxic").take(pa.array(seen["row"].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(seen["word"].astype(np.int64)), toxic], ["word", "toxic"])
@@ -93,7 +102,7 @@ def _telling(sample: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], np.int64))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.05, l2: float = 1e-3):
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 400, rate: float = 0.1, l2: float = 1e-4):
     """Weights and rising thresholds by full-batch Adam on the mean log loss."""
     n = len(x)
     share = np.array([(grades <= k).mean() for k in range(n_grades)]).clip(1e-4, 1 - 1e-4)
@@ -149,21 +158,18 @@ def fit(
     def values(batches):
         for batch in batches:
             for part in words.slices(batch, "text"):
-                row, feature, count = _counts(part.column("text"), features)
-                lengths = np.bincount(row, minlength=part.num_rows)
-                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))],
-                    ["toxic", "feature", "count"],
-                )
-
-    got = rows.mapInArrow(values, "toxic int, feature array<int>, count array<int>").collect()
-    got.sort(key=lambda r: (r["toxic"], r["feature"], r["count"]))
+                row, feature, value = _values(part.column("text"), features)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), *lists], ["toxic", "feature", "value"])
+
+    got = rows.mapInArrow(values, "toxic int, feature array<int>, value array<double>").collect()
+    got.sort(key=lambda r: (r["toxic"], r["feature"], r["value"]))
     x = np.zeros((len(got), len(features)))
     for i, r in enumerate(got):
-        x[i, r["feature"]] = np.log1p(r["count"])
+        x[i, r["feature"]] = r["value"]
     toxic = np.array([r["toxic"] for r in got])
-    held = np.array([sum(r["count"]) for r in got])
+    held = np.expm1(x).sum(1)
     cuts = np.quantile(held[toxic == 1], np.arange(1, GRADES) / GRADES)
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, held, side="left"), 0)
     weights, thresholds = fit_ordinal(x, grades, GRADES)
@@ -178,9 +184,8 @@ def severity(model: Model, text: Column) -> Column:
         one = pa.record_batch([texts], ["text"])
         parts = []
         for part in words.slices(one, "text"):
-            row, feature, count = _counts(part.column("text"), model.features)
-            gain = np.log1p(count) * model.weights[feature] if len(row) else np.zeros(0)
-            parts.append(np.bincount(row, gain, part.num_rows))
+            row, feature, value = _values(part.column("text"), model.features)
+            parts.append(np.bincount(row, value * model.weights[feature], part.num_rows))
         p = model.of_scores(np.concatenate(parts) if parts else np.zeros(0))
         n, k = p.shape
         flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(p.ravel()))
