@@ -98,7 +98,7 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
 
 
 def scan(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, notices=NOTICES, threshold: float = 0.75
+    docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, notices=NOTICES, threshold: float = 0.6
 ) -> DataFrame:
     """One row for each document: ``key, n_words, n_base, first_word, last_word,
     base_labels, labels, score`` and ``spans`` (label, first word, last word, score)."""

@@ -13,6 +13,7 @@ from the score it found there.
 Vectors that are null, empty or hold null or non-finite components take no part, nor do
 null ids. A query sees vectors of its own length only, and not those with its own id;
 rows that repeat an id are candidates one by one, and the smallest vector is the query.
+Scores have to fit in 64 bits.
 An empty table gives an empty result.
 """
 

@@ -26,6 +26,7 @@ from gridpanel.llm import words
 SAMPLE = 20_000
 FEATURES = 256
 MIN_ROWS = 3
+MIN_SCORE = 15.0  # chi-square; chance alone gives this to one word in ten thousand
 PREFIXES = (4, 5, 6, 7, 8)
 GRADES = 3
 RESULT = "struct<severity:double,grade:int,p_toxic:double,probabilities:array<double>>"
@@ -98,7 +99,7 @@ def _telling(sample: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     )
     more = F.col("a") * n_clean > F.col("b") * n_toxic
     picked = counted.where(more & (F.col("a") >= MIN_ROWS)).withColumn("score", score)
-    top = picked.orderBy(F.desc("score"), "word").limit(FEATURES).collect()
+    top = picked.where(F.col("score") >= MIN_SCORE).orderBy(F.desc("score"), "word").limit(FEATURES).collect()
     return np.sort(np.array([r["word"] for r in top], np.int64))
 
 
