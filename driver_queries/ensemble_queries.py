@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries.bases import CAP, LINES_SQL, lines
 from driver_queries.draw_queries import REGIONS, SEED, projected_hours, PROJECTED_SQL, uniform_sql
+from driver_queries.example_market import EMISSIONS
 from driver_queries.market_queries import DISPATCH_SQL, PARAMS, d, dispatched
 from driver_queries.registry import query, table
 from gridpanel import fixed_values as fv
@@ -203,8 +204,7 @@ def period_key_default(spark, sf_dir):
 
 # --- results and profiles read off the line items: suppliers as iterations of their region ----------------
 
-# fixed values: direct emissions of the example technologies used here
-EMITTED = {"coal": 820.0, "combined_cycle": 360.0, "diesel": 820.0}
+EMITTED = EMISSIONS
 
 
 def owned_lines(spark, sf_dir):

@@ -22,7 +22,14 @@ PRODUCERS = fv.NON_RENEWABLE + fv.RENEWABLE
 
 def valid_hours(hours: DataFrame) -> DataFrame:
     """Hours with a price; the others are marked by status, not by a sentinel."""
-    return hours.where(F.col("status").isin("cleared", "shortage", "oversupply"))
+    return hours.where(F.col("status") != "undefined")
+
+
+def status_counts(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """Hours of each status, the undefined ones included, which no other table counts."""
+    return hours.groupBy(*keys).agg(
+        *[F.count_if(F.col("status") == s).alias(f"{s}_hours") for s in ("cleared", "shortage", "oversupply", "undefined")]
+    )
 
 
 def price_stats(hours: DataFrame, keys: list[str], price: str = "price") -> DataFrame:

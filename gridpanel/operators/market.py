@@ -34,7 +34,10 @@ class Constants:
         missing = set(fv.TECHNOLOGIES) - set(by_name)
         if missing or len(rows) != len(fv.TECHNOLOGIES):
             raise ValueError(f"technology table: {len(rows)} rows, missing {sorted(missing)}")
-        return cls(by_name, params.first().asDict())
+        given = params.limit(2).collect()
+        if len(given) != 1:
+            raise ValueError("the parameter table must have exactly one row")
+        return cls(by_name, given[0].asDict())
 
     @property
     def loss(self) -> float:
@@ -189,9 +192,16 @@ def marginal_cost_long(df: DataFrame, technology: DataFrame) -> DataFrame:
 # --- clearing ------------------------------------------------------------------------------------
 
 
-def _status(oversupplied: Column, shed: Column) -> Column:
+STATUSES = ["cleared", "shortage", "oversupply", "undefined"]
+
+
+def _status(known: Column, oversupplied: Column, shed: Column) -> Column:
+    """``undefined`` hours lack an input: they have no price and no quantities."""
     return (
-        F.when(oversupplied, "oversupply").when(shed > 0, "shortage").otherwise("cleared")
+        F.when(~known, "undefined")
+        .when(oversupplied, "oversupply")
+        .when(shed > 0, "shortage")
+        .otherwise("cleared")
     )
 
 
@@ -207,10 +217,12 @@ def clear_market(
     The rest is taken in the order of cost until supply meets the demand at that
     cost; where demand falls between two blocks the price lies between them.
     Returns the blocks with ``q``, and the market's ``price`` (EUR/MWh),
-    ``shed``, ``spill`` and ``status``.
+    ``shed``, ``spill`` and ``status``. A market with a null among its bounds,
+    costs, curves or exports is ``undefined`` and has none of the others.
     """
     gross = 1.0 + loss
     whole = Window.partitionBy(*keys)
+    given = ["lo", "hi", "mc", "net_export", *[c for pair in curves for c in pair]]
     stack = whole.orderBy("mc", "technology").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -258,10 +270,13 @@ def clear_market(
     )
     shed = F.when(short, F.col("_need_voll") - F.col("_all")).otherwise(0.0)
     spill = F.when(F.col("_over"), F.col("_must") - F.col("_need0")).otherwise(0.0)
+    known = ~F.max(scalars.add_up(given).isNull()).over(whole)
+    result = {"q": q, "price": gross * level / 1000.0, "shed": shed, "spill": spill}
     return (
-        met.withColumns({"q": q, "price": gross * level / 1000.0, "shed": shed, "spill": spill})
-        .withColumn("status", _status(F.col("spill") > 0, F.col("shed")))
-        .drop("_must", "_upto", "_below", "_need", "_need0", "_hit", "_over", "_marginal", "_met", "_all", "_need_voll")
+        met.withColumn("_known", known)
+        .withColumns({name: F.when(F.col("_known"), c) for name, c in result.items()})
+        .withColumn("status", _status(F.col("_known"), F.col("spill") > 0, F.col("shed")))
+        .drop("_known", "_must", "_upto", "_below", "_need", "_need0", "_hit", "_over", "_marginal", "_met", "_all", "_need_voll")
     )
 
 
@@ -272,7 +287,8 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
     order and folded in place: nothing is exploded, shuffled or sorted across
     rows. Adds ``q_<technology>``, ``price``, ``shed``, ``spill``, ``status``,
     ``<sector>_demand``, ``charge``, ``battery_charge`` (a supplied profile, 0
-    without one) and ``net_export``, which includes both charges.
+    without one) and ``net_export``, which includes both charges. An hour with a
+    null among its bounds, costs, curves or exports is ``undefined``.
     """
     gross = 1.0 + constants.loss
     voll = constants.voll
@@ -307,6 +323,8 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
             "_need_voll": needed(f"{voll}D"),
         }
     ).withColumn("_over", F.col("_must") >= F.col("_need0"))
+    inputs = [*supply, "net_export", *[c for pair in SECTOR_CURVES for c in pair]]
+    stacked = stacked.withColumn("_known", F.expr(" + ".join(inputs)).isNotNull())
     start = F.struct(
         F.col("_must").alias("supply"),
         F.col("_over").alias("met"),
@@ -340,14 +358,14 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
     )
     solved = folded.withColumns(
         {
-            "_level": level,
-            "shed": F.when(short, F.col("_need_voll") - m["supply"]).otherwise(0.0),
-            "spill": F.when(F.col("_over"), F.col("_must") - F.col("_need0")).otherwise(0.0),
+            "_level": F.when(F.col("_known"), level),
+            "shed": F.when(F.col("_known"), F.when(short, F.col("_need_voll") - m["supply"]).otherwise(0.0)),
+            "spill": F.when(F.col("_known"), F.when(F.col("_over"), F.col("_must") - F.col("_need0")).otherwise(0.0)),
         }
     )
     out = {
         f"q_{t}": F.expr(
-            f"""CASE WHEN _over THEN _lo_{t}
+            f"""CASE WHEN NOT _known THEN NULL WHEN _over THEN _lo_{t}
                 WHEN NOT _m.met OR _mc_{t} < _m.mc
                   OR (_mc_{t} = _m.mc AND '{t}' < _m.technology) THEN _hi_{t}
                 WHEN _m.technology = '{t}' THEN _lo_{t} + _m.extra
@@ -356,11 +374,12 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
         for t in fv.TECHNOLOGIES
     }
     out |= {
-        f"{s}_demand": F.expr(f"greatest(a_{s} - b_{s} * ({gross}D * _level), 0D)") for s in fv.SECTORS
+        f"{s}_demand": F.expr(f"IF(_known, greatest(a_{s} - b_{s} * ({gross}D * _level), 0D), NULL)")
+        for s in fv.SECTORS
     }
     out["price"] = gross * F.col("_level") / 1000.0
-    out["status"] = _status(F.col("spill") > 0, F.col("shed"))
-    helpers = ["_stack", "_must", "_need0", "_need_voll", "_over", "_m", "_level", *supply]
+    out["status"] = _status(F.col("_known"), F.col("spill") > 0, F.col("shed"))
+    helpers = ["_known", "_stack", "_must", "_need0", "_need_voll", "_over", "_m", "_level", *supply]
     return solved.withColumns(out).drop(*helpers)
 
 
@@ -455,8 +474,14 @@ def snapped(hours: DataFrame, columns: list[str], tol: float = fv.SMALL_VALUE) -
     return hours.withColumns({c: scalars.snap_small(c, tol) for c in columns})
 
 
+RESULTS = [
+    *[f"q_{t}" for t in fv.TECHNOLOGIES], *[f"{s}_demand" for s in fv.SECTORS], "shed", "spill", "charge", "battery_charge",
+]
+
+
 def dispatch(hours: DataFrame, constants: Constants, hydro: str = "profile") -> DataFrame:
-    """From projected hours to cleared hours with all accounts."""
+    """From projected hours to cleared hours with all accounts; small results are 0."""
     cleared = clear_hours(calibrate_demand(hours, constants.params), constants, hydro)
+    cleared = snapped(cleared, RESULTS)
     accounted = costs_and_emissions(surplus_and_revenue(cleared), constants)
     return generation_totals(accounted, constants.params)
