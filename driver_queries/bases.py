@@ -21,7 +21,6 @@ RETURN_FLAGS = ["A", "N", "R"]
 # ship dates lie in 1995-01 to 2001-12
 MAX_MONTHS = 84
 MAX_DAYS = 2557
-STEPS_PER_DAY = 4
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000]
 
 GEN = {t: fv.GENERATION_COLUMN[t] for t in fv.TECHNOLOGIES}

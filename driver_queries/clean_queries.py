@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_queries.bases import MAX_DAYS, MAX_MONTHS, PANEL_SQL, lines, panel
@@ -12,9 +11,6 @@ from gridpanel.functions import calendars, scalars
 from gridpanel.operators import clean, fill
 from gridpanel.sources import priority
 
-# the events table covers these hours
-START, END = datetime(2024, 1, 1, 0), datetime(2024, 1, 30, 23)
-
 
 def event_panel(spark, sf_dir):
     """Hourly mean value per event type, gaps left open."""
@@ -25,10 +21,14 @@ def event_panel(spark, sf_dir):
 
 
 def event_spine_panel(spark, sf_dir):
+    """From the first to the last hour of the table for every series, all-null ones too."""
     panel = event_panel(spark, sf_dir)
-    # taken from the aggregated panel, whose shuffle the join below reads again
-    series = panel.where(F.col("value").isNotNull()).select("series").distinct()
-    return clean.on_spine(panel, clean.hourly_spine(series, START, END))
+    spans = panel.groupBy("series").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    everything = Window.partitionBy()  # one row a series
+    listed = spans.select(
+        "series", F.min("first").over(everything).alias("start"), F.max("last").over(everything).alias("end")
+    )
+    return clean.on_spine(panel, clean.hourly_spine(listed, F.col("start"), F.col("end")))
 
 
 HOURLY = """
@@ -38,8 +38,8 @@ hourly AS (
 spine AS (
   SELECT s.series, h.ts
   FROM (SELECT DISTINCT event_type AS series FROM events) s,
-       (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00',
-                                      TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts) h),
+       (SELECT unnest(generate_series((SELECT min(ts) FROM hourly), (SELECT max(ts) FROM hourly),
+                                      INTERVAL 1 HOUR)) AS ts) h),
 panel AS (
   SELECT spine.series, spine.ts, hourly.value
   FROM spine LEFT JOIN hourly ON hourly.series = spine.series AND hourly.ts = spine.ts)
@@ -151,14 +151,15 @@ def monthly_capacity_join(spark, sf_dir):
     "override_join", "series ts:t value:6",
     f"""WITH {HOURLY},
     better AS (SELECT o_orderpriority AS series, o_orderdate AS ts, avg(o_totalprice) AS value
-               FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2),
+               FROM orders GROUP BY 1, 2),
     base AS (SELECT CASE WHEN series = 'click' THEN '1-URGENT' WHEN series = 'view' THEN '2-HIGH'
                          ELSE series END AS series, ts, value FROM panel)
     SELECT * FROM base WHERE series NOT IN (SELECT series FROM better)
     UNION ALL SELECT * FROM better""",
 )
 def override_join(spark, sf_dir):
-    """Two series of the panel are replaced by another source under the same names."""
+    """Two series of the panel are replaced by another source under the same names; its
+    three others are added."""
     renamed = (
         F.when(F.col("series") == "click", "1-URGENT")
         .when(F.col("series") == "view", "2-HIGH")
@@ -167,7 +168,6 @@ def override_join(spark, sf_dir):
     base = event_spine_panel(spark, sf_dir).withColumn("series", renamed)
     better = (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
         .groupBy(
             F.col("o_orderpriority").alias("series"),
             F.col("o_orderdate").cast("timestamp").alias("ts"),
@@ -202,7 +202,10 @@ def override_columns(spark, sf_dir):
 
 DAILY_COST = """
 calendar AS (
-  SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS day),
+  SELECT unnest(generate_series(
+    least((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)),
+    greatest((SELECT max(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)),
+    INTERVAL 1 DAY)) AS day),
 quotes AS (
   SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS cost
   FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5 GROUP BY 1),
@@ -227,9 +230,8 @@ def daily_cost(spark, sf_dir):
         .groupBy("day")
         .agg(F.avg("o_totalprice").alias("cost"))
     )
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date"))).alias("day")
-    )
+    dates = [table(spark, sf_dir, t).select(F.to_date(c).alias("day")) for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+    days = dates[0].unionByName(dates[1]).agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     calendar = days.join(quotes, "day", "left").withColumn("kind", F.lit("cost"))
     dated = calendar.withColumn("block", F.year("day"))
     return fill.ffill_bfill(dated, ["kind"], "day", "block", "cost").select("day", "cost")
@@ -269,17 +271,17 @@ def dedupe_first(spark, sf_dir):
     """WITH tagged AS (
       SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS series, ts,
              CASE WHEN event_type = 'click' AND value > 20 THEN NULL ELSE value END AS value,
-             CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS priority
-      FROM events WHERE event_type IN ('click', 'view', 'signup')),
+             list_position(['click', 'view', 'purchase', 'error', 'signup'], event_type) AS priority
+      FROM events),
     best AS (
       SELECT series, min(priority) AS priority FROM (
         SELECT series, priority, count(value) AS known FROM tagged GROUP BY 1, 2) c
-      WHERE known > 25 OR (priority = 2 AND known > 0) GROUP BY series)
+      WHERE known > 25 OR (priority = 5 AND known > 0) GROUP BY series)
     SELECT t.series, t.ts, coalesce(t.value, 0.0) AS value
     FROM tagged t JOIN best b ON t.series = b.series AND t.priority = b.priority""",
 )
 def prioritized_source(spark, sf_dir):
-    """Clicks if a series has enough of them, else views, else signups."""
+    """Clicks if a series has enough of them, else views, purchases, errors, signups."""
     events = table(spark, sf_dir, "events").withColumn(
         "series", F.concat(F.lit("u"), F.pmod("user_id", F.lit(40)))
     )
@@ -289,7 +291,7 @@ def prioritized_source(spark, sf_dir):
 
     value = F.col("value")
     return priority.prioritized_source(
-        [of("click", F.when(value <= 20, value)), of("view", value), of("signup", value)],
+        [of("click", F.when(value <= 20, value)), *[of(k, value) for k in ("view", "purchase", "error", "signup")]],
         min_non_null=25,
         default=0.0,
     )
@@ -392,12 +394,17 @@ def conditional_rescale(spark, sf_dir):
       SELECT strftime(day, '%m-%d') AS md, level, avg(value / nullif(total, 0)) AS share
       FROM (SELECT *, sum(value) OVER (PARTITION BY day) AS total FROM levels) t GROUP BY 1, 2),
     totals AS (
-      SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1)
-    SELECT t.day, s.level, s.share * t.total AS demand
-    FROM totals t JOIN shares s ON s.md = strftime(t.day, '%m-%d')""",
+      SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+    wanted AS (SELECT t.day, t.total, l.level, s.share FROM totals t JOIN (SELECT DISTINCT level FROM shares) l ON true
+      LEFT JOIN shares s ON s.md = strftime(t.day, '%m-%d') AND s.level = l.level)
+    SELECT day, level, total * coalesce(
+      last_value(share IGNORE NULLS) OVER (PARTITION BY level ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      first_value(share IGNORE NULLS) OVER (PARTITION BY level ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ) AS demand FROM wanted""",
 )
 def class_share_split(spark, sf_dir):
-    """Mean share of each class per calendar day times the day's total."""
+    """Mean share of each class per calendar day times the day's total; a day without a
+    share takes the last one before it, or the next."""
     levels = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
@@ -413,10 +420,8 @@ def class_share_split(spark, sf_dir):
         .groupBy(F.to_date("o_orderdate").alias("day"))
         .agg(F.sum("o_totalprice").alias("total"))
     )
-    return (
-        totals.withColumn("md", F.date_format("day", "MM-dd"))
-        .join(shares, "md")
-        .withColumn("demand", F.col("share") * F.col("total"))
+    return clean.split_by_share(totals, "day", F.date_format("day", "MM-dd"), shares, "md", "level").withColumn(
+        "demand", F.col("share") * F.col("total")
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.bases import LINES_SQL, MAX_DAYS, PANEL_SQL, STEPS_PER_DAY, YEARS, lines, panel
+from driver_queries.bases import LINES_SQL, PANEL_SQL, YEARS, lines, panel
 from driver_queries.registry import query, table
 from gridpanel import fixed_values as fv
 from gridpanel import schemas
@@ -38,7 +38,7 @@ def runs(spark, sf_dir, who="customer"):
     return (
         people.join(table(spark, sf_dir, "nation"), "n_nationkey")
         .join(region, "n_regionkey")
-        .join(settings(spark), "scenario")
+        .join(F.broadcast(settings(spark)), "scenario")  # five fixed rows
         .select(*SETTING_NAMES, "iteration", "n_name")
     )
 
@@ -77,12 +77,17 @@ def normal_sql(*key: str, seed: int = SEED) -> str:
     return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
 
 
-YEAR_LIST = "[" + ", ".join(map(str, YEARS)) + "]"
-WINDOW_COLUMNS_SQL = (
-    f"list_extract({YEAR_LIST}, CAST(least(floor({uniform_sql('scenario', 'iteration', chr(39) + 'base_year' + chr(39))}"
-    f" * {len(YEARS)}), {len(YEARS) - 1}) + 1 AS BIGINT)) AS base_year, "
-    f"CAST(floor({uniform_sql('scenario', 'iteration', chr(39) + 'day_start' + chr(39))} * 21) + 1 AS INTEGER) AS day_start"
-)
+def window_columns_sql(years) -> str:
+    listed = "[" + ", ".join(map(str, years)) + "]"
+    year = uniform_sql("scenario", "iteration", "'base_year'")
+    day = uniform_sql("scenario", "iteration", "'day_start'")
+    return (
+        f"list_extract({listed}, CAST(least(floor({year} * {len(years)}), {len(years) - 1}) + 1 AS BIGINT)) AS base_year, "
+        f"CAST(floor({day} * 21) + 1 AS INTEGER) AS day_start"
+    )
+
+
+WINDOW_COLUMNS_SQL = window_columns_sql(YEARS)
 
 
 # --- draws -------------------------------------------------------------------------------------
@@ -310,16 +315,14 @@ def kde_draw(spark, sf_dir):
 @query(
     "delta_draws", "scenario iteration:i base_year:i day_start:i variable rule delta:6",
     f"""WITH {runs_sql("supplier")}, {ESTIMATES_SQL}, {STATS_SQL}, {GRID_SQL},
-    windows AS (SELECT scenario, iteration, base_year, day_start FROM (
-      SELECT scenario, iteration, {WINDOW_COLUMNS_SQL} FROM runs) w WHERE base_year <= {BASE[-1]}),
+    windows AS (SELECT scenario, iteration, {window_columns_sql(BASE)} FROM runs),
     {DRAWN_SQL.format(on="r.base_year = w.base_year")}
     SELECT scenario, iteration, base_year, day_start, variable, rule, delta FROM drawn""",
 )
 def delta_draws(spark, sf_dir):
     """Windows, distributions and draws of every variable for each supplier."""
     windows = (
-        draws.draw_windows(runs(spark, sf_dir, "supplier"), SEED, YEARS)
-        .where(F.col("base_year") <= BASE[-1])
+        draws.draw_windows(runs(spark, sf_dir, "supplier"), SEED, BASE)
         .select("scenario", "iteration", "base_year", "day_start")
     )
     known = draws.distributions(estimate_points(spark, sf_dir))
@@ -396,7 +399,7 @@ def wide_draws(spark, sf_dir):
 
 def sampled_hours(spark, sf_dir):
     return project.expand(
-        panel(spark, sf_dir), wide_draws(spark, sf_dir), max_panel_rows=MAX_DAYS * STEPS_PER_DAY
+        panel(spark, sf_dir), wide_draws(spark, sf_dir), strategy="broadcast"
     )
 
 
@@ -469,7 +472,7 @@ def full_year_projection(spark, sf_dir):
     """The whole base year instead of a week per month."""
     hours = project.expand(
         panel(spark, sf_dir), wide_draws(spark, sf_dir),
-        max_panel_rows=MAX_DAYS * STEPS_PER_DAY, window_days=None,
+        strategy="broadcast", window_days=None,
     )
     demand = F.col("residential_demand_gwh") + F.col("commercial_demand_gwh") + F.col("industrial_demand_gwh")
     return project.project(hours, VARIABLES).groupBy("scenario", "iteration", "month").agg(

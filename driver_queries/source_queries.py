@@ -95,6 +95,7 @@ def monthly_capacity(spark, sf_dir):
 HYDRO_COLUMNS = {
     "click": "Hydro Run-of-river and poundage", "view": "Hydro Water Reservoir",
     "signup": "Hydro Pumped Storage_Actual Aggregated", "error": "Hydro Pumped Storage_Actual Consumption",
+    "purchase": "Geothermal",  # a column the reader has to pass over
 }
 
 
@@ -107,14 +108,14 @@ HYDRO_COLUMNS = {
     hourly AS (SELECT chunk, date_trunc('hour', ts) AS datetime,
       avg(CASE WHEN event_type = 'click' THEN value END) AS r, avg(CASE WHEN event_type = 'view' THEN value END) AS c,
       avg(CASE WHEN event_type = 'signup' THEN value END) AS g, avg(CASE WHEN event_type = 'error' THEN value END) AS p
-      FROM chunks WHERE event_type <> 'purchase' GROUP BY 1, 2)
+      FROM chunks GROUP BY 1, 2)
     SELECT datetime, r AS run_of_river_hydro_gen_mwh, c AS conventional_hydro_gen_mwh,
       coalesce(g, 0.0) AS pumped_hydro_gen_mwh, coalesce(p, 0.0) AS pumped_hydro_consumption_mwh
     FROM (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY chunk) AS rn FROM hourly) r WHERE rn = 1""",
 )
 def hydro_feed(spark, sf_dir):
     """Two chunks overlap for two days; in the overlap the first one counts."""
-    events = table(spark, sf_dir, "events").where(F.col("event_type") != "purchase")
+    events = table(spark, sf_dir, "events")
     day = F.dayofmonth("ts")
     first = events.where(day <= 16).withColumn("chunk", F.lit(1))
     second = events.where(day >= 15).withColumn("chunk", F.lit(2)).withColumn("value", F.col("value") + 1000)
@@ -175,14 +176,14 @@ def price_scan(spark, sf_dir):
 
 @query(
     "incremental_write", "scenario iteration:i iter_block:i total_generation:2 rerun",
-    f"""WITH {RESULTS_SQL} SELECT scenario, iteration, (iteration - 1) // 20 AS iter_block,
-      CASE WHEN (iteration - 1) // 20 = 1 THEN total_generation * 2 ELSE total_generation END AS total_generation,
-      (iteration - 1) // 20 = 1 AS rerun FROM results WHERE iteration > 0""",
+    f"""WITH {RESULTS_SQL} SELECT scenario, iteration + 1 AS iteration, iteration // 20 AS iter_block,
+      CASE WHEN iteration // 20 = 1 THEN total_generation * 2 ELSE total_generation END AS total_generation,
+      iteration // 20 = 1 AS rerun FROM results""",
 )
 def incremental_write(spark, sf_dir):
     """All blocks are written, then one block again with other numbers."""
-    rows = results(spark, sf_dir).where(F.col("iteration") > 0).select(
-        "scenario", "iteration", "total_generation", F.lit(False).alias("rerun")
+    rows = results(spark, sf_dir).select(
+        "scenario", (F.col("iteration") + 1).alias("iteration"), "total_generation", F.lit(False).alias("rerun")
     )
     path = scratch.new_path(spark, "incremental_write")
     tables.write_iterations(rows, path, 20)

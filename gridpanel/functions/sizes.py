@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 128 * 1024 * 1024
-BYTES_PER_CELL = 16
 
+def broadcast_within(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """Hint a broadcast where the caller states how many rows there can be.
 
-def broadcast_within(df: DataFrame, max_rows: int | None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if ``max_rows`` rows of this width stay under the limit.
-
-    ``max_rows`` must follow from how the table is built (a calendar, a fixed
-    list), not from a guess about data. Without it, or above the limit, the
-    table goes unhinted and the join shuffles unless Spark measures it as small.
+    ``max_rows`` must follow from how the table is built (a calendar, a fixed list),
+    not from a guess about data. Without it the plan is left to adaptive execution,
+    which broadcasts by measured size.
     """
-    if max_rows is None or max_rows * len(df.columns) * BYTES_PER_CELL > limit:
-        return df
-    return F.broadcast(df)
+    return df if max_rows is None else F.broadcast(df)

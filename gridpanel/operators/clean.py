@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
 from gridpanel.functions.sizes import broadcast_within
+from gridpanel.operators import fill
 
 # --- rows ----------------------------------------------------------------------------
 
@@ -224,3 +225,18 @@ def level_shares(levels: DataFrame, keys: list[str], level: str, value: str, pos
         .groupBy(position, level)
         .agg(F.avg(scalars.ratio(F.col(value), F.col("_total"))).alias("share"))
     )
+
+
+def split_by_share(
+    totals: DataFrame, time: str, position_of: Column, shares: DataFrame, position: str, level: str
+) -> DataFrame:
+    """Every time and level with the level's ``share`` at that calendar position; a
+    position without one takes the last share before it, or the next one after.
+
+    The levels are a handful of names; they travel as one array on one row.
+    """
+    names = shares.agg(F.collect_set(level).alias("_levels")).withColumn("_one", F.lit(1))
+    listed = totals.withColumn("_one", F.lit(1)).join(F.broadcast(names), "_one")
+    wanted = listed.select(*totals.columns, position_of.alias(position), F.explode("_levels").alias(level))
+    joined = wanted.join(shares, [position, level], "left").withColumn("_block", F.year(time))
+    return fill.ffill_bfill(joined, [level], time, "_block", "share").drop("_block")

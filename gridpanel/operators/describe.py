@@ -227,9 +227,10 @@ def boxplot_stats(
     )
 
 
-def trend(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
-    """Least-squares line of y on x per key."""
-    return df.groupBy(*keys).agg(
+def trend(df: DataFrame, keys: list[str], y: str, x: str, until=None) -> DataFrame:
+    """Least-squares line of y on x per key, over the points with x up to ``until``."""
+    fitted = df if until is None else df.where(F.col(x) <= until)
+    return fitted.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
     )
 

@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
-from gridpanel.functions.sizes import broadcast_within
 
 SALTS = 32
 
 
 def expand(
-    panel: DataFrame, draws: DataFrame, max_panel_rows: int | None = None,
+    panel: DataFrame, draws: DataFrame, strategy: str = "broadcast",
     window_days: int | None = fv.WINDOW_DAYS, salts: int = SALTS,
 ) -> DataFrame:
     """Each iteration's hours: its base year, and in every month the days from
     ``day_start`` on (``window_days=None``: the whole year).
 
-    Days are listed on the draw, which makes it a plain equi join. A panel whose
-    calendar bounds it is broadcast, so that iterations stay where they are. A
-    larger panel is copied ``salts`` times and iterations are dealt over the
-    copies, since a handful of (year, day) keys would otherwise hold all rows.
+    Days are listed on the draw, which makes it a plain equi join. ``strategy`` is
+    the caller's: ``"broadcast"`` for a panel of a few years of hours, which leaves
+    iterations where they are; ``"salted"`` for a panel too large for that, which is
+    copied ``salts`` times with iterations dealt over the copies, since a handful of
+    (year, day) keys would otherwise hold all rows.
     """
+    if strategy not in ("broadcast", "salted"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     keyed = draws
     on = ["year"]
     if window_days is not None:
@@ -31,9 +33,8 @@ def expand(
         keyed = keyed.withColumn("day", F.explode(F.sequence(F.col("day_start"), last)))
         on = ["year", "day"]
     keyed = keyed.withColumn("year", F.col("base_year"))
-    hinted = broadcast_within(panel, max_panel_rows)
-    if hinted is not panel:
-        return keyed.join(hinted, on)
+    if strategy == "broadcast":
+        return keyed.join(F.broadcast(panel), on)
     copies = panel.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = keyed.withColumn(
         "salt", F.pmod(F.xxhash64("scenario", "iteration"), F.lit(salts)).cast("int")

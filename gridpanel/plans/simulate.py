@@ -16,7 +16,6 @@ SETTINGS = [
     "scenario", "elas_anomaly", "hydro_anomaly", "coal_phase_out", "nuclear_phase_out",
     "climate_demand", "batt_cap_multiplier", "ren_cap_multiplier",
 ]
-HOURS_OF_YEAR = 8784
 FIRST_STOCK = (0.2, 0.6)
 
 
@@ -59,7 +58,7 @@ def cleared_hours(
     variables = draws.fanned_variables()
     past = panel.where(F.col("year").isin(base_years))
     hours = project.project(
-        project.expand(past, drawn, len(base_years) * HOURS_OF_YEAR, window_days), variables
+        project.expand(past, drawn, "broadcast", window_days), variables
     )
     if hydro == "bounds":
         hours = checks.with_bundle(hours, ensemble.RUN, "ts")
@@ -90,12 +89,17 @@ def run_ensemble(
     """Draw, project, clear and summarise ``n`` iterations per scenario.
 
     Four tables read the cleared hours, so these are written once, in blocks of
-    iterations, to ``path`` or the session's shared folder, and read from there.
+    iterations, to ``path`` or the session's shared folder, and read from there. A
+    run that is started again on the same ``path`` goes on after its last block.
     """
     years = fv.BASE_YEARS if base_years is None else base_years
     constants = market.Constants.load(technology, params)
     drawn = draw_ensemble(scenarios, estimates, n, seed, years)
-    hours = cleared_hours(panel, drawn, constants, seed, years, window_days)
     target = path or scratch.new_path(panel.sparkSession, "cleared_hours")
-    tables.write_iterations(hours, target, block)
+
+    def hours_of(first: int, last: int) -> DataFrame:
+        some = drawn.where(F.col("iteration").between(first, last))
+        return cleared_hours(panel, some, constants, seed, years, window_days)
+
+    tables.write_blocks(panel.sparkSession, hours_of, target, n, block)
     return result_tables(tables.read_results(panel.sparkSession, target), drawn)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a session without one, as in tests,
-    gets a temporary folder of its own, which it then keeps."""
+    """The folder that the driver and all executors share."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gridpanel-")
-        spark.conf.set(SETTING, folder)
+        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
     return folder
 
 

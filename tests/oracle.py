@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -15,6 +16,9 @@ import duckdb
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from gridpanel.sources import scratch  # noqa: E402
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -25,6 +29,7 @@ def session(cores: int = 8, partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("gridpanel-tests")
+        .config(scratch.SETTING, tempfile.mkdtemp(prefix="gridpanel-"))  # one machine, so it is shared
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

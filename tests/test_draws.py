@@ -138,8 +138,8 @@ def test_scenario_rules_and_fan_out(spark):
     assert only == {"renewable_waste_cap_gw"}
 
 
-@pytest.mark.parametrize("bound", [None, 100])
-def test_expand_picks_whole_windows(spark, bound):
+@pytest.mark.parametrize("strategy", ["broadcast", "salted"])
+def test_expand_picks_whole_windows(spark, strategy):
     from gridpanel.operators import project
 
     panel = spark.sql(
@@ -150,9 +150,9 @@ def test_expand_picks_whole_windows(spark, bound):
         [("a", 1, 2020, 21), ("a", 2, 2021, 1), ("b", 1, 2020, 5)],
         "scenario string, iteration int, base_year int, day_start int",
     )
-    got = project.expand(panel, drawn, bound, salts=4).toPandas()
+    got = project.expand(panel, drawn, strategy, salts=4).toPandas()
     assert len(got) == 3 * 7 * 12 * 4 and not got.duplicated(["scenario", "iteration", "ts"]).any()
     assert (got["year"] == got["base_year"]).all()
     assert ((got["day"] >= got["day_start"]) & (got["day"] < got["day_start"] + 7)).all()
-    whole = project.expand(panel, drawn, bound, window_days=None, salts=4)
+    whole = project.expand(panel, drawn, strategy, window_days=None, salts=4)
     assert whole.count() == (366 * 2 + 365) * 4

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driver_queries.bases import panel
-from driver_queries.market_queries import CONSTANTS, LOSS, PARAMS, VOLL
+from driver_queries.example_market import PARAMS
+from driver_queries.market_queries import CONSTANTS, LOSS, VOLL
 from gridpanel import fixed_values as fv
 from gridpanel.operators import market
 from tests.oracle import sf_path

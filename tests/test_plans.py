@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from driver_queries.bases import panel as line_panel
-from driver_queries.market_queries import PARAMS, TECHNOLOGY_ROWS
+from driver_queries.example_market import PARAMS, TECHNOLOGY_ROWS
 from gridpanel import fixed_values as fv
 from gridpanel import schemas
+from gridpanel.operators import market
 from gridpanel.plans import history, report, simulate
 from gridpanel.sources import tables
 from tests.oracle import sf_path
@@ -151,3 +152,34 @@ def test_scenario_files(spark, tmp_path):
     assert {(r["scenario"], r["iteration"], r["v"]) for r in got.collect()} == {
         ("climate change", 1, None), ("climate change", 2, 2.5), ("nuclear", 1, 1.0)
     }
+
+
+def test_blocks_survive_a_failed_run(spark, tmp_path):
+    path, asked = str(tmp_path / "blocks"), []
+
+    def rows_of(first, last):
+        asked.append((first, last))
+        if first == 7 and len(asked) < 4:
+            raise RuntimeError("lost")
+        return spark.range(first, last + 1).selectExpr("'a b' AS scenario", "CAST(id AS INT) AS iteration")
+
+    with pytest.raises(RuntimeError):
+        tables.write_blocks(spark, rows_of, path, 10, block=3)
+    assert tables.finished_blocks(spark, path) == {0, 1}
+    assert tables.write_blocks(spark, rows_of, path, 10, block=3) == [2, 3]
+    assert asked == [(1, 3), (4, 6), (7, 9), (7, 9), (10, 10)]
+    assert sorted(r["iteration"] for r in tables.read_results(spark, path).collect()) == list(range(1, 11))
+
+
+def test_a_report_is_one_file(spark, tmp_path):
+    path = tmp_path / "report"
+    tables.export_csv(spark.createDataFrame([("x", 1.5), ("y", None)], "name string, value double"), str(path))
+    files = list(path.glob("*.csv"))
+    assert len(files) == 1 and sorted(files[0].read_text().split()) == ["name,value", "x,1.5", "y,NA"]
+
+
+def test_parameters_are_one_row(spark):
+    technology = spark.createDataFrame(TECHNOLOGY_ROWS, schemas.TECHNOLOGY)
+    params = spark.createDataFrame(pd.DataFrame([PARAMS, PARAMS]))
+    with pytest.raises(ValueError, match="one row"):
+        market.Constants.load(technology, params)
