@@ -380,6 +380,7 @@ def profiles(spark, sf_dir, period):
         (F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 20.0).alias("price"),
         *[_qty(ts).alias(n) for n, ts in NAMED.items()],
         *[_linestatus(ts, s).alias(n) for n, (ts, s) in FLOWS.items()],
+        scalars.add_up([_qty([t]) * e for t, e in EMITTED.items()]).alias("emissions"),
         scalars.ratio(_qty(fv.RENEWABLE), _qty(ensemble.PRODUCERS)).alias("ren_share"),
     )
 
@@ -391,6 +392,7 @@ profiles AS (
   SELECT scenario, iteration, {period}(ts) AS {period}, avg(l_extendedprice / l_quantity) / 20.0 AS price,
     {", ".join(f"{_qty_sql(ts)} AS {n}" for n, ts in NAMED.items())},
     {", ".join(f"{_linestatus_sql(ts, s)} AS {n}" for n, (ts, s) in FLOWS.items())},
+    {" + ".join(f"{_qty_sql([t])} * {e}" for t, e in EMITTED.items())} AS emissions,
     {_qty_sql(fv.RENEWABLE)} / nullif({_WHOLE}, 0) AS ren_share
   FROM owned GROUP BY 1, 2, 3)
 """
@@ -422,6 +424,36 @@ def renewable_share_monthly(spark, sf_dir):
     )
 
 
+@query(
+    "emission_profiles", "hour:i " + " ".join(f"{c}:2" for c in REGION_COLUMNS),
+    f"WITH {profiles_sql('hour')} SELECT hour, {_by_region('emissions')} FROM profiles GROUP BY 1",
+)
+def emission_profiles(spark, sf_dir):
+    hourly = profiles(spark, sf_dir, "hour")
+    return underscored(ensemble.mean_profiles_wide(hourly, "hour", "emissions", REGIONS))
+
+
+SHOWN = ["EUROPE", "ASIA", "AFRICA"]
+
+
+@query(
+    "scenario_order", "scenario place:i n:i",
+    f"""WITH {RESULTS_SQL}, counted AS (SELECT scenario, count(*) AS n FROM results GROUP BY 1)
+    SELECT scenario, n, row_number() OVER (ORDER BY CASE scenario
+      {" ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(SHOWN, 1))} ELSE {len(SHOWN) + 1} END, scenario) AS place
+    FROM counted""",
+)
+def scenario_order(spark, sf_dir):
+    """A report's rows: some scenarios in a fixed order, the others behind them by name."""
+    counted = results(spark, sf_dir).groupBy("scenario").agg(F.count("*").alias("n"))
+    return numbered(ensemble.ordered(counted, "scenario", SHOWN))
+
+
+def numbered(report):
+    """Row numbers of a report of a few rows, in the order it has."""
+    return report.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -455,6 +487,18 @@ def mix_with_residual(spark, sf_dir):
     return ensemble.mix_with_residual(profiles(spark, sf_dir, "month"), "month")
 
 
+@query(
+    "mix_hourly", "scenario hour:i " + " ".join(f"{c}:4" for c in [*MIX, "other_renewable", "other_non_renewable"]),
+    f"""WITH {profiles_sql("hour")}, m AS (
+      SELECT scenario, hour, {", ".join(f"avg({c}) AS {c}" for c in [*MIX, "ren_gen", "non_ren_gen"])}
+      FROM profiles GROUP BY 1, 2)
+    SELECT *, greatest(ren_gen - solar_pv - wind - conv_hydro, 0.0) AS other_renewable,
+      greatest(non_ren_gen - ccgt - nuclear - cogen, 0.0) AS other_non_renewable FROM m""",
+)
+def mix_hourly(spark, sf_dir):
+    return ensemble.mix_with_residual(profiles(spark, sf_dir, "hour"), "hour")
+
+
 @query(
     "storage_profile", "hour:i " + " ".join(f"{c}_{f}:4" for c in REGION_COLUMNS for f in FLOWS),
     f"WITH {profiles_sql('hour')} SELECT hour, "
@@ -468,6 +512,18 @@ def storage_profile(spark, sf_dir):
     return underscored(ensemble.storage_profile(profiles(spark, sf_dir, "hour"), REGIONS, signed=True))
 
 
+@query(
+    "storage_profile_unsigned", "hour:i " + " ".join(f"{c}_{f}:4" for c in REGION_COLUMNS for f in FLOWS),
+    f"WITH {profiles_sql('hour')} SELECT hour, "
+    + ", ".join(
+        f"avg(CASE WHEN scenario = '{r}' THEN {f} END) AS {c}_{f}" for r, c in zip(REGIONS, REGION_COLUMNS) for f in FLOWS
+    )
+    + " FROM profiles GROUP BY 1",
+)
+def storage_profile_unsigned(spark, sf_dir):
+    return underscored(ensemble.storage_profile(profiles(spark, sf_dir, "hour"), REGIONS))
+
+
 # wind is asked for under a name the results lack, so it counts as 0 and drops out
 MIX_COLUMNS = {t: f"{t}_gen" for t in ensemble.PRODUCERS} | {"wind": "wind_generation"}
 

@@ -362,7 +362,12 @@ def axis_range(df: DataFrame, value: str, margin: float = 0.05) -> DataFrame:
     return ends.select((F.col("lo") - pad).alias("axis_low"), (F.col("hi") + pad).alias("axis_high"))
 
 
+def position_in(column: str, order: list[str]) -> Column:
+    """Place of a name in a fixed order, from 1; unknown names come last."""
+    position = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column))
+    return F.when(position == 0, len(order) + 1).otherwise(position)
+
+
 def ordered(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Rows in a fixed order of names, unknown names last."""
-    position = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(column))
-    return df.orderBy(F.when(position == 0, len(order) + 1).otherwise(position), column)
+    return df.orderBy(position_in(column, order), column)
