@@ -8,8 +8,11 @@ A window is ``window`` consecutive words of one document. Three steps:
    sketch is one bit a cell, which Spark broadcasts: ``CELLS_A_WINDOW`` cells for
    each window, up to ``MAX_CELLS`` (a bound in bytes; beyond it the sketch lets
    more windows through, it loses none).
-2. Windows estimated at two or more are counted exactly, by a 128-bit hash, with
-   partial counts before the shuffle. Those that do occur again cover their words.
+2. Windows estimated at two or more are counted exactly, by a 128-bit hash. A task first
+   groups its own: a window that it holds twice is settled there, and one row for each
+   different window goes through the shuffle, with its place if it still needs one. So a
+   passage of a third of all documents costs a row a task. Windows that occur again cover
+   their words.
 3. Each document drops its covered words.
 
 Windows are judged on the input, not on what is left; two copies in one document
@@ -35,6 +38,7 @@ MIN_CELLS = 1 << 20
 MAX_CELLS = 1 << 30
 REGION = 1 << 20
 ROWS = 2
+GROUPED = 1 << 21
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -170,9 +174,12 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     del parts
     sketch = spark.sparkContext.broadcast(bits)
     key_type = prepared.schema["key"].dataType.simpleString()
+    names = ["h1", "h2", "key", "mark", "n", "places"]
+    schema = f"h1 bigint, h2 bigint, key {key_type}, mark bigint, n int, places array<int>"
 
     def run(batches):
         table = sketch.value
+        found, n = [], 0
         for batch in batches:
             for part in words.slices(batch, "text"):
                 first, second, row, place, _ = _windows(part, window, second=True)
@@ -182,22 +189,69 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
                     estimated &= (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(estimated)
                 rows = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key").take(rows),
-                        part.column("mark").take(rows),
-                        pa.array(place[at].astype(np.int32)),
-                        pa.array(first[at].view(np.int64)),
-                        pa.array(second[at].view(np.int64)),
-                    ],
-                    ["key", "mark", "place", "h1", "h2"],
-                )
-
-    estimated = prepared.mapInArrow(run, f"key {key_type}, mark bigint, place int, h1 bigint, h2 bigint")
-    counted = estimated.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    # A frequent passage's places meet one row each here; Spark splits such a key.
-    kept = estimated.join(counted, ["h1", "h2"])
-    return kept.groupBy("key", "mark").agg(F.collect_set("place").alias("places"))
+                found.append((first[at], second[at], place[at], part.column("key").take(rows), part.column("mark").take(rows)))
+                n += len(at)
+                if n >= GROUPED:
+                    yield from grouped(found)
+                    found, n = [], 0
+        if n:
+            yield from grouped(found)
+
+    def grouped(found):
+        h1, h2, place = (np.concatenate([x[i] for x in found]) for i in range(3))
+        key, mark = (pa.concat_arrays([x[i] for x in found]) for i in (3, 4))
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        count = np.diff(np.concatenate([head, [len(a)]]))
+        one = pa.array(order[head])
+        single = np.where(count == 1, 1, 0)
+        ends = pa.array(np.concatenate([[0], np.cumsum(single)]).astype(np.int32))
+        places = pa.ListArray.from_arrays(ends, pa.array(place[order[head[count == 1]]].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a[head].view(np.int64)), pa.array(b[head].view(np.int64)), key.take(one), mark.take(one), pa.array(np.minimum(count, 2).astype(np.int32)), places],
+            names,
+        )
+        # places that are settled, by document; they travel under the document's own hash
+        settled = np.sort(order[np.repeat(count, count) > 1])
+        if len(settled):
+            marks = mark.to_numpy()
+            new = marks[settled[1:]] != marks[settled[:-1]]
+            new |= place[settled[1:]] < place[settled[:-1]]
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            ends = pa.array(np.concatenate([starts, [len(settled)]]).astype(np.int32))
+            heads = settled[starts]
+            own = pa.array(heads)
+            yield pa.RecordBatch.from_arrays(
+                [mark.take(own), pa.array(place[heads]), key.take(own), mark.take(own), pa.array(np.zeros(len(heads), np.int32)),
+                 pa.ListArray.from_arrays(ends, pa.array(place[settled].astype(np.int32)))],
+                names,
+            )
+
+    def again(batches):
+        rest = None
+        for batch in batches:
+            table = batch if rest is None else pa.concat_batches([rest, batch])
+            h = np.stack([table.column(i).to_numpy() for i in (0, 1)])
+            turns = np.flatnonzero((h[:, 1:] != h[:, :-1]).any(0)) + 1
+            last = int(turns[-1]) if len(turns) else 0
+            yield repeats(table.slice(0, last), np.concatenate([[0], turns[:-1]]) if last else turns)
+            rest = table.slice(last)
+        if rest is not None:
+            yield repeats(rest, np.zeros(1, np.int64))
+
+    def repeats(table, heads):
+        n = table.column("n").to_numpy()
+        keep = n == 0
+        if len(n):
+            sums = np.add.reduceat(n, heads)
+            keep |= np.repeat(sums, np.diff(np.concatenate([heads, [len(n)]]))) > 1
+        rows = table.filter(pa.array(keep & (table.column("places").value_lengths().to_numpy() > 0)))
+        return pa.RecordBatch.from_arrays([rows.column(c) for c in ("key", "mark", "places")], ["key", "mark", "places"])
+
+    estimated = prepared.mapInArrow(run, schema).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+    kept = estimated.mapInArrow(again, f"key {key_type}, mark bigint, places array<int>")
+    return kept.groupBy("key", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def without_repeats(
