@@ -204,11 +204,6 @@ def ordered_projection(df: DataFrame, order: list[str], on_missing: str = "raise
     return df.select(*[F.col(f"`{c}`") for c in order if c in df.columns])
 
 
-def columns_like(df: DataFrame, *marks: str) -> list[str]:
-    """Column names that contain one of the marks, in table order."""
-    return [c for c in df.columns if any(m in c for m in marks)]
-
-
 # --- demand by voltage level -----------------------------------------------------------------
 
 

@@ -61,11 +61,6 @@ def monthly_capacity(payloads: DataFrame, names: dict[int, str] | None = None) -
     return clean.monthly_sum(named)
 
 
-def wide_capacity(capacity: DataFrame, names: list[str]) -> DataFrame:
-    """One row per month, one column per capacity."""
-    return capacity.groupBy("year_month").pivot("series", names).agg(F.first("value"))
-
-
 def matching_column(columns: list[str], marks: list[str]) -> str | None:
     """First column whose name contains all marks."""
     return next((c for c in columns if all(m in c for m in marks)), None)
