@@ -17,9 +17,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/gridpanel/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path nothing else writes to."""
-    return f"{shared_folder(spark)}/gridpanel/{name}-{uuid.uuid4().hex}"
+    """A path nothing else writes to, in a folder of the application's own."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has landed. Tables that were read from there are
+    lazy, so this is for the end of the application, or of the work on its results."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
