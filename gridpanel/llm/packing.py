@@ -46,14 +46,14 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int, longest
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = tokenizer(path).ids
+        encode = tokenizer(path).batch
         for batch in batches:
-            for part in words.slices(batch, "text", 1 << 20):
-                data, offsets = words.flat(part.column("text"))
-                raw, bounds = data.tobytes(), offsets.tolist()
+            for part in words.slices(batch, "text"):
+                found, bounds = encode(*words.flat(part.column("text")))
+                raw, bounds = found.astype("<u4").tobytes(), (4 * bounds).tolist()
                 row, start, total, crc, ids = [], [], [], [], []
                 for i in range(part.num_rows):
-                    doc = encode(raw[bounds[i] : bounds[i + 1]]) + end
+                    doc = raw[bounds[i] : bounds[i + 1]] + end
                     for at in range(0, len(doc), 4 * longest):
                         piece = doc[at : at + 4 * longest]
                         row.append(i)

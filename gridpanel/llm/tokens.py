@@ -1,9 +1,10 @@
-"""Token ids by the ``tokenizers`` library, word by word through a bounded cache.
+"""Token ids by the ``tokenizers`` library, part by part through a bounded cache.
 
 For tokenizers that split at white space and drop it, a text's ids are its words'
-ids end to end. Words of plain letters, digits and signs are split and lower-cased
-here by the tokenizer's own pattern, so that its merges alone remain to be run; any
-other word goes through the whole tokenizer.
+ids end to end. Words of plain letters and signs are cut and lower-cased here as the
+tokenizer's own pattern does it, for a whole batch at once, so that its merges alone
+remain to be run, once for each different part of the batch that is not in the cache.
+Other words go through the pattern, or the whole tokenizer, one by one.
 """
 
 from __future__ import annotations
@@ -11,15 +12,27 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
-WORDS_KEPT = 400_000
+from gridpanel.llm import words
+
+PARTS_KEPT = 800_000
 
 # The split pattern of the word-level vocabulary, for ASCII and the
 # letters of Latin-1, which NFC leaves as they are.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+# Kinds of bytes: white space, letters (ASCII and, by their two bytes, Latin-1), signs;
+# 3, a word that is not cut here: digits, apostrophes, "<", control and all other bytes.
+SPACE, LETTER, SIGN, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[0x21:0x7F] = SIGN
+KINDS[~words.SPACED] = SPACE
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = LETTER
+KINDS[[*range(0x30, 0x3A), 0x27, 0x3C]] = OTHER
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -43,9 +56,9 @@ class Generations(dict):
 
 
 class WordTokenizer:
-    """``ids(text bytes)``: little-endian unsigned 32-bit ids of a whole text."""
+    """Little-endian unsigned 32-bit ids of whole texts."""
 
-    def __init__(self, path: str, words_kept: int = WORDS_KEPT):
+    def __init__(self, path: str, parts_kept: int = PARTS_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -53,9 +66,9 @@ class WordTokenizer:
         shape = json.loads(self.whole.to_str())
         self.plain = self._is_plain(shape)
         self.model = self.whole.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.parts = Generations(self._part, words_kept)
-        self.words = Generations(self._word, words_kept)
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.parts = Generations(self._run, parts_kept)
 
     @staticmethod
     def _is_plain(shape: dict) -> bool:
@@ -72,19 +85,67 @@ class WordTokenizer:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        text = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.shown))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, run: bytes) -> bytes:
+        """A run of letters or signs, or a word that was not cut."""
+        if run.isalpha():  # of bytes: ASCII letters only
+            return self._part(run.decode())
+        text = run.decode()
+        if LETTERS.fullmatch(text):
+            return self._part(text)
         if not PLAIN.fullmatch(text):
             return self._encoded(text)
-        return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        return b"".join(map(self._part, PARTS.findall(text.lower())))
 
-    def ids(self, text: bytes) -> bytes:
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie end to end (see ``words.flat``), and their offsets."""
         if not self.plain:
-            return self._encoded(text.decode())
-        return b"".join(map(self.words.__getitem__, text.split()))
+            raw = data.tobytes()
+            each = [self._encoded(raw[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            return np.frombuffer(b"".join(each), "<u4"), np.cumsum([0, *[len(x) // 4 for x in each]])
+        kind, lower = KINDS[data], words.LOWER[data]
+        second = np.zeros(len(data), bool)
+        second[1:] = data[:-1] == 0xC3
+        kind[second & ((data == 0x97) | (data == 0xB7))] = OTHER  # the signs for times and divided by
+        lower[second & (data >= 0x80) & (data <= 0x9E)] += 0x20
+        starts, ends, _ = words.spans(data, offsets, words.SPACED)
+        others = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(kind == OTHER, out=others[1:])
+        uncut = others[ends] > others[starts]
+        inside = words.runs(starts[uncut], (ends - starts)[uncut])
+        kind[inside] = OTHER
+        lower[inside] = data[inside]
+        near = np.zeros(len(data) + 1, np.uint8)
+        near[1:] = kind
+        near[offsets] = SPACE
+        starts = np.flatnonzero((kind != SPACE) & (kind != near[:-1]))
+        near[:-1] = kind
+        near[offsets] = SPACE
+        ends = np.flatnonzero((kind != SPACE) & (kind != near[1:])) + 1
+        rows = np.searchsorted(starts, offsets)
+        first, which = _distinct(words.word_hashes(lower, starts, ends))
+        raw = lower.tobytes()
+        found = [self.parts[raw[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        counts = sizes[which]
+        ids = flat[words.runs((np.cumsum(sizes) - sizes)[which], counts)]
+        return ids, np.concatenate([[0], np.cumsum(counts)])[rows]
+
+    def ids(self, text: bytes) -> bytes:
+        return self.batch(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].astype("<u4").tobytes()
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each different hash, and which of these each hash is."""
+    order = np.argsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 _LOADED: dict[str, WordTokenizer] = {}
