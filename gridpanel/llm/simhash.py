@@ -40,6 +40,7 @@ from gridpanel.llm.components import connected
 from gridpanel.sources.scratch import landed
 
 LIST = 1024
+LINKS = 1 << 18
 ROWS = 1 << 16
 WIDTH = 4  # 64-bit words of a fingerprint that finds similar sets
 STEPS = (1, 5)
@@ -165,7 +166,7 @@ def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> np.ndarra
 
 def _list_links(m: np.ndarray, ends: np.ndarray, min_shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a forest over sorted lists; ends: for each row, the end of its list."""
-    n, found = len(m), []
+    n, found, held = len(m), [], 0
     wide = np.ascontiguousarray(m).view(np.uint64)
     active = np.arange(n)
     for step in range(1, n):
@@ -177,11 +178,17 @@ def _list_links(m: np.ndarray, ends: np.ndarray, min_shared: int, max_bits: int)
         shared = (differ.view(np.uint8).reshape(len(active), -1) == 0).sum(1)
         good = (shared >= min_shared) & (bits <= max_bits)
         found.append((active[good], active[good] + step, bits[good]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held += int(good.sum())
+        if held > LINKS:  # a forest of what is there keeps the memory bounded
+            found = [_reduced(found, n)]
+            held = len(found[0][0])
+    return _reduced(found, n)[:2] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _reduced(found: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]:
     a, b, bits = (np.concatenate(x) for x in zip(*found))
     kept = _forest(a, b, bits, n)
-    return a[kept], b[kept]
+    return a[kept], b[kept], bits[kept]
 
 
 def links(nodes: DataFrame, groups: list[tuple[int, ...]], min_shared: int, max_bits: int, width: int = 1) -> DataFrame:

@@ -7,13 +7,17 @@ A window is ``window`` consecutive words of one document. Three steps:
    cell is never below its true count. Only "two or more" matters, so the merged
    sketch is one bit a cell, which Spark broadcasts: ``CELLS_A_WINDOW`` cells for
    each window, up to ``MAX_CELLS`` (a bound in bytes; beyond it the sketch lets
-   more windows through, it loses none).
-2. Windows estimated at two or more are counted exactly, by a 128-bit hash. A task first
-   groups its own: a window that it holds twice is settled there, and one row for each
+   more windows through, it loses none). A second sketch, half as large, counts only
+   the windows that the first lets through, by other cells.
+2. Windows estimated at two or more by both are counted exactly, by a 96-bit hash. A task first
+   groups its own: a window that it holds twice is settled there, and one entry for each
    different window goes through the shuffle, with its place if it still needs one. So a
-   passage of a third of all documents costs a row a task. Windows that occur again cover
-   their words.
-3. Each document drops its covered words.
+   passage of a third of all documents costs an entry a task. Entries travel packed, in
+   buckets by their hash, one for about ``BUCKET`` words of the corpus. Windows that occur again cover their
+   words.
+3. Each document drops its covered words. Where no more than ``BROADCAST_ROWS``
+   documents have any, their keys are broadcast and the other texts are not shuffled;
+   beyond that all are.
 
 Windows are judged on the input, not on what is left; two copies in one document
 count. A row's windows belong to its key and text, so equal rows share their result
@@ -32,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm import words
+from gridpanel.sources.scratch import landed
 
 CELLS_A_WINDOW = 4
-MIN_CELLS = 1 << 20
+MIN_CELLS = 1 << 21
 MAX_CELLS = 1 << 30
 REGION = 1 << 20
 ROWS = 2
-GROUPED = 1 << 21
+GROUPED = 1 << 19
+SKETCHED = 1 << 21
+BUCKET = 1 << 21
+BROADCAST_ROWS = 1_000_000
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,24 +71,42 @@ def _windows(part: pa.RecordBatch, window: int, base: np.uint64 = words.WORD_BAS
     return first, other, row, at - rows[row], rows
 
 
-def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each window in each row of the sketch (a power of two of cells)."""
+def _cells(hashes: np.ndarray, cells: int, turn: int = 0) -> list[np.ndarray]:
+    """The cell of each window in each row of a sketch (a power of two of cells)."""
     half = np.uint64(cells // ROWS - 1)
-    return [(hashes & half) + np.uint64(0), ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) >> np.uint64(1) & half) + half + np.uint64(1)]
+    if turn:
+        hashes = words.mix(hashes + words.U64(turn))
+    return [hashes & half, (hashes >> np.uint64(33) & half) + half + np.uint64(1)]
 
 
-def _sketch(docs: DataFrame, window: int, cells: int) -> DataFrame:
+def _estimated(hashes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Places of the windows that every sketch puts at two or more."""
+    at = np.arange(len(hashes))
+    for turn, bits in enumerate(sketches):
+        for row in range(ROWS):
+            cell = _cells(hashes[at], 8 * len(bits), turn)[row].astype(np.int64)
+            at = at[(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
+    return at
+
+
+def _sketch(docs: DataFrame, window: int, cells: int, before) -> DataFrame:
     """``region, ones, twos``: for each region of cells, which were hit once and which
-    more often, as one task saw it."""
+    more often, as one task saw it. ``before``: broadcasts of the sketches so far."""
 
     def packed(seen: list[np.ndarray]):
-        cell = np.sort(np.concatenate(seen))
-        value, first, count = np.unique(cell, return_index=True, return_counts=True)
-        region = value // REGION
+        cell = np.concatenate(seen)
+        cell.sort()
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        value = cell[new]
+        more = np.zeros(len(cell) + 1, bool)
+        more[:-1] = ~new
+        twice = more[np.flatnonzero(new) + 1]
+        region = value // np.uint32(REGION)
         bounds = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            low = (value[a:b] % REGION).astype(np.int64)
-            again = count[a:b] > 1
+            low = (value[a:b] % np.uint32(REGION)).astype(np.int64)
+            again = twice[a:b]
             yield int(region[a]), _deltas(low[~again]), _deltas(low[again])
 
     def batch_of(rows):
@@ -90,14 +116,15 @@ def _sketch(docs: DataFrame, window: int, cells: int) -> DataFrame:
         )
 
     def run(batches):
-        seen, n = [], 0
+        seen, n, earlier = [], 0, [b.value for b in before]
         for batch in batches:
             for part in words.slices(batch, "text"):
                 hashes, _ = _windows(part, window)
-                for cell in _cells(hashes, cells):
+                hashes = hashes[_estimated(hashes, earlier)]
+                for cell in _cells(hashes, cells, len(earlier)):
                     seen.append(cell.astype(np.uint32))
                 n += len(hashes)
-                if n >= 4 << 20:
+                if n >= SKETCHED:
                     yield batch_of(list(packed(seen)))
                     seen, n = [], 0
         if n:
@@ -139,8 +166,8 @@ def _merged(sketches: DataFrame) -> DataFrame:
     return sketches.groupBy("region").applyInArrow(merge, "region bigint, bits binary")
 
 
-def _size(docs: DataFrame, window: int) -> int:
-    """Cells of the sketch: a power of two that follows the number of windows."""
+def _size(docs: DataFrame) -> tuple[int, int]:
+    """Cells of the sketch, a power of two that follows the number of words, and buckets."""
 
     def run(batches):
         for batch in batches:
@@ -155,7 +182,7 @@ def _size(docs: DataFrame, window: int) -> int:
     cells = MIN_CELLS
     while cells < min(CELLS_A_WINDOW * total, MAX_CELLS):
         cells *= 2
-    return cells
+    return cells, max(16, total // BUCKET)
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
@@ -166,36 +193,32 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     spark = prepared.sparkSession
-    cells = _size(prepared, window)
-    parts = {r["region"]: r["bits"] for r in _merged(_sketch(prepared, window, cells)).toLocalIterator()}
-    bits = np.zeros(cells // 8, np.uint8)
-    for region, part in parts.items():
-        bits[region * REGION // 8 : (region + 1) * REGION // 8] = np.frombuffer(part, np.uint8)
-    del parts
-    sketch = spark.sparkContext.broadcast(bits)
+    cells, buckets = _size(prepared)
+    shared: list = []
+    for share in (1, 2):
+        bits = np.zeros(cells // share // 8, np.uint8)
+        for r in _merged(_sketch(prepared, window, cells // share, list(shared))).toLocalIterator():
+            bits[r["region"] * REGION // 8 : (r["region"] + 1) * REGION // 8] = np.frombuffer(r["bits"], np.uint8)
+        shared.append(spark.sparkContext.broadcast(bits))
     key_type = prepared.schema["key"].dataType.simpleString()
-    names = ["h1", "h2", "key", "mark", "n", "places"]
-    schema = f"h1 bigint, h2 bigint, key {key_type}, mark bigint, n int, places array<int>"
+    schema = f"bucket bigint, h1 binary, h2 binary, n binary, place binary, mark binary, key array<{key_type}>"
+    names = ["bucket", "h1", "h2", "n", "place", "mark", "key"]
 
     def run(batches):
-        table = sketch.value
+        sketches = [b.value for b in shared]
         found, n = [], 0
         for batch in batches:
             for part in words.slices(batch, "text"):
                 first, second, row, place, _ = _windows(part, window, second=True)
-                estimated = np.ones(len(first), bool)
-                for cell in _cells(first, cells):
-                    cell = cell.astype(np.int64)
-                    estimated &= (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-                at = np.flatnonzero(estimated)
+                at = _estimated(first, sketches)
                 rows = pa.array(row[at])
-                found.append((first[at], second[at], place[at], part.column("key").take(rows), part.column("mark").take(rows)))
+                found.append((first[at], second[at].astype(np.uint32), place[at], part.column("key").take(rows), part.column("mark").take(rows)))
                 n += len(at)
                 if n >= GROUPED:
-                    yield from grouped(found)
+                    yield grouped(found)
                     found, n = [], 0
         if n:
-            yield from grouped(found)
+            yield grouped(found)
 
     def grouped(found):
         h1, h2, place = (np.concatenate([x[i] for x in found]) for i in range(3))
@@ -204,54 +227,50 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
         a, b = h1[order], h2[order]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         count = np.diff(np.concatenate([head, [len(a)]]))
-        one = pa.array(order[head])
-        single = np.where(count == 1, 1, 0)
-        ends = pa.array(np.concatenate([[0], np.cumsum(single)]).astype(np.int32))
-        places = pa.ListArray.from_arrays(ends, pa.array(place[order[head[count == 1]]].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a[head].view(np.int64)), pa.array(b[head].view(np.int64)), key.take(one), mark.take(one), pa.array(np.minimum(count, 2).astype(np.int32)), places],
-            names,
-        )
-        # places that are settled, by document; they travel under the document's own hash
+        # one entry for each window, and one for each place that is settled (n = 0)
         settled = np.sort(order[np.repeat(count, count) > 1])
-        if len(settled):
-            marks = mark.to_numpy()
-            new = marks[settled[1:]] != marks[settled[:-1]]
-            new |= place[settled[1:]] < place[settled[:-1]]
-            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
-            ends = pa.array(np.concatenate([starts, [len(settled)]]).astype(np.int32))
-            heads = settled[starts]
-            own = pa.array(heads)
-            yield pa.RecordBatch.from_arrays(
-                [mark.take(own), pa.array(place[heads]), key.take(own), mark.take(own), pa.array(np.zeros(len(heads), np.int32)),
-                 pa.ListArray.from_arrays(ends, pa.array(place[settled].astype(np.int32)))],
-                names,
-            )
-
-    def again(batches):
-        rest = None
-        for batch in batches:
-            table = batch if rest is None else pa.concat_batches([rest, batch])
-            h = np.stack([table.column(i).to_numpy() for i in (0, 1)])
-            turns = np.flatnonzero((h[:, 1:] != h[:, :-1]).any(0)) + 1
-            last = int(turns[-1]) if len(turns) else 0
-            yield repeats(table.slice(0, last), np.concatenate([[0], turns[:-1]]) if last else turns)
-            rest = table.slice(last)
-        if rest is not None:
-            yield repeats(rest, np.zeros(1, np.int64))
-
-    def repeats(table, heads):
-        n = table.column("n").to_numpy()
-        keep = n == 0
-        if len(n):
-            sums = np.add.reduceat(n, heads)
-            keep |= np.repeat(sums, np.diff(np.concatenate([heads, [len(n)]]))) > 1
-        rows = table.filter(pa.array(keep & (table.column("places").value_lengths().to_numpy() > 0)))
-        return pa.RecordBatch.from_arrays([rows.column(c) for c in ("key", "mark", "places")], ["key", "mark", "places"])
-
-    estimated = prepared.mapInArrow(run, schema).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    kept = estimated.mapInArrow(again, f"key {key_type}, mark bigint, places array<int>")
-    return kept.groupBy("key", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
+        at = np.concatenate([order[head], settled])
+        n = np.concatenate([np.minimum(count, 2), np.zeros(len(settled), np.int64)]).astype(np.uint8)
+        spread = np.where(n > 0, h1[at], mark.to_numpy().view(np.uint64)[at]) % np.uint64(buckets)
+        by_bucket = np.lexsort((at, spread))  # by document within a bucket, which packs well
+        at, n, spread = at[by_bucket], n[by_bucket], spread[by_bucket]
+        edges = np.concatenate([[0], np.flatnonzero(spread[1:] != spread[:-1]) + 1, [len(at)]])
+        columns = [h1[at], h2[at], n, place[at].astype(np.int32), mark.to_numpy()[at]]
+        packed = [pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()) for c in columns]
+        keys = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), key.take(pa.array(at)))
+        first = pa.array(spread[edges[:-1]].astype(np.int64))
+        return pa.RecordBatch.from_arrays([first, *packed, keys], names)
+
+    def again(bucket: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        kinds = (np.uint64, np.uint32, np.uint8, np.int32, np.int64)
+        h1, h2, n, place, mark = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in zip(names[1:6], kinds)
+        )
+        key = table.column("key").combine_chunks().flatten()
+        counted = np.flatnonzero(n > 0)
+        counted = counted[np.lexsort((h2[counted], h1[counted]))]
+        a, b = h1[counted], h2[counted]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else counted
+        sums = np.add.reduceat(n[counted].astype(np.int64), head) if len(a) else head
+        repeated = np.repeat(sums, np.diff(np.concatenate([head, [len(a)]]))) > 1
+        placed = np.concatenate([np.flatnonzero(n == 0), counted[repeated & (n[counted] == 1)]])
+        owner = key.dictionary_encode().indices.fill_null(-1).to_numpy()
+        placed = placed[np.lexsort((place[placed], owner[placed], mark[placed]))]
+        m, o = mark[placed], owner[placed]
+        heads = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])])) if len(m) else placed
+        ends = pa.array(np.concatenate([heads, [len(m)]]).astype(np.int32))
+        own = pa.array(placed[heads])
+        places = pa.ListArray.from_arrays(ends, pa.array(place[placed]))
+        yield pa.RecordBatch.from_arrays([key.take(own), pa.array(mark).take(own), places], ["key", "mark", "places"])
+
+    entries = prepared.mapInArrow(run, schema)
+    kept = entries.groupBy("bucket").applyInArrow(again, f"key {key_type}, mark bigint, places array<int>")
+    found = kept.groupBy("key", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = landed(found, "repeats")
+    for sketch in shared:  # they have done their work; what is stored needs them no more
+        sketch.unpersist()
+    return found
 
 
 def without_repeats(
@@ -263,7 +282,14 @@ def without_repeats(
     found = _repeated(_prepared(docs, key, text), window).select(F.col("key").alias("k"), F.col("mark").alias("m"), "places")
     own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(own_text).alias("mark"))
-    both = rows.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left")
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))
+    if found.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(found.select("k", "m"))
+        without = rows.join(keys, same, "left_anti").withColumn("places", F.lit(None).cast("array<int>"))
+        held = rows.join(keys, same, "left_semi").join(found, same)
+        both = held.select("row", "places").unionByName(without.select("row", "places"))
+    else:
+        both = rows.join(found, same, "left")
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def removed(texts: pa.Array, places: pa.Array) -> pa.Array:

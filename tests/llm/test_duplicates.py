@@ -116,6 +116,13 @@ def test_equal_rows_repeat_each_other(spark):
     assert sorted(r["dedup"]["n_removed"] for r in substring.without_repeats(frame).collect()) == [0, 40, 40]
 
 
+def test_many_repeats_are_joined_without_a_broadcast(spark, monkeypatch, hard_rows):
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    found = substring.without_repeats(spark.createDataFrame(hard_rows, SCHEMA), window=5)
+    got = [(r["doc_id"], r["dedup"]["n_words"], r["dedup"]["n_removed"], r["dedup"]["kept"]) for r in found.collect()]
+    assert sorted(got) == sorted(brute.without_repeats(hard_rows, 5))
+
+
 def test_sketch_never_counts_too_little(spark, monkeypatch, hard_rows):
     monkeypatch.setattr(substring, "MIN_CELLS", 1 << 10)
     monkeypatch.setattr(substring, "MAX_CELLS", 1 << 10)
