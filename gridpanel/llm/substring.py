@@ -46,6 +46,7 @@ ROWS = 2
 GROUPED = 1 << 19
 SKETCHED = 1 << 21
 BUCKET = 1 << 21
+LEAST_BUCKETS = 64
 BROADCAST_ROWS = 1_000_000
 
 
@@ -182,7 +183,7 @@ def _size(docs: DataFrame) -> tuple[int, int]:
     cells = MIN_CELLS
     while cells < min(CELLS_A_WINDOW * total, MAX_CELLS):
         cells *= 2
-    return cells, max(16, total // BUCKET)
+    return cells, max(LEAST_BUCKETS, total // BUCKET)
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
@@ -269,7 +270,7 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     found = kept.groupBy("key", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
     found = landed(found, "repeats")
     for sketch in shared:  # they have done their work; what is stored needs them no more
-        sketch.unpersist()
+        sketch.destroy()
     return found
 
 
