@@ -47,6 +47,7 @@ GROUPED = 1 << 19
 SKETCHED = 1 << 21
 BUCKET = 1 << 21
 LEAST_BUCKETS = 64
+SLICE = 1 << 20  # bytes of text worked on at once
 BROADCAST_ROWS = 1_000_000
 
 
@@ -119,7 +120,7 @@ def _sketch(docs: DataFrame, window: int, cells: int, before) -> DataFrame:
     def run(batches):
         seen, n, earlier = [], 0, [b.value for b in before]
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 hashes, _ = _windows(part, window)
                 hashes = hashes[_estimated(hashes, earlier)]
                 for cell in _cells(hashes, cells, len(earlier)):
@@ -173,7 +174,7 @@ def _size(docs: DataFrame) -> tuple[int, int]:
     def run(batches):
         for batch in batches:
             n = 0
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 data, offsets = words.flat(part.column("text"))
                 inside = words.SPACED[data]
                 n += int((inside[1:] & ~inside[:-1]).sum()) + part.num_rows
@@ -209,7 +210,7 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
         sketches = [b.value for b in shared]
         found, n = [], 0
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 first, second, row, place, _ = _windows(part, window, second=True)
                 at = _estimated(first, sketches)
                 rows = pa.array(row[at])
@@ -295,7 +296,7 @@ def without_repeats(
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def removed(texts: pa.Array, places: pa.Array) -> pa.Array:
         one = pa.record_batch([texts, places], ["text", "places"])
-        parts = [_removed(part, window) for part in words.slices(one, "text")]
+        parts = [_removed(part, window) for part in words.slices(one, "text", SLICE)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_REMOVED))
 
     own_text = F.coalesce(F.col("row").getField(text).cast("string"), F.lit(""))
