@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from gridpanel.llm import words
 from gridpanel.sources.scratch import landed
 
-CELLS_A_WINDOW = 4
+CELLS_A_WINDOW = 2
 MIN_CELLS = 1 << 21
 MAX_CELLS = 1 << 30
 REGION = 1 << 20
