@@ -1,14 +1,18 @@
 """Passages of a benchmark in training texts, by rare n-gram seeds and alignment.
 
-1. All n-grams of the benchmark's items are joined with those of the texts, and each
-   one's number of documents is counted over the whole corpus. An item's seeds are its
-   rarer half: n-grams in no more documents than the item's median. (A share of the item,
-   so no item loses all seeds, however often its passage was copied.)
-2. Seeds in a document vote for the place where the item would begin; places close to
-   each other are one candidate.
-3. Words around a candidate are aligned with the item by Smith-Waterman (match 1,
+1. All n-grams of the benchmark's items are joined with those of the texts. Each n-gram
+   that an item and a text have in common is a seed, so an edited copy is looked at as
+   soon as ``n`` words in a row are left of it. (Seeds by rarity would have to be rare in
+   the copy itself: the rarest n-grams of an item are those that edits took away.) A copy
+   with fewer than ``n`` unchanged words in a row everywhere has no seed.
+2. A seed tells where the item would begin, and an alignment that reaches ``threshold``
+   has at most ``2 * (1 - threshold)`` gaps a word of the item. Words that near to a seed are
+   looked at; stretches that overlap are one.
+3. The words of a stretch are aligned with the item by Smith-Waterman (match 1,
    mismatch and gap -1/2). The score is the share of the item's length that the best
-   local alignment reaches; from ``threshold`` on the passage is reported.
+   local alignment reaches; from ``threshold`` on the passage is reported, and the words
+   before and after it are aligned in turn. A stretch that has too few of the item's
+   words to reach ``threshold`` in any order is not aligned.
 
 The n-grams of the items are broadcast up to ``BROADCAST_ROWS`` rows, by count; beyond
 that the join shuffles. Null texts have no words. Items with fewer than ``n`` words give
@@ -18,6 +22,8 @@ tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,6 +35,7 @@ from gridpanel.sources.scratch import landed
 N = 4
 THRESHOLD = 0.5
 BROADCAST_ROWS = 1_000_000
+BROADCAST_STRETCHES = 1 << 18
 MATCH, MISS, GAP = 2, -1, 1  # in halves
 
 
@@ -82,33 +89,25 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def candidates(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """``key, mark, item, item_words, low, high``: stretches of words to be aligned."""
+def candidates(docs: DataFrame, items: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
+    """``key, mark, item, item_mark, low, high``: stretches of words to be aligned, which
+    do not overlap for one text and item."""
+    sizes = landed(_item_words(items).select("item", "item_mark", F.size("item_words").alias("size")), "item-sizes")
     grams = _grams(items, n).select(
         F.col("key").alias("item"), F.col("mark").alias("item_mark"), "gram", F.col("place").alias("at")
     )
-    grams = landed(grams, "item-grams")
-    hits = landed(_grams(docs, n).join(_sized(grams, grams.count()), "gram"), "item-hits")
-    texts = hits.groupBy("gram", "key", "mark").agg(F.lit(1)).groupBy("gram").agg(F.count("*").alias("texts"))
-    per_item = grams.select("item", "item_mark", "gram").distinct().join(texts, "gram", "left")
-    per_item = per_item.withColumn("texts", F.coalesce("texts", F.lit(0)))
-    middle = per_item.groupBy("item", "item_mark").agg(F.expr("percentile(texts, 0.5)").alias("middle"))
     same_item = ["item", "item_mark"]
-    seeds = _join_null_safe(per_item, middle, same_item).where("texts <= middle").select(*same_item, "gram").distinct()
-    seeds = landed(seeds, "item-seeds")
-    seeded = _join_null_safe(hits, _sized(seeds, seeds.count()), [*same_item, "gram"])
-    places = seeded.groupBy("key", "mark", *same_item, (F.col("place") - F.col("at")).alias("begin")).agg(F.lit(1))
-    item_words = landed(_item_words(items), "item-words")
-    item_words = _sized(item_words.distinct(), item_words.count())
-    known = _join_null_safe(places, item_words, same_item)
-    slack = F.ceil(F.size("item_words") / 2).cast("int")
+    grams = landed(_join_null_safe(grams.distinct(), sizes.distinct(), same_item), "item-grams")
+    hits = _grams(docs, n).join(_sized(grams, grams.count()), "gram")
+    places = hits.groupBy("key", "mark", *same_item, "size", (F.col("place") - F.col("at")).alias("begin")).agg(F.lit(1))
+    slack = F.ceil(F.col("size") * (2 * (1 - threshold))).cast("int")
     along = Window.partitionBy("key", "mark", *same_item).orderBy("begin")
-    jump = F.coalesce((F.col("begin") - F.lag("begin").over(along) > slack).cast("int"), F.lit(0))
-    numbered = known.withColumn("jump", jump)
+    jump = F.coalesce((F.col("begin") - F.lag("begin").over(along) > 2 * slack + F.col("size")).cast("int"), F.lit(0))
+    numbered = places.withColumn("jump", jump)
     numbered = numbered.withColumn("stretch", F.sum("jump").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("key", "mark", *same_item, "item_words", "stretch").agg(
+    return numbered.groupBy("key", "mark", *same_item, "stretch").agg(
         F.greatest(F.min("begin") - F.first(slack), F.lit(0)).alias("low"),
-        (F.max("begin") + F.first(slack) + F.first(F.size("item_words"))).alias("high"),
+        (F.max("begin") + F.first(slack) + F.first("size")).alias("high"),
     )
 
 
@@ -155,6 +154,20 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, first, last
 
 
+def passages(own: np.ndarray, item: np.ndarray, threshold: float) -> Iterator[tuple[float, int, int]]:
+    """Score, first and last place of the best passage, then of those before and after it."""
+    left = [(0, len(own))]
+    while left:
+        low, high = left.pop()
+        if MATCH * int(np.isin(item, own[low:high]).sum()) < threshold * MATCH * len(item):
+            continue
+        best, first, last = align(own[low:high], item)
+        score = best / (MATCH * len(item))
+        if best > 0 and score >= threshold:
+            yield score, low + first, low + last
+            left += [(low, low + first), (low + last + 1, high)]
+
+
 def find(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -168,11 +181,15 @@ def find(
     """``key, mark, item, score, first_word, last_word``: each passage of a document
     that scores ``threshold`` or more; ``mark`` is the hash of the text."""
     picked, items = _picked(docs, key, text), _picked(benchmark, item, item_text)
-    found = landed(candidates(picked, items, n), "candidates")
-    stretch = F.struct("item", "item_words", "low", "high")
-    by_text = found.groupBy("key", "mark").agg(F.collect_list(stretch).alias("stretches"))
+    found = landed(candidates(picked, items, n, threshold), "candidates")
+    # An item's words are stored once; a stretch names them by the hash of the item's text.
+    known = _item_words(items).select("item_mark", "item_words").dropDuplicates(["item_mark"])
+    known = landed(known, "item-words")
+    carried = found.join(_sized(known, known.count()), "item_mark")
+    by_text = carried.groupBy("key", "mark").agg(F.collect_list(F.struct("item", "item_words", "low", "high")).alias("stretches"))
     by_text = landed(by_text, "candidate-texts")
-    joined = _join_null_safe(picked, _sized(by_text, by_text.count()), ["key", "mark"])
+    small = found.count() <= BROADCAST_STRETCHES
+    joined = _join_null_safe(picked, F.broadcast(by_text) if small else by_text, ["key", "mark"])
     item_type = items.schema["key"].dataType.simpleString()
     key_type = picked.schema["key"].dataType.simpleString()
 
@@ -188,9 +205,7 @@ def find(
                     for s in lists[i]:
                         low = s["low"].as_py()
                         item_words = np.asarray(s["item_words"].values)
-                        best, first, last = align(own[low : s["high"].as_py()], item_words)
-                        score = best / (MATCH * len(item_words))
-                        if score >= threshold:
+                        for score, first, last in passages(own[low : s["high"].as_py()], item_words, threshold):
                             out.append((i, s["item"].as_py(), score, low + first, low + last))
                 r, item_ids, score, first, last = zip(*out) if out else ((),) * 5
                 take = pa.array(r, pa.int64())

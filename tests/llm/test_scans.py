@@ -100,6 +100,32 @@ def test_passages_are_found_and_clean_texts_left(spark, monkeypatch):
     assert decontaminate.without_passages(frame, benchmark.limit(0)).count() == len(docs)
 
 
+def test_edited_and_half_items_against_full_alignment(spark):
+    rng = random.Random(4)
+    items = [(i, sentence(rng, 50)) for i in range(4)]
+    docs = []
+    for step in (5, 6, 7):
+        copy = [f"edit{i}" if i % step == step - 1 else w for i, w in enumerate(items[0][1].split())]
+        docs.append((step, f"{sentence(rng, 40)} {' '.join(copy)} {sentence(rng, 40)}"))
+    half, spread = items[1][1].split()[:25], items[2][1].split()
+    docs.append((20, f"{sentence(rng, 40)} {' '.join(half)} {sentence(rng, 40)}"))
+    docs.append((21, " ".join([*spread[:25], *sentence(rng, 40).split(), *spread[25:]])))
+    docs.append((22, f"{' '.join(items[3][1].split()[:10])} {sentence(rng, 90)}"))
+    scores = {}
+    for copied in (False, True):  # an exact copy beside them changes nothing
+        rows = docs + [(100 + i, t) for i, t in items] * copied
+        found = decontaminate.find(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+        scores = {(r["key"], r["item"]): r["score"] for r in found.collect()}
+        want = {}
+        for d, t in rows:
+            for i, item in items:
+                score = brute.smith_waterman(brute.alnum(t), brute.alnum(item)) / (2 * len(brute.alnum(item)))
+                if score >= 0.5:
+                    want[d, i] = score
+        assert scores == pytest.approx(want)
+        assert {(5, 0), (6, 0), (7, 0), (20, 1), (21, 2)} <= set(want)
+
+
 def test_decontamination_query_finds_every_whole_item(spark):
     docs = queries.table(spark, SF, "documents").collect()
     items = queries.table(spark, SF, "benchmark").collect()
