@@ -12,12 +12,17 @@ A list hands on a minimum spanning forest of its links, not its pairs, so a grou
 of near copies costs as many rows as it has members. A list beyond ``LIST`` members
 is cut into cells of two blocks each, so that no task holds all of it.
 
-``similar_groups`` looks for a given share of common shingles (Jaccard). At 0.8, fingerprints
-differ in about 15 bits of 100, too many for a guarantee on 64 bits; so it takes 256 bits
-of the distinct shingles, keeps the index by neighbouring pairs of positions (``ring``, about
-99 of 100 pairs at 0.8 meet in one of its lists), and verifies the links of the forest by
-their shingles. The forest takes the closest pairs first, so a group is held together by
-its most similar members.
+``similar_groups`` looks for a given share of common shingles (Jaccard), which no number of
+bits guarantees. It works in two steps:
+
+1. 256 bits of the distinct shingles, an index by neighbouring pairs of positions (``ring``),
+   and links of the forests verified by their shingles. This joins most groups at the cost
+   of a row a member, but a forest is made before its links are verified, and pairs near
+   the similarity may meet in no list.
+2. A prefix filter over the shingles themselves completes it (``_missing``): every pair of the
+   similarity has a shingle in common among the first of both in one order of all shingles,
+   those that occur once first. Pairs whose sizes and places of the shared shingle allow the
+   similarity are all verified, but for pairs that the first step has put in one group.
 
 Rows with equal fingerprints are one node. Null text counts as empty. A text with
 no words has fingerprint zero, which links like any other. Repeated rows stay; an
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.llm import words
+from gridpanel.llm import substring, words
 from gridpanel.llm.components import connected
 from gridpanel.sources.scratch import landed
 
@@ -198,14 +203,33 @@ def links(nodes: DataFrame, groups: list[tuple[int, ...]], min_shared: int, max_
     a stored table.
     """
     postings = _postings(nodes, groups, width)
-    long_lists = postings.groupBy("list").count().where(F.col("count") > LIST)
-    cells = postings.join(long_lists, "list", "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / LIST))
+    counts = postings.groupBy("list").count().where(F.col("count") > LIST)
+
+    def linked(table, turns):
+        fps = table.column("fp")
+        a, b = _list_links(_matrix(fps, width), _ends(table, turns), min_shared, max_bits)
+        yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["a", "b"])
+
+    return _in_cells(postings.join(counts, "list", "left"), linked).distinct()
+
+
+def _ends(table: pa.RecordBatch, turns: np.ndarray) -> np.ndarray:
+    """For each row, the end of its list."""
+    bounds = np.concatenate([[0], turns, [table.num_rows]])
+    return np.repeat(bounds[1:], np.diff(bounds))
+
+
+def _in_cells(postings: DataFrame, linked) -> DataFrame:
+    """``a, b``: what ``linked`` finds in runs of whole lists, those beyond ``LIST``
+    (their ``count``) cut into cells of two blocks."""
+    others = [c for c in postings.columns if c not in ("list", "fp", "count")]
+    cells = postings.withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / LIST))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    cells = cells.select("list", "fp", "blocks", block.alias("block")).select(
-        "list", "fp", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    cells = cells.select("list", "fp", *others, "blocks", block.alias("block")).select(
+        "list", "fp", *others, "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     )
     cells = cells.select(
-        "list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp"
+        "list", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", *others
     )
 
     def run(batches):
@@ -215,22 +239,14 @@ def links(nodes: DataFrame, groups: list[tuple[int, ...]], min_shared: int, max_
             ids = np.stack([table.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
             turns = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
             last = int(turns[-1]) if len(turns) else 0
-            yield from linked(table.slice(0, last), turns[:-1])
+            if last > 1:
+                yield from linked(table.slice(0, last), turns[:-1])
             rest = table.slice(last)
-        if rest is not None:
+        if rest is not None and rest.num_rows > 1:
             yield from linked(rest, np.zeros(0, np.int64))
 
-    def linked(table, turns):
-        if table.num_rows < 2:
-            return
-        bounds = np.concatenate([[0], turns, [table.num_rows]])
-        ends = np.repeat(bounds[1:], np.diff(bounds))
-        fps = table.column("fp")
-        a, b = _list_links(_matrix(fps, width), ends, min_shared, max_bits)
-        yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["a", "b"])
-
     dealt = cells.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -274,12 +290,26 @@ def similar_groups(
     marked = landed(fingerprints(rows, shingle, WIDTH, distinct=True), "fingerprints")
     order = F.struct(F.col("key").isNull().alias("late"), "key", "mark")
     nodes = landed(marked.groupBy("fp").agg(F.min(order).alias("head")), "nodes")
+    heads = nodes.select("fp", F.col("head.key").alias("k"), F.col("head.mark").alias("m"))
+    texts = rows.join(heads, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")))
+    texts = landed(texts.dropDuplicates(["fp"]).select("fp", "text"), "head-texts")
     met = links(nodes.select("fp"), ring(8 * WIDTH, STEPS), 2, bits_for(similarity, 64 * WIDTH), WIDTH)
-    met = landed(met, "met")
+    true = landed(_verified(landed(met, "met"), texts, shingle, similarity), "links")
+    groups = landed(connected(true, "a", "b"), "groups")
+    missed = landed(_verified(_missing(texts, groups, shingle, similarity), texts, shingle, similarity), "missed")
+    if not missed.isEmpty():
+        groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed), "a", "b")
+    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("head").alias("least"))
+    by_fp = rooted.join(least, "root").select("fp", "least")
+    own = marked.groupBy("fp", "key", "mark").agg(F.count("*").alias("copies"))
+    return own.join(by_fp, "fp").select("key", "mark", "copies", order.eqNullSafe(F.col("least")).alias("first"))
+
+
+def _verified(met: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links ``a, b`` of a stored table that have the similarity by their shingles."""
     ends = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
-    heads = nodes.join(ends, "fp").select("fp", F.col("head.key").alias("k"), F.col("head.mark").alias("m"))
-    texts = rows.join(heads, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))).select("fp", "text")
-    sets = landed(_sets(texts, shingle), "shingles").dropDuplicates(["fp"])
+    sets = landed(_sets(texts.join(ends, "fp"), shingle), "shingles")
     both = met.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("of_a")), "a")
     both = both.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("of_b")), "b")
 
@@ -292,12 +322,89 @@ def similar_groups(
             out.append(common / max(1, len(x) + len(y) - common))
         return pa.array(out, pa.float64())
 
-    groups = connected(both.where(jaccard("of_a", "of_b") >= similarity), "a", "b")
-    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("head").alias("least"))
-    by_fp = rooted.join(least, "root").select("fp", "least")
-    own = marked.groupBy("fp", "key", "mark").agg(F.count("*").alias("copies"))
-    return own.join(by_fp, "fp").select("key", "mark", "copies", order.eqNullSafe(F.col("least")).alias("first"))
+    return both.where(jaccard("of_a", "of_b") >= similarity).select("a", "b")
+
+
+def _quick_shingles(part: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's distinct shingles (a shorter text is one), rising within a
+    row, and the row offsets."""
+    data, offsets = words.flat(part.column("text"))
+    data = words.LOWER[data]
+    starts, ends, rows = words.spans(data, offsets, words.SPACED)
+    hashes = words.word_hashes(data, starts, ends)
+    windows = words.window_hashes(hashes, shingle)
+    out = []
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
+        whole = hashes[a:b] if b - a < shingle else None
+        out.append(np.unique(windows[a : b - shingle + 1] if whole is None else words.window_hashes(whole, max(1, b - a))))
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.cumsum([0, *map(len, out)])
+
+
+def _prefix(n: np.ndarray, share: float) -> np.ndarray:
+    """Of n shingles, how many come first so that one is among any ``share`` of them."""
+    return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+
+
+def _missing(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``a, b``: pairs of texts of different groups that may have the similarity; none
+    that has it is missing.
+
+    Of shingles in common, the smaller text has one among its first for the share
+    ``2s / (1 + s)``, the larger one among its first for the share ``s``.
+    """
+    context = texts.sparkSession.sparkContext
+    cells, _ = substring._size(texts)
+    sketch = substring._sketch(texts, shingle, cells, [], _quick_shingles)
+    repeated = context.broadcast(substring._bits(sketch, cells))
+    even = 2 * similarity / (1 + similarity)
+
+    def first(batches):
+        for batch in batches:
+            for part in words.slices(batch, "text", substring.SLICE):
+                hashes, rows = _quick_shingles(part, shingle)
+                n = np.diff(rows)
+                row = np.repeat(np.arange(len(n)), n)
+                more = np.zeros(len(hashes), bool)
+                more[substring._estimated(hashes, [repeated.value])] = True
+                at = np.flatnonzero(more)
+                many = np.bincount(row[at], minlength=len(n))
+                before = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                row, place = row[at], (n - many)[row[at]] + before  # once-only shingles come first
+                keep = place < _prefix(n, similarity)[row]
+                at, row, place, before = at[keep], row[keep], place[keep], before[keep]
+                small = place < _prefix(n, even)[row]
+                columns = [hashes[at].view(np.int64), n[row], before, n[row] - place - 1, small]
+                fps = part.column("fp").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([fps, *map(pa.array, columns)], ["fp", "list", "n", "before", "after", "small"])
+
+    postings = texts.mapInArrow(first, "fp binary, list bigint, n bigint, before bigint, after bigint, small boolean")
+    postings = postings.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    postings = landed(postings.withColumn("own", F.xxhash64(F.coalesce("root", "fp"))).drop("root"), "prefixes")
+    repeated.destroy()
+    lists = postings.groupBy("list").agg(F.count("*").alias("count"), F.min("own").alias("x"), F.max("own").alias("y"))
+    open_lists = postings.join(lists.where("x < y").select("list", "count"), "list")
+
+    def linked(table, turns):
+        ends, fps = _ends(table, turns), table.column("fp")
+        n, before, after, small, own = (
+            table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "before", "after", "small", "own")
+        )
+        active = np.arange(table.num_rows)
+        for step in range(1, table.num_rows):
+            active = active[active + step < ends[active]]
+            if not len(active):
+                break
+            a, b = active, active + step
+            less, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            common = np.minimum(before[a], before[b]) + 1 + np.minimum(after[a], after[b])
+            good = (own[a] != own[b]) & (less >= similarity * most - 1e-9) & (common >= even / 2 * (less + most) - 1e-9)
+            good &= np.where(n[a] == n[b], small[a] | small[b], np.where(n[a] < n[b], small[a], small[b]))
+            if good.any():
+                a, b = a[good], b[good]
+                yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["a", "b"])
+
+    met = _in_cells(open_lists, linked)
+    return landed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:

@@ -91,9 +91,10 @@ def _estimated(hashes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
     return at
 
 
-def _sketch(docs: DataFrame, window: int, cells: int, before) -> DataFrame:
+def _sketch(docs: DataFrame, window: int, cells: int, before, hashed=_windows) -> DataFrame:
     """``region, ones, twos``: for each region of cells, which were hit once and which
-    more often, as one task saw it. ``before``: broadcasts of the sketches so far."""
+    more often, as one task saw it. ``before``: broadcasts of the sketches so far;
+    ``hashed``: hashes (and row offsets) of a run of rows."""
 
     def packed(seen: list[np.ndarray]):
         cell = np.concatenate(seen)
@@ -121,7 +122,7 @@ def _sketch(docs: DataFrame, window: int, cells: int, before) -> DataFrame:
         seen, n, earlier = [], 0, [b.value for b in before]
         for batch in batches:
             for part in words.slices(batch, "text", SLICE):
-                hashes, _ = _windows(part, window)
+                hashes, _ = hashed(part, window)
                 hashes = hashes[_estimated(hashes, earlier)]
                 for cell in _cells(hashes, cells, len(earlier)):
                     seen.append(cell.astype(np.uint32))
@@ -168,6 +169,14 @@ def _merged(sketches: DataFrame) -> DataFrame:
     return sketches.groupBy("region").applyInArrow(merge, "region bigint, bits binary")
 
 
+def _bits(sketches: DataFrame, cells: int) -> np.ndarray:
+    """The merged sketch, one bit a cell, on the driver."""
+    bits = np.zeros(cells // 8, np.uint8)
+    for r in _merged(sketches).toLocalIterator():
+        bits[r["region"] * REGION // 8 : (r["region"] + 1) * REGION // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
 def _size(docs: DataFrame) -> tuple[int, int]:
     """Cells of the sketch, a power of two that follows the number of words, and buckets."""
 
@@ -198,9 +207,7 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     cells, buckets = _size(prepared)
     shared: list = []
     for share in (1, 2):
-        bits = np.zeros(cells // share // 8, np.uint8)
-        for r in _merged(_sketch(prepared, window, cells // share, list(shared))).toLocalIterator():
-            bits[r["region"] * REGION // 8 : (r["region"] + 1) * REGION // 8] = np.frombuffer(r["bits"], np.uint8)
+        bits = _bits(_sketch(prepared, window, cells // share, list(shared)), cells // share)
         shared.append(spark.sparkContext.broadcast(bits))
     key_type = prepared.schema["key"].dataType.simpleString()
     schema = f"bucket bigint, h1 binary, h2 binary, n binary, place binary, mark binary, key array<{key_type}>"

@@ -83,6 +83,31 @@ def test_one_of_each_against_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == brute.one_of_each(rows)
 
 
+def test_near_pairs_among_documents_of_one_template(spark):
+    rng = random.Random(8)
+    template, rows = [f"t{i}" for i in range(260)], []
+    for i in range(400):  # any two at about 0.75
+        rows.append([*template, *(f"u{i}x{j}" for j in range(42))])
+    for i in range(0, 100, 2):  # pairs with more in common, at about 0.82
+        rows[i + 1] = [*template, *rows[i][260:272], *(f"v{i}x{j}" for j in range(30))]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = [brute.shingle_set(t) for _, t in rows]
+    assert 0.81 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.83
+    rng.shuffle(rows)
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == brute.one_of_each(rows) == set(range(400)) - set(range(1, 100, 2))
+
+
+def test_short_pairs_at_the_similarity_are_all_found(spark):
+    rng, rows = random.Random(9), []
+    for i in range(120):  # 4 of 5, 8 of 10 (nested), 12 of 15 shingles
+        n = (4, 8, 12)[i % 3]
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"z{i}x{j}" for j in range(n // 4))]))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == brute.one_of_each(rows) == set(range(0, 240, 2))
+
+
 def test_one_of_each_keeps_one_of_equal_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "p q r s t u"), (1, "p q r s t u"), (2, "v w")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
