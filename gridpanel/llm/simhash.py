@@ -21,8 +21,8 @@ bits guarantees. It works in two steps:
    the similarity may meet in no list.
 2. A prefix filter over the shingles themselves completes it (``_missing``): every pair of the
    similarity has a shingle in common among the first of both in one order of all shingles,
-   those that occur once first. Pairs whose sizes and places of the shared shingle allow the
-   similarity are all verified, but for pairs that the first step has put in one group.
+   those that occur once first. Pairs are all verified whose sizes, shingles from the shared
+   one on, and parity bits (which differ in no more places than the sets) allow the similarity, but for pairs that the first step has put in one group.
 
 Rows with equal fingerprints are one node. Null text counts as empty. A text with
 no words has fingerprint zero, which links like any other. Repeated rows stay; an
@@ -49,6 +49,7 @@ LINKS = 1 << 18
 ROWS = 1 << 16
 WIDTH = 4  # 64-bit words of a fingerprint that finds similar sets
 STEPS = (1, 5)
+PARITY = 256
 
 
 def cover(positions: int, shared: int) -> list[tuple[int, ...]]:
@@ -368,16 +369,19 @@ def _missing(texts: DataFrame, groups: DataFrame, shingle: int, similarity: floa
                 more[substring._estimated(hashes, [repeated.value])] = True
                 at = np.flatnonzero(more)
                 many = np.bincount(row[at], minlength=len(n))
+                odd = np.bincount(row * PARITY + (hashes % np.uint64(PARITY)).astype(np.int64), minlength=len(n) * PARITY) & 1
+                parity = np.packbits(odd.astype(np.uint8)).reshape(len(n), PARITY // 8)
                 before = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
                 row, place = row[at], (n - many)[row[at]] + before  # once-only shingles come first
                 keep = place < _prefix(n, similarity)[row]
-                at, row, place, before = at[keep], row[keep], place[keep], before[keep]
+                at, row, place = at[keep], row[keep], place[keep]
                 small = place < _prefix(n, even)[row]
-                columns = [hashes[at].view(np.int64), n[row], before, n[row] - place - 1, small]
+                columns = [hashes[at].view(np.int64), n[row], n[row] - place, small]
                 fps = part.column("fp").take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([fps, *map(pa.array, columns)], ["fp", "list", "n", "before", "after", "small"])
+                odds = pa.array([p.tobytes() for p in parity], pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([fps, *map(pa.array, columns), odds], ["fp", "list", "n", "rest", "small", "parity"])
 
-    postings = texts.mapInArrow(first, "fp binary, list bigint, n bigint, before bigint, after bigint, small boolean")
+    postings = texts.mapInArrow(first, "fp binary, list bigint, n bigint, rest bigint, small boolean, parity binary")
     postings = postings.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
     postings = landed(postings.withColumn("own", F.xxhash64(F.coalesce("root", "fp"))).drop("root"), "prefixes")
     repeated.destroy()
@@ -386,9 +390,8 @@ def _missing(texts: DataFrame, groups: DataFrame, shingle: int, similarity: floa
 
     def linked(table, turns):
         ends, fps = _ends(table, turns), table.column("fp")
-        n, before, after, small, own = (
-            table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "before", "after", "small", "own")
-        )
+        n, rest, small, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "rest", "small", "own"))
+        parity = _matrix(table.column("parity"), PARITY // 64).view(np.uint64)
         active = np.arange(table.num_rows)
         for step in range(1, table.num_rows):
             active = active[active + step < ends[active]]
@@ -396,9 +399,12 @@ def _missing(texts: DataFrame, groups: DataFrame, shingle: int, similarity: floa
                 break
             a, b = active, active + step
             less, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            common = np.minimum(before[a], before[b]) + 1 + np.minimum(after[a], after[b])
-            good = (own[a] != own[b]) & (less >= similarity * most - 1e-9) & (common >= even / 2 * (less + most) - 1e-9)
+            # the first shingle in common has all the others behind it, in both texts
+            needed = np.ceil(even / 2 * (less + most) - 1e-9)
+            good = (own[a] != own[b]) & (less >= similarity * most - 1e-9) & (np.minimum(rest[a], rest[b]) >= needed)
             good &= np.where(n[a] == n[b], small[a] | small[b], np.where(n[a] < n[b], small[a], small[b]))
+            a, b, differ = a[good], b[good], (less + most - 2 * needed)[good]
+            good = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64) <= differ
             if good.any():
                 a, b = a[good], b[good]
                 yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["a", "b"])
