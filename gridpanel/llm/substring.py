@@ -13,8 +13,9 @@ A window is ``window`` consecutive words of one document. Three steps:
    groups its own: a window that it holds twice is settled there, and one entry for each
    different window goes through the shuffle, with its place if it still needs one. So a
    passage of a third of all documents costs an entry a task. Entries travel packed, in
-   buckets by their hash, one for about ``BUCKET`` words of the corpus. Windows that occur again cover their
-   words.
+   buckets by their hash, one for about ``BUCKET`` words of the corpus; settled places by key, text and
+   ``BLOCK`` of the place, as copies of one text have all their places settled. Windows that occur again
+   cover their words; equal rows hand on each place at most twice.
 3. Each document drops its covered words. Where no more than ``BROADCAST_ROWS``
    documents have any, their keys are broadcast and the other texts are not shuffled;
    beyond that all are.
@@ -47,6 +48,7 @@ GROUPED = 1 << 19
 SKETCHED = 1 << 21
 BUCKET = 1 << 21
 LEAST_BUCKETS = 64
+BLOCK = 1 << 12
 SLICE = 1 << 20  # bytes of text worked on at once
 BROADCAST_ROWS = 1_000_000
 
@@ -196,6 +198,21 @@ def _size(docs: DataFrame) -> tuple[int, int]:
     return cells, max(LEAST_BUCKETS, total // BUCKET)
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """The rows in order of the last column, then the one before it, each different row once."""
+    order = np.lexsort(columns)
+    first = np.zeros(len(order), bool)
+    first[:1] = True
+    for c in columns:
+        first[1:] |= c[order[1:]] != c[order[:-1]]
+    return order[first]
+
+
+def _dealt(deal: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where a settled place goes: by its row's key and text and the block it is in."""
+    return words.mix(deal.view(np.uint64) + (place // BLOCK).astype(np.uint64) * words.BASE)
+
+
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """``key, mark, places``: the first words of the windows that occur elsewhere too,
     for documents that have any; ``mark`` is the hash of the text."""
@@ -209,6 +226,7 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     for share in (1, 2):
         bits = _bits(_sketch(prepared, window, cells // share, list(shared)), cells // share)
         shared.append(spark.sparkContext.broadcast(bits))
+    prepared = prepared.withColumn("deal", F.xxhash64("key", "mark"))
     key_type = prepared.schema["key"].dataType.simpleString()
     schema = f"bucket bigint, h1 binary, h2 binary, n binary, place binary, mark binary, key array<{key_type}>"
     names = ["bucket", "h1", "h2", "n", "place", "mark", "key"]
@@ -221,7 +239,8 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
                 first, second, row, place, _ = _windows(part, window, second=True)
                 at = _estimated(first, sketches)
                 rows = pa.array(row[at])
-                found.append((first[at], second[at].astype(np.uint32), place[at], part.column("key").take(rows), part.column("mark").take(rows)))
+                own = (part.column(c).take(rows) for c in ("key", "mark", "deal"))
+                found.append((first[at], second[at].astype(np.uint32), place[at], *own))
                 n += len(at)
                 if n >= GROUPED:
                     yield grouped(found)
@@ -231,20 +250,22 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
 
     def grouped(found):
         h1, h2, place = (np.concatenate([x[i] for x in found]) for i in range(3))
-        key, mark = (pa.concat_arrays([x[i] for x in found]) for i in (3, 4))
+        key, mark, deal = (pa.concat_arrays([x[i] for x in found]) for i in (3, 4, 5))
+        mark, deal = mark.to_numpy(), deal.to_numpy()
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         count = np.diff(np.concatenate([head, [len(a)]]))
         # one entry for each window, and one for each place that is settled (n = 0)
-        settled = np.sort(order[np.repeat(count, count) > 1])
+        settled = order[np.repeat(count, count) > 1]
+        settled = np.sort(settled[_new(place[settled], mark[settled], deal[settled])])
         at = np.concatenate([order[head], settled])
         n = np.concatenate([np.minimum(count, 2), np.zeros(len(settled), np.int64)]).astype(np.uint8)
-        spread = np.where(n > 0, h1[at], mark.to_numpy().view(np.uint64)[at]) % np.uint64(buckets)
+        spread = np.where(n > 0, h1[at], _dealt(deal[at], place[at])) % np.uint64(buckets)
         by_bucket = np.lexsort((at, spread))  # by document within a bucket, which packs well
         at, n, spread = at[by_bucket], n[by_bucket], spread[by_bucket]
         edges = np.concatenate([[0], np.flatnonzero(spread[1:] != spread[:-1]) + 1, [len(at)]])
-        columns = [h1[at], h2[at], n, place[at].astype(np.int32), mark.to_numpy()[at]]
+        columns = [h1[at], h2[at], n, place[at].astype(np.int32), mark[at]]
         packed = [pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()) for c in columns]
         keys = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), key.take(pa.array(at)))
         first = pa.array(spread[edges[:-1]].astype(np.int64))
@@ -265,7 +286,7 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
         repeated = np.repeat(sums, np.diff(np.concatenate([head, [len(a)]]))) > 1
         placed = np.concatenate([np.flatnonzero(n == 0), counted[repeated & (n[counted] == 1)]])
         owner = key.dictionary_encode().indices.fill_null(-1).to_numpy()
-        placed = placed[np.lexsort((place[placed], owner[placed], mark[placed]))]
+        placed = placed[_new(place[placed], owner[placed], mark[placed])]
         m, o = mark[placed], owner[placed]
         heads = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])])) if len(m) else placed
         ends = pa.array(np.concatenate([heads, [len(m)]]).astype(np.int32))

@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from gridpanel.llm import queries, simhash, substring
 from gridpanel.llm.components import connected
+from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import SF, sentence
 
@@ -141,6 +142,24 @@ def test_equal_rows_repeat_each_other(spark):
     assert sorted(r["dedup"]["n_removed"] for r in substring.without_repeats(frame).collect()) == [0, 40, 40]
 
 
+def test_equal_rows_hand_on_a_place_once(spark):
+    text = sentence(random.Random(2), 60)
+    found = substring.repeated_windows(spark.createDataFrame([(None, text)] * 300 + [(1, text)] * 300, SCHEMA)).collect()
+    assert {r["key"] for r in found} == {None, 1}
+    for r in found:
+        assert set(r["places"]) == set(range(26)) and len(r["places"]) <= 2 * 26
+
+
+def test_settled_places_of_copies_go_to_many_buckets(spark):
+    text = sentence(random.Random(3), 3 * substring.BLOCK)
+    prepared = substring._prepared(spark.createDataFrame([(i, text) for i in range(40)], SCHEMA), "doc_id", "text")
+    assert prepared.select("mark").distinct().count() == 1
+    deal = np.array([r[0] for r in prepared.select(F.xxhash64("key", "mark")).collect()])
+    place = np.tile(np.arange(3 * substring.BLOCK), 40)
+    bucket = substring._dealt(np.repeat(deal, 3 * substring.BLOCK), place) % np.uint64(64)
+    assert np.bincount(bucket.astype(int)).max() < len(place) / 10
+
+
 def test_many_repeats_are_joined_without_a_broadcast(spark, monkeypatch, hard_rows):
     monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
     found = substring.without_repeats(spark.createDataFrame(hard_rows, SCHEMA), window=5)
