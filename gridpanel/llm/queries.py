@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpanel.llm import chat, decontaminate, licenses, lm, packing, simhash, substring, topk, toxicity, urls
+from gridpanel.llm import (
+    chat, decontaminate, lexical, licenses, lm, packing, private, simhash, spelling, substring, topk, toxicity, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +99,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(planted))).withColumnRenamed("conv", "conv_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find(table(spark, sf_dir, "documents"))
+    counts = [private.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in private.KINDS]
+    base = F.sha2(private.written(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    spans = private.written(private.all_spans(F.col("base"), F.col("terms"))).alias("spans")
+    return found.select(F.col("key").alias("doc_id"), *counts, base, spans)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -108,6 +127,9 @@ QUERIES: dict[str, Query] = {
     "op8_top_k": op8_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_chat": op10_chat,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_personal_data": op13_personal_data,
 }
 
 _UPPER, _LOWER = urls.UPPER, urls.SMALL
@@ -166,4 +188,34 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIG
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM joined
 """,
+    "op11_lexical_search": r"""
+WITH terms AS (
+    SELECT doc_id, row_number() OVER () AS row,
+           list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                          lambda x: translate(x, '%s', '%s')) AS term
+    FROM documents
+), sizes AS (
+    SELECT doc_id, row, len(term) AS n, term FROM terms
+), corpus AS (
+    SELECT CAST(count(*) FILTER (n > 0) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes
+), wanted AS (
+    SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '%s', '%s') AS term
+    FROM benchmark
+), each AS (
+    SELECT doc_id, row, n, unnest(term) AS term FROM sizes
+), occurring AS (
+    SELECT doc_id, row, n, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM occurring, corpus GROUP BY term
+), scored AS (
+    SELECT item_id, doc_id, row,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) AS BIGINT) AS score
+    FROM occurring JOIN weights USING (term) JOIN wanted USING (term), corpus GROUP BY item_id, doc_id, row
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+    % (_UPPER, _LOWER, _UPPER, _LOWER),
 }

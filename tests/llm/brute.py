@@ -135,3 +135,134 @@ def smith_waterman(passage, item):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=10):
+    """(item, rank, doc, score), sorted."""
+    texts = [(d, Counter(x.translate(SMALL) for x in TERM.findall(t or ""))) for d, t in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in texts), sum(sum(c.values()) for _, c in texts)
+    spread = Counter(x for _, c in texts for x in c)
+    wanted = {}
+    for i, t in items:
+        wanted.setdefault(i, set()).update(x.translate(SMALL) for x in TERM.findall(t or ""))
+    out = []
+    for i, terms in wanted.items():
+        found = []
+        for d, c in texts:
+            m = 100 - 90 + (90 * sum(c.values()) * n_docs) // n_terms if n_terms else 0
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * spread[x] + 1))) * ((1_000_000_000 * c[x]) // (1000 * c[x] + 8 * m))
+                for x in terms
+                if c[x]
+            )
+            found.append((-score, d is None, d))
+        for r, (s, _, d) in enumerate(sorted(x for x in found if x[0] < 0)[:k], 1):
+            out.append((i, r, d, -s))
+    return sorted(out, key=str)
+
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def word_counts(rows, every=97, shortest=5, least=3):
+    counts = Counter()
+    for d, t in rows:
+        for w in LETTERS.findall(t or ""):
+            w = w.translate(SMALL)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if every and h % every == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    return {w: n for w, n in counts.items() if len(w) >= shortest and n >= least}
+
+
+def near(a, b):
+    """One inserted, deleted or replaced code point."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def variants(counts):
+    """(word, form, root, n, n_near, form_n), sorted."""
+    close = {w: [x for x in counts if near(w, x)] for w in counts}
+    form = {}
+    for w, some in close.items():
+        best = min(some, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+    out = []
+    for w, f in form.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, f, root, counts[w], len(close[w]), f and counts[f]))
+    return sorted(out)
+
+
+PRIVATE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def private_spans(text):
+    """(start, kind number, end, value), sorted."""
+    out = []
+    for k, (kind, pattern) in enumerate(PRIVATE.items()):
+        for m in pattern.finditer(text or ""):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            value = "".join(map(str, digits))
+            if kind == "email":
+                value = m[0].lower()
+            if kind == "ip":
+                value = m[0]
+                if any(int(p) > 255 for p in m[0].split(".")):
+                    continue
+            if kind == "card":
+                total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+                if not 14 <= len(digits) <= 19 or total % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), value))
+    return sorted(out)
+
+
+def disclosed(rows, around=8, support=2, gain=3.0, left=1.0):
+    """(key, text) -> (start, end, general) of terms that disclose an entity."""
+    parsed = []
+    for _, t in rows:
+        spans = private_spans(t)
+        found = [(m.start(), m.end(), m[0].translate(SMALL)) for m in TERM.finditer(t or "")]
+        free = [not any(m < b and e > a for a, _, b, _ in spans) for m, e, _ in found]
+        parsed.append((t, spans, found, free))
+    spread, together, texts, holders = Counter(), Counter(), {}, Counter()
+    for t, spans, found, free in parsed:
+        spread.update({x for (_, _, w), f in zip(found, free) if f for x in (w, w[:3] + "*")})
+        own = {}
+        for a, k, b, v in spans:
+            before = [i for i, w in enumerate(found) if w[1] <= a][-around:]
+            behind = [i for i, w in enumerate(found) if w[0] >= b][:around]
+            own.setdefault((k, v), set()).update(x for i in before + behind if free[i] for x in (found[i][2], found[i][2][:3] + "*"))
+        for e, terms in own.items():
+            holders[e] += 1
+            for x in terms:
+                together[e, x] += 1
+                texts.setdefault((e, x), set()).add(t)
+    bad = set()
+    for (e, x), n in together.items():
+        pmi = math.log2(len(rows) * n / (spread[x] * holders[e]))
+        if len(texts[e, x]) >= support and pmi >= gain and -math.log2(n / spread[x]) <= left:
+            bad.add(x)
+    out = {}
+    for (d, t), (_, _, found, free) in zip(rows, parsed):
+        out[d, t] = [(a, b, w[:3] + "*" not in bad) for (a, b, w), f in zip(found, free) if f and w in bad]
+    return out
