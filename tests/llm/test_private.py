@@ -24,7 +24,7 @@ def corpus(hard_rows):
     rows = [*hard_rows, *((50 + i, t) for i, t in enumerate(ODD))]
     owner, plain = entities(rng), entities(rng)
     for i in range(30):
-        rows.append((100 + i, f"{sentence(rng, 15)} {owner[0]} Zaphodia Zaphodius {sentence(rng, 15)}"))
+        rows.append((100 + i, f"{sentence(rng, 15)} {owner[i % 4]} {'Zaphodia Zaphodius' * (i % 4 == 0)} {sentence(rng, 15)}"))
         rows.append((200 + i, f"{sentence(rng, 15)} {plain[i % 4] if i < 4 else ''} {sentence(rng, 15)} unrelated"))
     rows += [(300 + i, f"{sentence(rng, 40)}") for i in range(60)] + [(400, "Zaphodia alone, zaphodius."), (401, "copy " + plain[0]), (402, "copy " + plain[0])]
     return [*rows, (None, f"{owner[0]} zaphodia"), (None, f"{owner[0]} zaphodia"), (9, "zaphod")]
