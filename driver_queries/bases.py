@@ -21,6 +21,7 @@ RETURN_FLAGS = ["A", "N", "R"]
 # ship dates lie in 1995-01 to 2001-12
 MAX_MONTHS = 84
 MAX_DAYS = 2557
+# base years have to be whole; the last line items are shipped in November 2001
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000]
 
 GEN = {t: fv.GENERATION_COLUMN[t] for t in fv.TECHNOLOGIES}

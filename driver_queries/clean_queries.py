@@ -297,6 +297,30 @@ def prioritized_source(spark, sf_dir):
     )
 
 
+EXPECTED = ["u1", "u2", "uranium", "ets"]
+
+
+@query(
+    "prioritized_default", "series ts:t value:2",
+    """WITH of_type AS (SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS series, ts, value, event_type FROM events WHERE user_id % 40 < 3),
+    best AS (SELECT series, CASE WHEN count(*) FILTER (event_type = 'click') > 25 THEN 'click' ELSE 'view' END AS kind
+             FROM of_type WHERE event_type IN ('click', 'view') GROUP BY series),
+    days AS (SELECT DISTINCT date_trunc('day', ts) AS ts FROM events)
+    SELECT t.series, t.ts, t.value FROM of_type t JOIN best b ON t.series = b.series AND t.event_type = b.kind
+    UNION ALL
+    SELECT n.series, days.ts, 0.0 FROM (SELECT unnest(['u1', 'u2', 'uranium', 'ets']) AS series) n, days
+    WHERE n.series NOT IN (SELECT series FROM best)""",
+)
+def prioritized_default(spark, sf_dir):
+    """Two sources of three series; of four that are expected two are in neither and become 0."""
+    events = table(spark, sf_dir, "events").where(F.pmod("user_id", F.lit(40)) < 3).withColumn(
+        "series", F.concat(F.lit("u"), F.pmod("user_id", F.lit(40)))
+    )
+    sources = [events.where(F.col("event_type") == kind).select("series", "ts", "value") for kind in ("click", "view")]
+    days = table(spark, sf_dir, "events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts")).distinct()
+    return priority.prioritized_source(sources, 25, 0.0, EXPECTED, days)
+
+
 # --- columns -----------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from driver_queries.registry import query, table
 from gridpanel import fixed_values as fv
 from gridpanel import schemas
 from gridpanel.functions import keyed_random as rnd
-from gridpanel.operators import draws, project
+from gridpanel.operators import asof, draws, project
 from gridpanel.sources import scratch
 
 SEED = 7
@@ -312,6 +312,41 @@ def kde_draw(spark, sf_dir):
     return draws.draw_deltas(windows, known, SEED, max_groups=25)
 
 
+@query(
+    "asof_draw", "scenario iteration:i variable delta:6",
+    f"""WITH {runs_sql()}, {SUPPLIER_POINTS_SQL}, {STATS_SQL}, {GRID_SQL},
+    windows AS (SELECT *, 2000 AS base_year FROM runs),
+    {DRAWN_SQL.format(on="r.variable = w.n_name")}
+    SELECT scenario, iteration, variable, delta FROM drawn WHERE rule = 'kde'""",
+)
+def asof_draw(spark, sf_dir):
+    """The draws from densities again, each looked up in the rows of its grid."""
+    points = supplier_points(spark, sf_dir)
+    stats = scratch.landed(draws.delta_stats(points).where(F.col("rule") == draws.KDE), "stats")
+    grid = draws.kde_grid(points, stats).select("variable", "cdf", "x")
+    asked = runs(spark, sf_dir).select("scenario", "iteration", F.col("n_name").alias("variable")).withColumn(
+        "u", rnd.uniform(SEED, "scenario", "iteration", "variable", F.lit("kde"))
+    )
+    asked = asked.join(stats.select("variable", "min", "max"), "variable")
+    found = asof.asof_join(asked, grid, ["variable"], "u", "cdf", 1 / 64, clamp=True)
+    return found.withColumn("delta", draws.clamped(F.col("found.x")))
+
+
+@query(
+    "asof_events", "event_id:i value:6 seconds:0",
+    """WITH bought AS (SELECT user_id, ts, min(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+    SELECT e.event_id, b.value, epoch(e.ts) - epoch(b.ts) AS seconds
+    FROM events e ASOF LEFT JOIN bought b ON e.user_id = b.user_id AND e.ts >= b.ts WHERE e.event_type = 'view'""",
+)
+def asof_events(spark, sf_dir):
+    """What each viewer had last bought, and how long ago."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    views = events.where(F.col("event_type") == "view").select("event_id", "user_id", "at")
+    bought = events.where(F.col("event_type") == "purchase").select("user_id", F.col("at").alias("bought_at"), "value")
+    found = asof.asof_join(views, bought, ["user_id"], "at", "bought_at", 7 * 86_400.0, "backward")
+    return found.select("event_id", F.col("found.value").alias("value"), (F.col("at") - F.col("found.bought_at")).alias("seconds"))
+
+
 @query(
     "delta_draws", "scenario iteration:i base_year:i day_start:i variable rule delta:6",
     f"""WITH {runs_sql("supplier")}, {ESTIMATES_SQL}, {STATS_SQL}, {GRID_SQL},
@@ -398,9 +433,7 @@ def wide_draws(spark, sf_dir):
 
 
 def sampled_hours(spark, sf_dir):
-    return project.expand(
-        panel(spark, sf_dir), wide_draws(spark, sf_dir), strategy="broadcast"
-    )
+    return project.expand(scratch.landed(panel(spark, sf_dir), "panel"), wide_draws(spark, sf_dir))
 
 
 def projected_hours(spark, sf_dir):
@@ -470,10 +503,8 @@ def sampled_projection(spark, sf_dir):
 )
 def full_year_projection(spark, sf_dir):
     """The whole base year instead of a week per month."""
-    hours = project.expand(
-        panel(spark, sf_dir), wide_draws(spark, sf_dir),
-        strategy="broadcast", window_days=None,
-    )
+    stored = scratch.landed(panel(spark, sf_dir), "panel")
+    hours = project.expand(stored, wide_draws(spark, sf_dir), window_days=None)
     demand = F.col("residential_demand_gwh") + F.col("commercial_demand_gwh") + F.col("industrial_demand_gwh")
     return project.project(hours, VARIABLES).groupBy("scenario", "iteration", "month").agg(
         F.count("*").alias("n"), F.avg("wind_cap_gw").alias("wind_cap_gw"), F.sum(demand).alias("demand")

@@ -192,6 +192,37 @@ def realised_inputs(spark, sf_dir):
     return ensemble.realised_inputs(projected_hours(spark, sf_dir))
 
 
+# --- the same tables from one pass over stored hours --------------------------------------------------
+
+
+def stored_parts(spark, sf_dir):
+    return scratch.landed(ensemble.parts(with_stocks(spark, sf_dir)), "parts")
+
+
+@query("one_pass_kpis", _kpi_spec(KPI), _kpi_query(KPI, "stocked", STOCKS_SQL))
+def one_pass_kpis(spark, sf_dir):
+    return ensemble.kpis_of_parts(stored_parts(spark, sf_dir))
+
+
+@query("one_pass_hourly", _profile_spec("hour"), _profile_sql("hour", 0, 23))
+def one_pass_hourly(spark, sf_dir):
+    return ensemble.profile_of_parts(stored_parts(spark, sf_dir), "hour")
+
+
+@query("one_pass_monthly", _profile_spec("month"), _profile_sql("month", 1, 12))
+def one_pass_monthly(spark, sf_dir):
+    return ensemble.profile_of_parts(stored_parts(spark, sf_dir), "month")
+
+
+@query(
+    "one_pass_inputs", "scenario iteration:i " + " ".join(f"{c}:4" for c in ensemble.INPUTS),
+    f"WITH {PROJECTED_SQL} SELECT scenario, iteration, "
+    + ", ".join(f"avg({c}) AS {c}" for c in ensemble.INPUTS) + " FROM hours GROUP BY 1, 2",
+)
+def one_pass_inputs(spark, sf_dir):
+    return ensemble.inputs_of_parts(stored_parts(spark, sf_dir))
+
+
 @query(
     "period_key_default", "o_orderkey:i hour:i",
     """SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 8760) % 24

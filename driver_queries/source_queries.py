@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from driver_queries.draw_queries import REGIONS
 from driver_queries.ensemble_queries import RESULTS_SQL, results
 from driver_queries.registry import query, table
-from gridpanel.sources import feeds, scratch, tables
+from gridpanel.sources import commits, feeds, scratch, tables
 
 # event types under the ids of indicators; the last one is reported per area
 EVENT_IDS = {"click": 2038, "view": 2039, "signup": 2040, "error": 600, "purchase": 10039}
@@ -186,11 +186,43 @@ def incremental_write(spark, sf_dir):
         "scenario", (F.col("iteration") + 1).alias("iteration"), "total_generation", F.lit(False).alias("rerun")
     )
     path = scratch.new_path(spark, "incremental_write")
-    tables.write_iterations(rows, path, 20)
-    again = tables.with_block(rows, 20).where(F.col("iter_block") == 1).drop("iter_block")
+    commits.write_iterations(rows, path, 20)
+    again = commits.with_block(rows, 20).where(F.col("iter_block") == 1).drop("iter_block")
     changed = again.withColumns({"total_generation": F.col("total_generation") * 2, "rerun": F.lit(True)})
-    tables.write_iterations(changed, path, 20)
-    return tables.read_results(spark, path)
+    commits.write_iterations(changed, path, 20)
+    return commits.read_iterations(spark, path)
+
+
+RESUMED = 60  # iterations of the last run; the first one has 25
+
+
+@query(
+    "resumed_run", "scenario iteration:i total_generation:2 run:i",
+    f"""WITH {RESULTS_SQL} SELECT scenario, iteration, total_generation,
+      CASE WHEN scenario = 'AFRICA' THEN 4 WHEN scenario = 'ASIA' THEN 2 WHEN iteration <= 20 THEN 1 ELSE 3 END AS run
+    FROM results WHERE scenario IN ('AFRICA', 'AMERICA', 'ASIA') AND iteration BETWEEN 1 AND {RESUMED}""",
+)
+def resumed_run(spark, sf_dir):
+    """Runs on one path: 25 iterations of two scenarios; with a scenario more; with more iterations,
+    which keeps the first's whole blocks; and after the seed of one scenario has changed."""
+    rows = scratch.landed(results(spark, sf_dir).select("scenario", "iteration", "total_generation"), "results")
+    path = scratch.new_path(spark, "resumed_run")
+
+    def go(run, n, seeds):
+        digests = {s: commits.digest_of(s, seed) for s, seed in seeds.items()}
+
+        def rows_of(first, last, names):
+            some = rows.where(F.col("iteration").between(first, last) & F.col("scenario").isin(names))
+            return some.withColumn("run", F.lit(run))
+
+        commits.write_blocks(spark, rows_of, path, n, digests, block=20)
+        return commits.read_iterations(spark, path, digests, n)
+
+    africa, america, asia = REGIONS[:3]
+    go(1, 25, {africa: 1, america: 1})
+    go(2, RESUMED, {asia: 1})
+    go(3, RESUMED, {africa: 1, america: 1, asia: 1})
+    return go(4, RESUMED, {africa: 2, america: 1, asia: 1})
 
 
 @query(

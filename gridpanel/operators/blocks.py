@@ -113,19 +113,44 @@ def with_previous(
     )
 
 
+FAN = 1024
+
+
+def _sums_before(ends: DataFrame, keys: list[str], block: str, levels: int) -> DataFrame:
+    """``_cs``: for each key and block the sum ``_s`` of the blocks before it.
+
+    With more than one level, blocks are first added up in runs of ``FAN``, and the runs likewise,
+    so a window holds a run's blocks and not all of a long series.
+    """
+    earlier = (Window.unboundedPreceding, -1)
+    if levels == 1:
+        along = Window.partitionBy(*keys).orderBy(block).rowsBetween(*earlier)
+        return ends.select(*keys, block, F.sum("_s").over(along).alias("_cs"))
+    run = f"_run{levels}"
+    placed = ends.select(*keys, block, F.floor(F.col(block) / FAN).cast("bigint").alias(run), "_s")
+    runs = placed.groupBy(*keys, run).agg(F.sum("_s").alias("_s"))
+    before = _sums_before(runs, keys, run, levels - 1).withColumnRenamed("_cs", "_runs")
+    inside = Window.partitionBy(*keys, run).orderBy(block).rowsBetween(*earlier)
+    local = placed.withColumn("_in", F.sum("_s").over(inside))
+    both = F.coalesce("_in", F.lit(0)) + F.coalesce("_runs", F.lit(0))
+    return local.join(before, [*keys, run], "left").select(*keys, block, both.alias("_cs"))
+
+
 def with_running_sum(
     df: DataFrame, keys: list[str], order: list[str], block: str, value: Column, out: str,
-    inclusive: bool = True,
+    inclusive: bool = True, levels: int = 1,
 ) -> DataFrame:
-    """Add the running sum of ``value`` along the order, with or without the row's own."""
+    """Add the running sum of ``value`` along the order, with or without the row's own.
+
+    ``levels`` above 1 (for blocks that are numbers) is for series of more blocks than a task should
+    put in order: each level takes the summaries down by ``FAN``. Key columns must not be null then.
+    """
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, end
     )
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = _carried(
-        df, keys, block, {"_s": F.sum(value)}, {"_cs": F.sum("_s").over(earlier)}
-    )
+    ends = df.groupBy(*keys, block).agg(F.sum(value).alias("_s"))
+    carried = _sums_before(ends, keys, block, levels)
     zero = F.lit(0).cast("double")
     return (
         df.withColumn("_local", F.sum(value).over(inside))
@@ -136,8 +161,8 @@ def with_running_sum(
 
 
 def with_row_number(
-    df: DataFrame, keys: list[str], order: list[str], block: str, out: str
+    df: DataFrame, keys: list[str], order: list[str], block: str, out: str, levels: int = 1
 ) -> DataFrame:
     """Add the 1-based position along the order."""
-    numbered = with_running_sum(df, keys, order, block, F.lit(1), out)
+    numbered = with_running_sum(df, keys, order, block, F.lit(1), out, levels=levels)
     return numbered.withColumn(out, F.col(out).cast("bigint"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
+from gridpanel.functions.calendars import hour_number
 from gridpanel.operators import blocks
 
 
@@ -34,6 +35,16 @@ def with_bundle(
     return numbered.withColumn(out, F.least(F.floor((F.col("_n") - 1) / size), full)).drop("_n", "_all")
 
 
+def with_calendar_bundle(
+    df: DataFrame, ts: str, first: Column | int, last: Column | int, size: int = fv.BUNDLE_HOURS, out: str = "bundle"
+) -> DataFrame:
+    """``with_bundle`` where every hour is there once from hour number ``first`` to ``last``: a row's
+    position follows from its time, so nothing is numbered, sorted or shuffled."""
+    begin, end = (x if isinstance(x, Column) else F.lit(x) for x in (first, last))
+    full = F.greatest(F.floor((end - begin + 1) / size) - 1, F.lit(0))
+    return df.withColumn(out, F.least(F.floor((hour_number(ts) - begin) / size), full).cast("bigint"))
+
+
 def bundle_bounds(
     df: DataFrame, keys: list[str], value: str, bundle: str = "bundle", prefix: str = "hydro"
 ) -> DataFrame:
@@ -141,3 +152,86 @@ def stock_columns(hours: DataFrame, params: dict[str, float], keys: list[str], o
         start_share * params["batt_duration"] * F.first("batteries_cap_gw").over(w),
     )
     return hours.withColumns({"pumped_hydro_storage": hydro, "battery_storage": battery})
+
+
+# --- storage limits over series of any length --------------------------------------------------
+
+
+def stores(params: dict[str, float], battery_charge: str = "battery_charge") -> Column:
+    """The two stores of a row: flows, the power that limits them, the stock that limits the
+    store, and the size its first and last stock are measured by."""
+
+    def store(name, charge, discharge, efficiency, charge_power, discharge_power, limit, size):
+        root = math.sqrt(params[efficiency])
+        return F.struct(
+            F.lit(name).alias("store"),
+            (F.col(charge) * root - F.col(discharge) / root).alias("flow"),
+            (F.col(charge) - F.col(charge_power)).alias("charge_over"),
+            (F.col(discharge) - F.col(discharge_power)).alias("discharge_over"),
+            limit.cast("double").alias("limit"),
+            size.cast("double").alias("size"),
+        )
+
+    hydro, battery = F.lit(params["ph_storage_cap_gwh"]), params["batt_duration"] * F.col("batteries_cap_gw")
+    return F.array(
+        store(
+            "pumped_hydro", "charge", "q_pumped_hydro", "ph_roundtrip_eff", "pumped_hydro_pump_cap_gw",
+            "pumped_hydro_turb_cap_gw", hydro, hydro,
+        ),
+        store(
+            "battery", battery_charge, "q_battery", "batt_roundtrip_eff", "batteries_cap_gw", "batteries_cap_gw",
+            battery / math.sqrt(params["batt_roundtrip_eff"]), battery,
+        ),
+    )
+
+
+def storage_checks(
+    hours: DataFrame, params: dict[str, float], keys: list[str], order: str, block: str, start_share: Column,
+    least_end: float = 0.2, tol: float = 1e-9,
+) -> DataFrame:
+    """Per key and store: its first and last stock, steps below 0, above the limit (the first one
+    is given, so it is not tested) and with flows beyond power, and whether it ends below ``least_end`` of its size.
+
+    A block of a series hands on its flow, its lowest running stock and its highest one against
+    the limit, all from a start of 0; these add up along the blocks. Rows are counted only in
+    blocks whose summary shows that a limit is passed, so a series of any length passes in pieces.
+    ``start_share`` is the first stock by size, of the key's columns.
+    """
+    group = [*keys, "store"]
+    long = hours.select(*keys, order, block, start_share.alias("share"), F.explode(stores(params)).alias("s"))
+    placed = blocks.spread(long.select(*keys, order, block, "share", "s.*"), group, block)
+    so_far = Window.partitionBy(*group, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("rolled", F.coalesce(F.sum("flow").over(so_far), F.lit(0.0)))
+    ends = local.groupBy(*group, block).agg(
+        F.sum("flow").alias("flow"), F.min("rolled").alias("lowest"),
+        F.max(F.col("rolled") - F.col("limit")).alias("highest"), F.min_by(F.struct("size", "share"), order).alias("opening"),
+        F.min(order).alias("begins"), F.max_by("rolled", order).alias("closing"),
+        F.count_if(F.col("charge_over") > tol).alias("charge_over"), F.count_if(F.col("discharge_over") > tol).alias("discharge_over"),
+    )
+    along = Window.partitionBy(*group).orderBy(block)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first("opening").over(along)
+    carried = ends.withColumns(
+        {
+            "size": first["size"], "start": first["size"] * first["share"],
+            "carry": first["size"] * first["share"] + F.coalesce(F.sum("flow").over(earlier), F.lit(0.0)),
+            "opens": F.first("begins").over(along),
+        }
+    )
+    broken = (F.col("carry") + F.col("lowest") < -tol) | (F.col("carry") + F.col("highest") > tol)
+    passed = carried.where(broken).select(*group, block, "carry", "opens")
+    stock = F.col("carry") + F.col("rolled")
+    counted = (
+        local.join(passed, [*group, block])
+        .groupBy(*group)
+        .agg(
+            F.count_if(stock < -tol).alias("below_zero"),
+            F.count_if((stock > F.col("limit") + tol) & (F.col(order) > F.col("opens"))).alias("above_limit"),
+        )
+    )
+    whole = carried.groupBy(*group).agg(
+        F.first("start").alias("first_stock"), F.max_by(F.col("carry") + F.col("closing"), block).alias("last_stock"),
+        F.sum("charge_over").alias("charge_over"), F.sum("discharge_over").alias("discharge_over"),
+        (F.max_by(F.col("carry") + F.col("closing"), block) < least_end * F.first("size") - tol).alias("low_end"),
+    )
+    return whole.join(counted, group, "left").fillna(0, ["below_zero", "above_limit"])

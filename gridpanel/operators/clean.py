@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
 from gridpanel.functions.sizes import broadcast_within
+from gridpanel.operators.joins import join_few
 from gridpanel.operators import fill
 
 # --- rows ----------------------------------------------------------------------------
@@ -88,9 +89,10 @@ def coarse_join(
 
 
 def override_series(panel: DataFrame, better: DataFrame) -> DataFrame:
-    """Replace whole series by those of another source, matched by name."""
+    """Replace whole series by those of another source, matched by name; the panel's rows are
+    not moved to their names, of which there are few."""
     names = better.select("series").distinct()
-    return panel.join(names, "series", "left_anti").unionByName(better.select(*panel.columns))
+    return join_few(panel, names, ["series"], "left_anti").unionByName(better.select(*panel.columns))
 
 
 def override_columns(df: DataFrame, better: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
 from gridpanel.functions.sizes import broadcast_within
-from gridpanel.operators.quantiles import exact_quantiles, value_counts
+from gridpanel.operators.joins import join_few
+from gridpanel.operators.quantiles import exact_quantiles
 
 # --- totals of a row -------------------------------------------------------------------
 
@@ -214,15 +215,16 @@ def boxplot_stats(
     points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     quartiles = exact_quantiles(df, keys, value, points, max_groups=max_groups)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    within = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    x = F.col(value)
+    within = x.between(F.col("q1") - reach, F.col("q3") + reach)
+    known = df.where(x.isNotNull())
     return (
-        value_counts(df, keys, value)
-        .join(broadcast_within(quartiles, max_groups), keys)
+        (join_few(known, quartiles, keys) if max_groups is None else known.join(broadcast_within(quartiles, max_groups), keys))
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
-            F.sum("copies").alias("n"),
-            F.min(F.when(within, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(within, F.col("value"))).alias("whisker_high"),
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.when(within, x)).alias("whisker_low"),
+            F.max(F.when(within, x)).alias("whisker_high"),
         )
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
@@ -113,12 +115,12 @@ def kde_range(stats: DataFrame) -> DataFrame:
     )
 
 
-def kde_grid(points: DataFrame, stats: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    """Normalised weighted Gaussian density and its running sum on the grid.
+def _densities(points: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
+    """``low, spacing`` and the arrays ``pdf`` and ``cdf`` of grid length for each group.
 
     Points are first shared between the two grid cells around them, so a group
-    holds at most as many cells as the grid has, whatever its number of points;
-    density is then the kernel-weighted sum over cells.
+    holds at most as many cells as the grid has, whatever its number of points; the cells are
+    then convolved with the kernel.
     """
     ranges = kde_range(stats).select(*group, "bandwidth", "low", "spacing")
     place = (F.col("delta") - F.col("low")) / F.col("spacing")
@@ -130,49 +132,53 @@ def kde_grid(points: DataFrame, stats: DataFrame, group: list[str] = GROUP) -> D
     )
     cells = (
         points.join(ranges, group)
-        .select(*group, F.explode(shared).alias("c"))
-        .groupBy(*group, "c.cell")
+        .select(*group, "low", "spacing", "bandwidth", F.explode(shared).alias("c"))
+        .groupBy(*group, "low", "spacing", "bandwidth", "c.cell")
         .agg(F.sum("c.mass").alias("mass"))
-        .groupBy(*group)
+        .groupBy(*group, "low", "spacing", "bandwidth")
         .agg(F.array_sort(F.collect_list(F.struct("cell", "mass"))).alias("cells"))
     )
-    unit = F.col("spacing") / F.col("bandwidth")
-
-    def density(i):
-        return F.aggregate(
-            F.col("cells"),
-            F.lit(0.0),
-            lambda total, c: total + c["mass"] * F.exp(-0.5 * F.pow((i - c["cell"]) * unit, F.lit(2.0))),
-        )
-
-    raw = F.transform(F.sequence(F.lit(0), F.lit(fv.KDE_POINTS - 1)), density)
-    on_grid = ranges.join(cells, group).select(
-        *group, "low", "spacing", F.posexplode(raw).alias("i", "density")
-    )
-    return running_cdf(on_grid, group, "i", "density").withColumn(
-        "x", F.col("low") + F.col("i") * F.col("spacing")
-    )
 
+    @F.arrow_udf("pdf array<double>, cdf array<double>")
+    def smoothed(cells: pa.Array, unit: pa.Array) -> pa.Array:
+        pdfs = []
+        for own, width in zip(cells, unit.to_pylist()):
+            at = own.values.field("cell").to_numpy(zero_copy_only=False)
+            pdfs.append(density(at, own.values.field("mass").to_numpy(zero_copy_only=False), width, fv.KDE_POINTS))
+        ends = pa.array(np.arange(len(pdfs) + 1, dtype=np.int32) * fv.KDE_POINTS)
+        arrays = [pa.array(np.concatenate([np.zeros(0), *some])) for some in (pdfs, [p.cumsum() for p in pdfs])]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, x) for x in arrays], ["pdf", "cdf"])
+
+    found = cells.withColumn("d", smoothed("cells", F.col("spacing") / F.col("bandwidth")))
+    return found.select(*group, "low", "spacing", "d.pdf", "d.cdf")
+
+
+KERNEL_REACH = 9.0  # bandwidths; beyond, the kernel is under 3e-18 of its height
 
-def running_cdf(df: DataFrame, group: list[str], order: str, density: str) -> DataFrame:
-    """Normalise a density over its grid and add the running sum."""
-    whole = Window.partitionBy(*group)
-    so_far = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pdf = F.col(density) / F.sum(density).over(whole)
-    return df.withColumn("pdf", pdf).withColumn("cdf", F.sum("pdf").over(so_far)).drop(density)
+
+def density(cell: np.ndarray, mass: np.ndarray, unit: float, size: int) -> np.ndarray:
+    """Normalised Gaussian smoothing of masses on a grid; ``unit`` is its spacing in bandwidths.
+    The kernel is evaluated once and cut where it has no weight left."""
+    reach = min(size - 1, int(np.ceil(KERNEL_REACH / unit)))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) * unit) ** 2)
+    on_grid = np.zeros(size)
+    np.add.at(on_grid, cell, mass)
+    smooth = np.convolve(on_grid, kernel)[reach : reach + size]
+    return smooth / smooth.sum()
+
+
+def kde_grid(points: DataFrame, stats: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """Normalised weighted Gaussian density and its running sum, one row per grid point."""
+    known = _densities(points, stats, group)
+    rows = known.select(*group, "low", "spacing", F.posexplode(F.arrays_zip("pdf", "cdf")).alias("i", "d"))
+    return rows.select(*group, "low", "spacing", "i", "d.pdf", "d.cdf", (F.col("low") + F.col("i") * F.col("spacing")).alias("x"))
 
 
 def distributions(points: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """One row per base year and variable: sampling rule, statistics and, for
     kernel densities, the running sum as an array of grid length."""
     stats = delta_stats(points, group)
-    grid = kde_grid(points, stats, group)
-    lookup = grid.groupBy(*group, "low", "spacing").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "cdf"))), lambda p: p["cdf"]
-        ).alias("cdf")
-    )
-    return stats.join(lookup, group, "left")
+    return stats.join(_densities(points, stats, group).drop("pdf"), group, "left")
 
 
 def grid_index(cdf: Column | str, u: Column | str, size: int = fv.KDE_POINTS) -> Column:

@@ -46,39 +46,64 @@ def curtailed_share(produced: Column, curtailed: Column) -> Column:
     return 1.0 - scalars.ratio(produced, produced + curtailed)
 
 
-def kpi_columns() -> dict[str, Column]:
+class OverHours:
+    """Aggregates as they are taken from the cleared hours themselves."""
+
+    def count(self) -> Column:
+        return F.count(F.lit(1))
+
+    def count_if(self, condition: str) -> Column:
+        return F.count_if(F.expr(CONDITIONS[condition]))
+
+    def first(self, c: str) -> Column:
+        return F.min_by(c, "ts")
+
+    def __getattr__(self, kind: str):
+        return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}[kind]
+
+
+CONDITIONS = {
+    "shortage": "status = 'shortage'",
+    "oversupply": "status = 'oversupply'",
+    "shed": f"shed > {fv.SHED_HOUR_THRESHOLD!r}D",
+}
+
+
+def kpi_columns(over=None) -> dict[str, Column]:
     """Aggregates of an iteration's cleared hours, in reporting order.
 
     Flows are scaled from the sampled hours to a year. Emissions are given both
-    for the sample and for a year.
+    for the sample and for a year. ``over`` says how aggregates are taken: from hours or
+    from their ``parts``.
     """
-    yearly = F.lit(fv.HOURS_PER_YEAR) / F.count(F.lit(1))
+    over = over or OverHours()
+    yearly = F.lit(fv.HOURS_PER_YEAR) / over.count()
 
     def annual(c):
-        return F.sum(c) * yearly
+        return over.sum(c) * yearly
 
     def share(c):
-        return scalars.ratio(F.sum(c), F.sum("total_generation"))
+        return scalars.ratio(over.sum(c), over.sum("total_generation"))
 
     out = {
-        "n_hours": F.count(F.lit(1)),
-        "shortage_hours": F.count_if(F.col("status") == "shortage"),
-        "oversupply_hours": F.count_if(F.col("status") == "oversupply"),
-        "baseline_year": F.min("base_year"),
-        "day_start": F.min("day_start"),
-        "avg_price": F.avg("price"),
-        "max_price": F.max("price"),
-        "min_price": F.min("price"),
-        "std_price": F.stddev_samp("price"),
+        "n_hours": over.count(),
+        "shortage_hours": over.count_if("shortage"),
+        "oversupply_hours": over.count_if("oversupply"),
+        "baseline_year": over.min("base_year"),
+        "day_start": over.min("day_start"),
+        "avg_price": over.avg("price"),
+        "max_price": over.max("price"),
+        "min_price": over.min("price"),
+        "std_price": over.std("price"),
     }
     out |= {f"{s}_demand": annual(f"{s}_demand") for s in fv.SECTORS}
-    surplus = F.sum("producer_revenue") - F.sum("total_costs")
+    surplus = over.sum("producer_revenue") - over.sum("total_costs")
     out |= {
         "total_demand": annual("total_demand"),
         "consumer_surplus": annual("consumer_surplus"),
         "producer_surplus": surplus * yearly,
         "total_cost": annual("total_costs"),
-        "net_welfare": (F.sum("consumer_surplus") + surplus) * yearly,
+        "net_welfare": (over.sum("consumer_surplus") + surplus) * yearly,
     }
     out |= {f"{t}_gen": annual(f"q_{t}") for t in PRODUCERS}
     out |= {
@@ -89,9 +114,9 @@ def kpi_columns() -> dict[str, Column]:
     }
     for short, stock in (("ph", "pumped_hydro_storage"), ("batt", "battery_storage")):
         out |= {
-            f"initial_{short}_stock": F.min_by(stock, "ts"),
-            f"mean_{short}_stock": F.avg(stock),
-            f"max_{short}_stock": F.max(stock),
+            f"initial_{short}_stock": over.first(stock),
+            f"mean_{short}_stock": over.avg(stock),
+            f"max_{short}_stock": over.max(stock),
         }
     out |= {
         c: annual(c)
@@ -102,21 +127,21 @@ def kpi_columns() -> dict[str, Column]:
         "share_low_carbon_gen": share("low_carbon_gen"),
         "share_storage_out": share("storage_out"),
         "share_min_non_ren": share("min_non_renewable_gen"),
-        "min_share_ren": F.min("share_renewable_gen"),
-        "max_share_ren": F.max("share_renewable_gen"),
+        "min_share_ren": over.min("share_renewable_gen"),
+        "max_share_ren": over.max("share_renewable_gen"),
     }
     out |= {
-        f"curt_{t}": curtailed_share(F.sum(f"q_{t}"), F.sum(f"curtailment_{t}"))
+        f"curt_{t}": curtailed_share(over.sum(f"q_{t}"), over.sum(f"curtailment_{t}"))
         for t in fv.FACTOR_LIMITED
     }
     out |= {
         "load_shedding": annual("shed"),
         "total_ens": annual("shed"),
-        "lole_hours": F.count_if(F.col("shed") > fv.SHED_HOUR_THRESHOLD) * yearly,
+        "lole_hours": over.count_if("shed") * yearly,
     }
     out |= {f"{kind}_{b}": annual(f"{kind}_{b}_gwh") for kind in ("imports", "exports") for b in fv.BORDERS}
     out |= {
-        "direct_emissions": F.sum("direct_emissions"),
+        "direct_emissions": over.sum("direct_emissions"),
         "direct_emissions_annual": annual("direct_emissions"),
     }
     return out
@@ -161,8 +186,10 @@ def period_profile(
     """
     columns = PROFILED if columns is None else columns
     means = hours.groupBy(*RUN, period).agg(*[F.avg(c).alias(n) for n, c in columns.items()])
-    if not complete:
-        return means
+    return _every_period(means, period, list(columns)) if complete else means
+
+
+def _every_period(means: DataFrame, period: str, columns: list[str]) -> DataFrame:
     first, last = PERIODS[period]
     entry = F.struct(F.col(period), F.struct(*columns).alias("m"))
     laid = means.groupBy(*RUN).agg(F.map_from_entries(F.collect_list(entry)).alias("by_period"))
@@ -181,15 +208,110 @@ def realised_inputs(hours: DataFrame, columns: list[str] | None = None) -> DataF
     return hours.groupBy(*RUN).agg(*[F.avg(c).alias(c) for c in (columns or INPUTS)])
 
 
+# --- all tables of an iteration from one pass over its hours ---------------------------------------
+
+
+class _Wanted:
+    """Notes which aggregates are asked for."""
+
+    def __init__(self):
+        self.asked: set[tuple[str, str]] = set()
+
+    def count(self) -> Column:
+        return F.lit(1)
+
+    def __getattr__(self, kind: str):
+        def ask(c: str) -> Column:
+            self.asked.add((kind, c))
+            return F.lit(1)
+
+        return ask
+
+
+class OverParts:
+    """The same aggregates from ``parts``: counts and sums are added up, means weighted by the
+    known values, the deviations of the parts and of their means added."""
+
+    def count(self) -> Column:
+        return F.sum("n")
+
+    def count_if(self, condition: str) -> Column:
+        return F.sum(f"if_{condition}")
+
+    def sum(self, c: str) -> Column:
+        return F.sum(f"sum_{c}")
+
+    def avg(self, c: str) -> Column:
+        return scalars.ratio(F.sum(f"sum_{c}"), F.sum(f"n_{c}"))
+
+    def min(self, c: str) -> Column:
+        return F.min(f"min_{c}")
+
+    def max(self, c: str) -> Column:
+        return F.max(f"max_{c}")
+
+    def std(self, c: str) -> Column:
+        n, total = F.col(f"n_{c}"), F.col(f"sum_{c}")
+        between = F.sum(scalars.ratio(total * total, n)) - scalars.ratio(F.sum(total) * F.sum(total), F.sum(n))
+        squares = F.sum(f"dev_{c}") + F.greatest(between, F.lit(0.0))
+        return F.when(F.sum(n) > 1, F.sqrt(squares / (F.sum(n) - 1)))
+
+    def first(self, c: str) -> Column:
+        return F.min_by(f"first_{c}", "first_ts")
+
+
+def parts(hours: DataFrame) -> DataFrame:
+    """One row per iteration, month, hour of day and whether the hours are ``valid``, with what
+    the indicators, both profiles and the realised inputs are made of. The only pass over the hours."""
+    wanted = _Wanted()
+    kpi_columns(wanted)
+    wanted.asked |= {("avg", c) for c in [*PROFILED.values(), *INPUTS]}
+    out = {"n": F.count(F.lit(1)), "first_ts": F.min("ts")}
+    for kind, c in sorted(wanted.asked):
+        if kind in ("sum", "avg", "std"):
+            out[f"sum_{c}"] = F.sum(F.col(c).cast("double"))
+        if kind in ("avg", "std"):
+            out[f"n_{c}"] = F.count(c)
+        if kind == "std":
+            out[f"dev_{c}"] = F.var_pop(c) * F.count(c)
+        if kind in ("min", "max"):
+            out[f"{kind}_{c}"] = getattr(F, kind)(c)
+        if kind == "first":
+            out[f"first_{c}"] = F.min_by(c, "ts")
+        if kind == "count_if":
+            out[f"if_{c}"] = F.count_if(F.expr(CONDITIONS[c]))
+    valid = (F.col("status") != "undefined").alias("valid")
+    return hours.groupBy(*RUN, "month", "hour", valid).agg(*[e.alias(n) for n, e in out.items()])
+
+
+def kpis_of_parts(parts: DataFrame) -> DataFrame:
+    """``iteration_kpis`` of the valid hours."""
+    return parts.where("valid").groupBy(*RUN).agg(*[c.alias(n) for n, c in kpi_columns(OverParts()).items()])
+
+
+def profile_of_parts(parts: DataFrame, period: str) -> DataFrame:
+    """``period_profile`` of the valid hours."""
+    over = OverParts()
+    means = parts.where("valid").groupBy(*RUN, period).agg(*[over.avg(c).alias(n) for n, c in PROFILED.items()])
+    return _every_period(means, period, list(PROFILED))
+
+
+def inputs_of_parts(parts: DataFrame) -> DataFrame:
+    """``realised_inputs`` of all hours."""
+    over = OverParts()
+    return parts.groupBy(*RUN).agg(*[over.avg(c).alias(c) for c in INPUTS])
+
+
 def mean_capacity(hours: DataFrame, keys: list[str]) -> DataFrame:
     """Mean capacity per technology, long."""
     wide = hours.groupBy(*keys).agg(*[F.avg(c).alias(t) for t, c in fv.CAPACITY_COLUMN.items()])
     return to_long(wide, keys, {t: t for t in fv.TECHNOLOGIES}, "technology", "capacity")
 
 
-def default_hour(df: DataFrame, keys: list[str], order: list[str], block: str) -> DataFrame:
-    """Hour of day from the row's position when a table has no hour column."""
-    numbered = with_row_number(df, keys, order, block, "_n")
+def default_hour(df: DataFrame, keys: list[str], order: list[str], block: str, levels: int = 2) -> DataFrame:
+    """Hour of day from the row's position when a table has no hour column. Block sums are
+    added up in a tree of ``levels``, as such a table may have any number of rows a key."""
+    numbered = with_row_number(df, keys, order, block, "_n", levels)
     hour = F.pmod(F.pmod(F.col("_n") - 1, F.lit(8760)), F.lit(24))
     return numbered.withColumn("hour", hour).drop("_n")
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
 from gridpanel.functions import calendars, scalars
 from gridpanel.functions.sizes import broadcast_within
+from gridpanel.operators import merit_order
 
 # --- constants ---------------------------------------------------------------------------
 
@@ -283,22 +286,17 @@ def clear_market(
 def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile") -> DataFrame:
     """The same clearing on wide hours, each in its own row.
 
-    The stack of an hour is an array of the fixed number of technologies, put in
-    order and folded in place: nothing is exploded, shuffled or sorted across
-    rows. Adds ``q_<technology>``, ``price``, ``shed``, ``spill``, ``status``,
+    Bounds, costs and curves are expressions of the row; they alone go, in Arrow batches, to
+    ``merit_order.clear``, which clears a batch of hours at once. Nothing is exploded, shuffled or
+    sorted across rows. Adds ``q_<technology>``, ``price``, ``shed``, ``spill``, ``status``,
     ``<sector>_demand``, ``charge``, ``battery_charge`` (a supplied profile, 0
     without one) and ``net_export``, which includes both charges. An hour with a
     null among its bounds, costs, curves or exports is ``undefined``.
     """
-    gross = 1.0 + constants.loss
-    voll = constants.voll
-
-    def needed(level: str) -> Column:
-        return gross * demand_at(f"{gross}D * {level}") + F.col("net_export")
-
-    def level_for(supply: Column) -> Column:
-        return price_at((supply - F.col("net_export")) / gross) / gross
-
+    loss, voll = constants.loss, constants.voll
+    gross = 1.0 + loss
+    names = sorted(fv.TECHNOLOGIES)  # ties of cost go by name
+    listed = [names.index(t) for t in fv.TECHNOLOGIES]
     supply = {}
     for t in fv.TECHNOLOGIES:
         low, high = output_bounds(t, constants.params, hydro)
@@ -307,80 +305,34 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
     ready = hours.withColumns(supply | {"charge": pumping(), "battery_charge": given}).withColumn(
         "net_export", net_exports() + F.col("charge") + F.col("battery_charge")
     )
-    # ordered by cost, then by name
-    stack = [
-        F.struct(
-            F.col(f"_mc_{t}").alias("mc"), F.lit(t).alias("technology"),
-            F.expr(f"_hi_{t} - _lo_{t}").alias("flex"), needed(f"_mc_{t}").alias("need"),
-        )
-        for t in fv.TECHNOLOGIES
-    ]
-    stacked = ready.withColumns(
-        {
-            "_stack": F.sort_array(F.array(*stack)),
-            "_must": F.expr(" + ".join(f"_lo_{t}" for t in fv.TECHNOLOGIES)),
-            "_need0": needed("0D"),
-            "_need_voll": needed(f"{voll}D"),
-        }
-    ).withColumn("_over", F.col("_must") >= F.col("_need0"))
     inputs = [*supply, "net_export", *[c for pair in SECTOR_CURVES for c in pair]]
-    stacked = stacked.withColumn("_known", F.expr(" + ".join(inputs)).isNotNull())
-    start = F.struct(
-        F.col("_must").alias("supply"),
-        F.col("_over").alias("met"),
-        F.lit(None).cast("double").alias("mc"),
-        F.lit(None).cast("string").alias("technology"),
-        F.lit(0.0).alias("extra"),
-        F.when(F.col("_over"), F.lit(0.0)).alias("level"),
-    )
-
-    def add_block(m, b):
-        after = m["supply"] + b["flex"]
-        at_margin = F.when(m["supply"] <= b["need"], b["mc"]).otherwise(level_for(m["supply"]))
-        extra = F.greatest(b["need"] - m["supply"], F.lit(0.0))
-        here = F.struct(
-            m["supply"].alias("supply"), F.lit(True).alias("met"), b["mc"].alias("mc"),
-            b["technology"].alias("technology"), extra.alias("extra"), at_margin.alias("level"),
-        )
-        below = F.struct(
-            after.alias("supply"), F.lit(False).alias("met"), m["mc"].alias("mc"),
-            m["technology"].alias("technology"), m["extra"].alias("extra"), m["level"].alias("level"),
-        )
-        return F.when(m["met"], m).when(after >= b["need"], here).otherwise(below)
+    ready = ready.withColumn("_known", F.expr(" + ".join(inputs)).isNotNull())
+    arguments = [f"_{kind}_{t}" for kind in ("lo", "hi", "mc") for t in names] + ["net_export", *[c for pair in SECTOR_CURVES for c in pair]]
+    results = [*[f"q_{t}" for t in fv.TECHNOLOGIES], "level", "shed", "spill"]
+
+    @F.arrow_udf(", ".join(f"{c} double" for c in results))
+    def cleared(*columns: pa.Array) -> pa.Array:
+        given = [c.to_numpy(zero_copy_only=False) for c in columns]
+        k = len(names)
+        lo, hi, mc = (np.stack(given[i * k : (i + 1) * k], axis=1) for i in range(3))
+        curves = given[3 * k + 1 :]
+        done = merit_order.clear(lo, hi, mc, curves[::2], curves[1::2], given[3 * k], loss, voll)
+        values = [pa.array(done.q[:, i]) for i in listed]
+        values += [pa.array(done.level, mask=np.isnan(done.level)), pa.array(done.shed), pa.array(done.spill)]
+        return pa.StructArray.from_arrays(values, results)
 
     # generated from a one-element array: a later filter on any result then stops
-    # above this column, where it would otherwise repeat the fold per reference
-    folded = stacked.withColumn("_m", F.explode(F.array(F.aggregate("_stack", start, add_block))))
-    m = F.col("_m")
-    short = ~m["met"] & (F.col("_need_voll") > m["supply"])
-    level = (
-        F.when(m["met"], m["level"]).when(short, F.lit(voll)).otherwise(level_for(m["supply"]))
-    )
-    solved = folded.withColumns(
-        {
-            "_level": F.when(F.col("_known"), level),
-            "shed": F.when(F.col("_known"), F.when(short, F.col("_need_voll") - m["supply"]).otherwise(0.0)),
-            "spill": F.when(F.col("_known"), F.when(F.col("_over"), F.col("_must") - F.col("_need0")).otherwise(0.0)),
-        }
-    )
-    out = {
-        f"q_{t}": F.expr(
-            f"""CASE WHEN NOT _known THEN NULL WHEN _over THEN _lo_{t}
-                WHEN NOT _m.met OR _mc_{t} < _m.mc
-                  OR (_mc_{t} = _m.mc AND '{t}' < _m.technology) THEN _hi_{t}
-                WHEN _m.technology = '{t}' THEN _lo_{t} + _m.extra
-                ELSE _lo_{t} END"""
-        )
-        for t in fv.TECHNOLOGIES
-    }
-    out |= {
+    # above this column, where it would otherwise clear the hours once more
+    solved = ready.withColumn("_m", F.explode(F.array(cleared(*arguments))))
+    out = {c: F.when(F.col("_known"), F.col("_m")[c]) for c in results if c != "level"}
+    solved = solved.withColumns(out | {"_level": F.when(F.col("_known"), F.col("_m")["level"])})
+    priced = {
         f"{s}_demand": F.expr(f"IF(_known, greatest(a_{s} - b_{s} * ({gross}D * _level), 0D), NULL)")
         for s in fv.SECTORS
     }
-    out["price"] = gross * F.col("_level") / 1000.0
-    out["status"] = _status(F.col("_known"), F.col("spill") > 0, F.col("shed"))
-    helpers = ["_known", "_stack", "_must", "_need0", "_need_voll", "_over", "_m", "_level", *supply]
-    return solved.withColumns(out).drop(*helpers)
+    priced["price"] = gross * F.col("_level") / 1000.0
+    priced["status"] = _status(F.col("_known"), F.col("spill") > 0, F.col("shed"))
+    return solved.withColumns(priced).drop("_known", "_m", "_level", *supply)
 
 
 # --- accounts of a cleared hour --------------------------------------------------------------------

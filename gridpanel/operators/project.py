@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel import fixed_values as fv
-from gridpanel.functions import calendars, scalars
+from gridpanel.functions import calendars, scalars, sizes
 
 SALTS = 32
+BROADCAST_BYTES = 256 << 20
 
 
 def expand(
-    panel: DataFrame, draws: DataFrame, strategy: str = "broadcast",
-    window_days: int | None = fv.WINDOW_DAYS, salts: int = SALTS,
+    panel: DataFrame, draws: DataFrame, strategy: str = "measured",
+    window_days: int | None = fv.WINDOW_DAYS, salts: int = SALTS, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Each iteration's hours: its base year, and in every month the days from
     ``day_start`` on (``window_days=None``: the whole year).
 
-    Days are listed on the draw, which makes it a plain equi join. ``strategy`` is
-    the caller's: ``"broadcast"`` for a panel of a few years of hours, which leaves
-    iterations where they are; ``"salted"`` for a panel too large for that, which is
+    Days are listed on the draw, which makes it a plain equi join. ``"measured"`` counts the
+    panel's rows: up to ``max_bytes`` of numbers it is broadcast, which leaves iterations where they are;
+    beyond that, and with ``"salted"``, it is
     copied ``salts`` times with iterations dealt over the copies, since a handful of
-    (year, day) keys would otherwise hold all rows.
+    (year, day) keys would otherwise hold all rows. ``"broadcast"`` refuses a larger panel. The
+    panel should be a stored table with the columns that are used.
     """
-    if strategy not in ("broadcast", "salted"):
+    if strategy not in ("measured", "broadcast", "salted"):
         raise ValueError(f"unknown strategy {strategy!r}")
     keyed = draws
     on = ["year"]
@@ -33,8 +35,11 @@ def expand(
         keyed = keyed.withColumn("day", F.explode(F.sequence(F.col("day_start"), last)))
         on = ["year", "day"]
     keyed = keyed.withColumn("year", F.col("base_year"))
+    small = None if strategy == "salted" else sizes.broadcast_if_small(panel, max_bytes)
+    if small is not None:
+        return keyed.join(small, on)
     if strategy == "broadcast":
-        return keyed.join(F.broadcast(panel), on)
+        raise ValueError(f"the panel takes more than {max_bytes} bytes")
     copies = panel.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = keyed.withColumn(
         "salt", F.pmod(F.xxhash64("scenario", "iteration"), F.lit(salts)).cast("int")

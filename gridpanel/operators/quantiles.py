@@ -1,9 +1,10 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile holds every distinct value of a group in one
-task's memory. Here the distinct values of a group are cut into ranges at
-approximate quantiles (a sketch of bounded size), the ranges are counted, and
-only the ranges that contain a wanted rank are put in order, each on its own.
+task's memory. Here a sketch of bounded size, merged over tasks, first gives each wanted
+rank a bracket of two values, a share ``MARGIN`` of the rows to either side. Rows outside the
+brackets are only counted, in the task that reads them; values inside are counted each
+and put in order. What is put in order so follows the rows: about ``2 * MARGIN`` of them for a quantile.
 """
 
 from __future__ import annotations
@@ -12,106 +13,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.functions.sizes import broadcast_within
+from gridpanel.operators.joins import join_few
 
-RANGES = 128
-
-
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values per group with their number of rows; nulls are left out."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-
-
-def _ranged(
-    counts: DataFrame, keys: list[str], ranges: int, max_groups: int | None
-) -> DataFrame:
-    """Value counts with the number of the range each value falls into."""
-    steps = [i / ranges for i in range(1, ranges)]
-    # the condition holds always; with it both readings of the counts are the
-    # same plan up to their shuffle, which Spark then runs once
-    counts = counts.where(F.col("copies") > 0)
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("value", steps, ranges * 8).alias("cuts")
-    )
-    # the cuts are sorted, so a value's range is the number of cuts below it;
-    # halving steps find it without looking at each cut
-    halves = []
-    width = 1
-    while width < ranges:
-        halves.insert(0, width)
-        width *= 2
-    below = F.aggregate(
-        F.array(*[F.lit(h) for h in halves]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size("cuts")) & (F.try_element_at("cuts", at + step) < F.col("value")),
-            at + step,
-        ).otherwise(at),
-    )
-    # a row of cuts is an array of the given number of ranges
-    rows = None if max_groups is None else max_groups * ranges // len(cuts.columns) + 1
-    return counts.join(broadcast_within(cuts, rows), keys).withColumn("range", below).drop("cuts")
+ACCURACY = 5000  # the sketch is right within a 5000th of the rows
+MARGIN = 10 / ACCURACY
+WHOLE = 4096  # groups up to this are put in order whole
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float],
-    ranges: int = RANGES, max_groups: int | None = None,
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], max_groups: int | None = None,
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, named by the dict.
+    """One row per group with linearly interpolated quantiles, named by the dict; nulls are left out.
 
-    ``max_groups`` is the number of groups if fixed lists bound it.
+    ``max_groups`` is the number of groups if fixed lists bound it; without it the brackets are
+    stored and measured. Reads the rows twice. A
+    rank that its bracket does not hold, which the sketch rules out, is an error, not a wrong value.
     """
-    placed = _ranged(value_counts(df, keys, value), keys, ranges, max_groups)
-    sizes = placed.groupBy(*keys, "range").agg(F.sum("copies").alias("size"))
-    in_order = Window.partitionBy(*keys).orderBy("range")
-    whole = Window.partitionBy(*keys)
-    bounds = sizes.select(
-        *keys,
-        "range",
-        F.sum("size").over(in_order).alias("upto"),
-        F.sum("size").over(whole).alias("n"),
-        (F.sum("size").over(in_order) - F.col("size")).alias("before"),
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    points = [min(max(p + side * MARGIN, 0.0), 1.0) for p in probabilities.values() for side in (-1, 1)]
+    sketch = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        F.percentile_approx("_v", points, ACCURACY).alias("_at"),
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("at"))
-            for name, p in probabilities.items()
-        ]
-    )
-    # the ranks around each wanted position, counted from 0
-    targets = (
-        bounds.withColumn("w", F.explode(wanted))
-        .select(
-            *keys, "range", "before", "upto", F.col("w.name").alias("name"),
-            F.floor("w.at").alias("low"), F.ceil("w.at").alias("high"),
-            (F.col("w.at") - F.floor("w.at")).alias("part"),
-        )
-        .where(
-            F.col("low").between(F.col("before"), F.col("upto") - 1)
-            | F.col("high").between(F.col("before"), F.col("upto") - 1)
+    whole = F.col("_n") <= WHOLE
+    ends = {}
+    for i, p in enumerate(probabilities.values()):
+        low, high = (F.element_at("_at", 2 * i + 1), F.element_at("_at", 2 * i + 2))
+        # where the margin reaches beyond the first or last row, all rows on that side are inside
+        ends[f"_lo{i}"] = F.when(whole | F.lit(p <= MARGIN), F.col("_least")).otherwise(low)
+        ends[f"_hi{i}"] = F.when(whole | F.lit(p >= 1 - MARGIN), F.col("_most")).otherwise(high)
+    brackets = sketch.select(*keys, F.col("_n"), *[e.alias(n) for n, e in ends.items()])
+    numbers = range(len(probabilities))
+    inside = [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in numbers]
+    anywhere = inside[0]
+    for one in inside[1:]:
+        anywhere = anywhere | one
+    carried = ["_n", *ends]
+    # rows outside all brackets are one row of a group here, before they are shuffled
+    joined = join_few(known, brackets, keys) if max_groups is None else known.join(broadcast_within(brackets, max_groups), keys)
+    counted = (
+        joined
+        .groupBy(*keys, *carried, F.when(anywhere, F.col("_v")).alias("_in"))
+        .agg(
+            *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in numbers],
+            F.count(F.lit(1)).alias("_copies"),
         )
     )
-    needed = targets.select(*keys, "range", "before").distinct()
-    inside = Window.partitionBy(*keys, "range").orderBy("value")
-    ranked = placed.join(needed, [*keys, "range"]).select(
-        *keys,
-        "range",
-        "value",
-        (F.col("before") + F.sum("copies").over(inside)).alias("end"),
-        (F.col("before") + F.sum("copies").over(inside) - F.col("copies")).alias("start"),
-    )
-    hit = ranked.join(targets, [*keys, "range"]).where(
-        F.col("low").between(F.col("start"), F.col("end") - 1)
-        | F.col("high").between(F.col("start"), F.col("end") - 1)
-    )
-    at_low = F.max(F.when(F.col("low").between(F.col("start"), F.col("end") - 1), F.col("value")))
-    at_high = F.max(F.when(F.col("high").between(F.col("start"), F.col("end") - 1), F.col("value")))
-    points = hit.groupBy(*keys, "name").agg(
-        (at_low + (at_high - at_low) * F.max("part")).alias("quantile")
-    )
-    return points.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in probabilities]
-    )
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy("_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = {}
+    for i in numbers:
+        here = F.when(F.col("_in").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.col("_copies")).otherwise(0)
+        placed[f"_end{i}"] = F.sum(f"_below{i}").over(group) + F.sum(here).over(so_far)
+        placed[f"_start{i}"] = F.sum(f"_below{i}").over(group) + F.sum(here).over(so_far) - here
+    ranked = counted.withColumns(placed)
+    out = []
+    for i, (name, p) in enumerate(probabilities.items()):
+        at = F.lit(p) * (F.max("_n") - 1)
+        position = F.lit(p) * (F.col("_n") - 1)
+
+        def at_rank(rank, i=i):
+            return F.max(F.when((F.col(f"_start{i}") <= rank) & (rank < F.col(f"_end{i}")) & F.col("_in").isNotNull(), F.col("_in")))
+
+        low, high = at_rank(F.floor(position)), at_rank(F.ceil(position))
+        lost = F.raise_error(F.lit(f"the bracket of {name} does not hold its rank")).cast("double")
+        quantile = low + (high - low) * (at - F.floor(at))
+        out.append(F.when(quantile.isNotNull(), quantile).otherwise(lost).alias(name))
+    return ranked.groupBy(*keys).agg(*out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridpanel import fixed_values as fv
 from gridpanel.functions import keyed_random as rnd
 from gridpanel.operators import checks, draws, ensemble, market, project
-from gridpanel.sources import scratch, tables
+from gridpanel.sources import commits, scratch
 
 SETTINGS = [
     "scenario", "elas_anomaly", "hydro_anomaly", "coal_phase_out", "nuclear_phase_out",
@@ -53,12 +53,13 @@ def cleared_hours(
 ) -> DataFrame:
     """Every sampled hour of every iteration, projected, cleared and accounted.
 
-    ``panel`` holds one row per hour (``ts``) of the base years, which bounds it.
+    ``panel`` holds one row per hour (``ts``) of the base years, best as a stored table: it is
+    measured, and read for every block of iterations.
     """
     variables = draws.fanned_variables()
     past = panel.where(F.col("year").isin(base_years))
     hours = project.project(
-        project.expand(past, drawn, "broadcast", window_days), variables
+        project.expand(past, drawn, window_days=window_days), variables
     )
     if hydro == "bounds":
         hours = checks.with_bundle(hours, ensemble.RUN, "ts")
@@ -70,17 +71,27 @@ def cleared_hours(
 
 
 def result_tables(hours: DataFrame, drawn: DataFrame) -> Ensemble:
-    valid = ensemble.valid_hours(hours)
+    """The hours are read once, for a stored table of parts a seventh their length (and
+    narrower); the result tables add these up."""
+    parts = scratch.landed(ensemble.parts(hours), "parts")
     return Ensemble(
         hours=hours,
-        main_results=ensemble.iteration_kpis(valid),
-        hourly_profiles=ensemble.period_profile(valid, "hour"),
-        monthly_profiles=ensemble.period_profile(valid, "month"),
+        main_results=ensemble.kpis_of_parts(parts),
+        hourly_profiles=ensemble.profile_of_parts(parts, "hour"),
+        monthly_profiles=ensemble.profile_of_parts(parts, "month"),
         delta_draws=drawn,
-        inputs_realized=ensemble.realised_inputs(hours),
+        inputs_realized=ensemble.inputs_of_parts(parts),
     )
 
 
+def run_digests(scenarios: DataFrame, inputs: list[DataFrame], seed: int, base_years: list[int], window_days: int | None) -> dict[str, str]:
+    """By scenario, what its cleared hours follow from: its settings, the seed, the sampled
+    years and window, and the rows of the inputs. The scenario table is small by its nature."""
+    shared = [seed, base_years, window_days, *[commits.content_hash(df) for df in inputs]]
+    rows = scenarios.select(*SETTINGS).collect()
+    return {r["scenario"]: commits.digest_of(r.asDict(), shared) for r in rows}
+
+
 def run_ensemble(
     panel: DataFrame, technology: DataFrame, params: DataFrame, estimates: DataFrame,
     scenarios: DataFrame, n: int, seed: int, base_years: list[int] | None = None,
@@ -88,18 +99,24 @@ def run_ensemble(
 ) -> Ensemble:
     """Draw, project, clear and summarise ``n`` iterations per scenario.
 
-    Four tables read the cleared hours, so these are written once, in blocks of
-    iterations, to ``path`` or the session's shared folder, and read from there. A
-    run that is started again on the same ``path`` goes on after its last block.
+    The cleared hours are written in blocks of iterations to ``path`` or the session's
+    shared folder, and read from there, once, for all tables. A
+    run that is started again on the same ``path`` writes what is missing there of the same
+    seed, settings and inputs (``run_digests``): after a run that died, for more iterations,
+    for scenarios that were added.
     """
+    spark = panel.sparkSession
     years = fv.BASE_YEARS if base_years is None else base_years
     constants = market.Constants.load(technology, params)
     drawn = draw_ensemble(scenarios, estimates, n, seed, years)
-    target = path or scratch.new_path(panel.sparkSession, "cleared_hours")
+    target = path or scratch.new_path(spark, "cleared_hours")
+    past = scratch.landed(panel.where(F.col("year").isin(years)), "base_years")
+    inputs = [past, technology, params, estimates]
+    digests = run_digests(scenarios, inputs, seed, years, window_days)
 
-    def hours_of(first: int, last: int) -> DataFrame:
-        some = drawn.where(F.col("iteration").between(first, last))
-        return cleared_hours(panel, some, constants, seed, years, window_days)
+    def hours_of(first: int, last: int, names: list[str]) -> DataFrame:
+        some = drawn.where(F.col("iteration").between(first, last) & F.col("scenario").isin(names))
+        return cleared_hours(past, some, constants, seed, years, window_days)
 
-    tables.write_blocks(panel.sparkSession, hours_of, target, n, block)
-    return result_tables(tables.read_results(panel.sparkSession, target), drawn)
+    commits.write_blocks(spark, hours_of, target, n, digests, block)
+    return result_tables(commits.read_iterations(spark, target, digests, n), drawn)

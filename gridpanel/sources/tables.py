@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,45 +45,6 @@ def read_scenario_files(
     return rows.withColumn("scenario", F.regexp_extract(name, rf"^(.*)_{table}\.csv$", 1))
 
 
-def with_block(df: DataFrame, block: int = 1000) -> DataFrame:
-    """Number of the run of iterations a row belongs to."""
-    return df.withColumn("iter_block", F.floor((F.col("iteration") - 1) / block).cast("int"))
-
-
-def write_iterations(df: DataFrame, path: str, block: int = 1000, files: int = 8) -> None:
-    """Write blocks of iterations in one commit; blocks that are written again are
-    replaced, the others stay. A scenario's block is dealt over ``files`` tasks."""
-    part = F.pmod(F.xxhash64("iteration"), F.lit(files))
-    (
-        with_block(df, block).repartition("scenario", "iter_block", part)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scenario", "iter_block").parquet(path)
-    )
-
-
-def finished_blocks(spark: SparkSession, path: str) -> set[int]:
-    """Blocks that a run, also one that failed later, has committed."""
-    try:
-        found = spark.read.parquet(path)
-    except AnalysisException:
-        return set()
-    return {r["iter_block"] for r in found.select("iter_block").distinct().collect()}
-
-
-def write_blocks(
-    spark: SparkSession, rows_of: Callable[[int, int], DataFrame], path: str, n: int, block: int = 1000
-) -> list[int]:
-    """Write iterations 1 to n, each block in a commit of its own, those that are there
-    already left out. ``rows_of(first, last)`` gives a block's rows, so a block computes
-    nothing of the others. Returns the blocks written."""
-    done, written = finished_blocks(spark, path), []
-    for number, first in enumerate(range(1, n + 1, block)):
-        if number not in done:
-            write_iterations(rows_of(first, min(first + block - 1, n)), path, block)
-            written.append(number)
-    return written
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     """A small table (a report) as one CSV file; the rows alone go through one task."""
     df.repartition(1).write.mode("overwrite").option("header", True).option("nullValue", MISSING).csv(path)

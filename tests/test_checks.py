@@ -74,3 +74,62 @@ def test_extremes_stay_within_a_year(spark):
     peaks = {(r["year"], r["month"]) for r in out.where("peak").collect()}
     troughs = {(r["year"], r["month"]) for r in out.where("trough").collect()}
     assert peaks == {(2021, 6)} and troughs == {(2020, 4)}
+
+
+def test_bundles_by_the_calendar(spark):
+    for n in (100, 168, 200, 336, 720):
+        df = spark.range(n).select(F.lit("s").alias("k"), F.timestamp_seconds(F.lit(1_600_000_000 // 3600 * 3600) + F.col("id") * 3600).alias("ts"))
+        first = 1_600_000_000 // 3600
+        numbered = checks.with_bundle(df, ["k"], "ts").withColumnRenamed("bundle", "numbered")
+        both = checks.with_calendar_bundle(numbered, "ts", first, F.lit(first + n - 1))
+        assert both.where("bundle <> numbered").count() == 0 and both.count() == n
+
+
+PLANT = {
+    "ph_storage_cap_gwh": 10.0, "ph_roundtrip_eff": 0.81, "batt_roundtrip_eff": 0.9, "batt_duration": 4.0,
+}
+FLOWS = "k string, t int, charge double, q_pumped_hydro double, battery_charge double, q_battery double, pumped_hydro_pump_cap_gw double, pumped_hydro_turb_cap_gw double, batteries_cap_gw double"
+
+
+def plain_storage(rows, share):
+    """Stocks step by step, as they are defined."""
+    out = {}
+    for k in sorted({r[0] for r in rows}):
+        own = sorted(r for r in rows if r[0] == k)
+        for store, eff, charge, discharge, charge_cap, discharge_cap in (("pumped_hydro", 0.81, 2, 3, 6, 7), ("battery", 0.9, 4, 5, 8, 8)):
+            size = [10.0 if store == "pumped_hydro" else 4.0 * r[8] for r in own]
+            limit = [s if store == "pumped_hydro" else s / math.sqrt(eff) for s in size]
+            stock = [share * size[0]]
+            for r in own[:-1]:
+                stock.append(stock[-1] + math.sqrt(eff) * r[charge] - r[discharge] / math.sqrt(eff))
+            out[k, store] = (
+                round(stock[0], 9), round(stock[-1], 9),
+                sum(r[charge] > r[charge_cap] + 1e-9 for r in own), sum(r[discharge] > r[discharge_cap] + 1e-9 for r in own),
+                stock[-1] < 0.2 * size[0] - 1e-9,
+                sum(s < -1e-9 for s in stock), sum(s > m + 1e-9 for s, m in list(zip(stock, limit))[1:]),
+            )
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_storage_against_steps(spark, span):
+    import random
+
+    rng = random.Random(span)
+    rows = []
+    for k, pull in (("calm", 0.0), ("drained", 0.4), ("filled", -0.4), ("one", 0.0)):
+        for t in range(1 if k == "one" else 60):
+            charge, out = max(rng.random() - pull, 0), max(rng.random() + pull - 0.1, 0)
+            rows.append((k, t, charge, out, charge / 2, out / 2, 0.9, 0.9, 0.5 + 0.01 * (t % 7)))
+    df = spark.createDataFrame(rows, FLOWS).withColumn("b", F.floor(F.col("t") / span))
+    found = checks.storage_checks(df, PLANT, ["k"], "t", "b", F.lit(0.4)).collect()
+    got = {
+        (r["k"], r["store"]): (
+            round(r["first_stock"], 9), round(r["last_stock"], 9), r["charge_over"], r["discharge_over"], r["low_end"], r["below_zero"], r["above_limit"],
+        )
+        for r in found
+    }
+    want = plain_storage(rows, 0.4)
+    assert got == want
+    assert any(w[5] for w in want.values()) and any(w[6] for w in want.values()) and any(w[4] for w in want.values())
+    assert checks.storage_checks(df.limit(0), PLANT, ["k"], "t", "b", F.lit(0.4)).count() == 0

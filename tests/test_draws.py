@@ -138,7 +138,7 @@ def test_scenario_rules_and_fan_out(spark):
     assert only == {"renewable_waste_cap_gw"}
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "salted"])
+@pytest.mark.parametrize("strategy", ["measured", "broadcast", "salted"])
 def test_expand_picks_whole_windows(spark, strategy):
     from gridpanel.operators import project
 
@@ -156,3 +156,29 @@ def test_expand_picks_whole_windows(spark, strategy):
     assert ((got["day"] >= got["day_start"]) & (got["day"] < got["day_start"] + 7)).all()
     whole = project.expand(panel, drawn, strategy, window_days=None, salts=4)
     assert whole.count() == (366 * 2 + 365) * 4
+
+
+def test_expand_refuses_to_broadcast_a_large_panel(spark):
+    from gridpanel.operators import project
+
+    panel = spark.range(1000).selectExpr("2020 AS year", "CAST(1 + id % 28 AS INT) AS day", "id AS step", "repeat('x', 40) AS note")
+    drawn = spark.createDataFrame([("a", 1, 2020, 3)], "scenario string, iteration int, base_year int, day_start int")
+    with pytest.raises(ValueError, match="more than 50000 bytes"):
+        project.expand(panel, drawn, "broadcast", max_bytes=50_000)
+    counts = [project.expand(panel, drawn, how, max_bytes=n).count() for how, n in (("measured", 50_000), ("salted", 1), ("broadcast", 1 << 20))]
+    assert counts == [252] * 3 and len(set(counts)) == 1
+    plan = project.expand(panel, drawn, max_bytes=50_000)._jdf.queryExecution().toString()
+    assert "ResolvedHint (strategy=broadcast)" not in plan
+
+
+def test_promised_sizes_are_tested(spark):
+    from gridpanel.functions import sizes
+
+    small = spark.range(100).repartition(7)
+    big = spark.range(1000)
+    assert big.join(sizes.broadcast_within(small, 100), "id").count() == 100
+    with pytest.raises(Exception, match="promised to have up to 99"):
+        big.join(sizes.broadcast_within(small, 99), "id").count()
+    assert sizes.measured_bytes(spark.createDataFrame([("ab", 1), (None, 2)], "a string, b int")) == 2 * 32 + 2
+    with pytest.raises(ValueError, match="size"):
+        sizes.measured_bytes(spark.createDataFrame([([1],)], "a array<int>"))

@@ -32,6 +32,22 @@ def test_default_hour(spark):
     assert (got["hour"] == (got["t"] % 8760) % 24).all()
 
 
+def test_running_sums_over_a_tree_of_blocks(spark, monkeypatch):
+    from gridpanel.operators import blocks
+
+    monkeypatch.setattr(blocks, "FAN", 3)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 400), "t": np.arange(400), "v": rng.normal(size=400)})
+    pdf["b"] = pdf["t"] // 7
+    df = spark.createDataFrame(pdf[pdf["b"] % 5 != 2])  # blocks and runs without rows
+    want = df.toPandas().sort_values(["k", "t"])
+    for levels in (1, 2, 4):
+        for inclusive in (True, False):
+            got = blocks.with_running_sum(df, ["k"], ["t"], "b", F.col("v"), "s", inclusive, levels).toPandas().sort_values(["k", "t"])
+            running = want.groupby("k")["v"].cumsum() - (0 if inclusive else want["v"])
+            np.testing.assert_allclose(got["s"], running, atol=1e-9)
+
+
 def test_mix_percent(spark):
     rows = [("a", 97.0, 2.0, 1.0, 0.0), ("b", 50.0, 47.0, 3.0, 0.0)]
     df = spark.createDataFrame(rows, "scenario string, w double, s double, c double, z double")
@@ -71,3 +87,38 @@ def test_rank_labels(spark):
     df = spark.createDataFrame([("k", v) for v in (344.0, 274.0, 295.0)], "k string, v double")
     got = {r["v"]: (r["label"], r["position"]) for r in describe.rank_labels(df, ["k"], "v").collect()}
     assert got == {274.0: ("S1", 2026.0), 295.0: ("S2", 2028.0), 344.0: ("S3", 2030.0)}
+
+
+def test_tables_from_parts_equal_those_from_hours(spark):
+    from driver_queries.ensemble_queries import with_stocks
+    from gridpanel.sources import scratch
+    from tests.oracle import sf_path
+
+    hours = scratch.landed(with_stocks(spark, sf_path("0.001")), "hours")
+    odd = F.when(F.col("iteration") % 3 == 0, F.lit("undefined")).otherwise(F.col("status"))
+    gaps = F.when(F.col("hour") != 6, F.col("share_renewable_gen"))
+    hours = hours.withColumns({"status": F.when(F.col("hour") == 18, odd).otherwise(F.col("status")), "share_renewable_gen": gaps})
+    parts = scratch.landed(ensemble.parts(hours), "parts")
+    valid = ensemble.valid_hours(hours)
+    for one, other in (
+        (ensemble.kpis_of_parts(parts), ensemble.iteration_kpis(valid)),
+        (ensemble.profile_of_parts(parts, "hour"), ensemble.period_profile(valid, "hour")),
+        (ensemble.profile_of_parts(parts, "month"), ensemble.period_profile(valid, "month")),
+        (ensemble.inputs_of_parts(parts), ensemble.realised_inputs(hours)),
+    ):
+        keys = [c for c in ("scenario", "iteration", "hour", "month") if c in other.columns]
+        assert one.columns == other.columns and one.dtypes == other.dtypes
+        a, b = (df.toPandas().sort_values(keys).reset_index(drop=True) for df in (one, other))
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-9)
+        assert "hours" not in " ".join(one.inputFiles()) and len(a)
+    assert parts.count() < hours.count()
+
+
+def test_parts_take_one_pass(spark):
+    from driver_queries.ensemble_queries import with_stocks
+    from gridpanel.sources import scratch
+    from tests.oracle import sf_path
+
+    hours = scratch.landed(with_stocks(spark, sf_path("0.001")), "hours")
+    plan = ensemble.parts(hours)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1

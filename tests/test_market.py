@@ -155,6 +155,58 @@ def test_constants_must_cover_all_technologies(spark):
         market.Constants.load(short, spark.createDataFrame([(1.0,)], "grid_loss_factor double"))
 
 
+def test_batches_of_hours_against_one_at_a_time():
+    """The vectorised clearing against a plain fold over the blocks of each hour."""
+    from gridpanel.operators import merit_order
+
+    rng = np.random.default_rng(3)
+    n, k, loss, voll = 400, 6, 0.015, 1e7
+    lo = np.where(rng.random((n, k)) < 0.4, rng.uniform(0, 1, (n, k)), 0.0)
+    hi = lo + np.where(rng.random((n, k)) < 0.2, 0.0, rng.uniform(0.1, 3, (n, k)))
+    mc = rng.choice([0.0, 1e4, 2.5e4, 9e4], (n, k))  # many ties
+    a = [rng.uniform(0, 6, n) for _ in range(2)]
+    b = [np.where(rng.random(n) < 0.3, 0.0, rng.uniform(5e-6, 5e-5, n)) for _ in range(2)]
+    x = rng.uniform(-3, 3, n)
+    done = merit_order.clear(lo, hi, mc, a, b, x, loss, voll)
+    seen = set()
+    for h in range(n):
+        def need(level):
+            return (1 + loss) * sum(max(a[s][h] - b[s][h] * (1 + loss) * level, 0.0) for s in range(2)) + x[h]
+
+        supply, q, price = lo[h].sum(), lo[h].copy(), None
+        if supply >= need(0.0):
+            assert done.level[h] == 0 and done.spill[h] == pytest.approx(supply - need(0.0))
+            np.testing.assert_array_equal(done.q[h], q)
+            seen.add("over")
+            continue
+        for t in sorted(range(k), key=lambda t: (mc[h, t], t)):
+            if supply + hi[h, t] - lo[h, t] >= need(mc[h, t]) - 1e-12:
+                extra = max(need(mc[h, t]) - supply, 0.0)
+                q[t], price = lo[h, t] + extra, mc[h, t] if supply <= need(mc[h, t]) else "between"
+                break
+            q[t] = hi[h, t]
+            supply += hi[h, t] - lo[h, t]
+        np.testing.assert_allclose(done.q[h], q, atol=1e-9)
+        if price is None and need(voll) > supply:
+            assert done.level[h] == voll and done.shed[h] == pytest.approx(need(voll) - supply)
+            seen.add("short")
+        elif price is None or price == "between":
+            assert need(done.level[h]) == pytest.approx(supply, abs=1e-6)
+            seen.add("between")
+        else:
+            assert done.level[h] == price and done.shed[h] == done.spill[h] == 0
+            seen.add("block")
+    assert seen == {"over", "short", "between", "block"}
+
+
+def test_hours_that_lack_an_input(spark, hours):
+    gaps = hours.withColumn("wind_cap_gw", F.when(F.col("hour") != 6, F.col("wind_cap_gw")))
+    out = market.clear_hours(gaps, CONSTANTS).select("hour", "status", "price", "q_coal", "shed")
+    assert out.where("(hour = 6) <> (status = 'undefined')").count() == 0
+    assert out.where("status = 'undefined' AND coalesce(price, q_coal, shed) IS NOT NULL").count() == 0
+    assert market.clear_hours(hours.limit(0), CONSTANTS).count() == 0
+
+
 def test_snap(spark):
     df = market.snapped(spark.createDataFrame([(5e-4,), (-5e-4,), (2e-3,)], "x double"), ["x"])
     assert [r[0] for r in df.collect()] == [0.0, 0.0, 2e-3]

@@ -131,16 +131,6 @@ def test_report(run):
     assert len(out["hourly_price"].columns) == 5
 
 
-def test_rewritten_blocks_replace_their_rows(spark, tmp_path):
-    rows = [(s, i, float(i)) for s in ("a", "b c") for i in range(1, 7)]
-    df = spark.createDataFrame(rows, "scenario string, iteration int, v double")
-    path = str(tmp_path / "t")
-    tables.write_iterations(df, path, 2)
-    tables.write_iterations(df.where("iteration IN (3, 4) AND scenario = 'a'").withColumn("v", F.lit(0.0)), path, 2)
-    got = {(r["scenario"], r["iteration"]): r["v"] for r in tables.read_results(spark, path).collect()}
-    assert got == {(s, i): (0.0 if s == "a" and i in (3, 4) else v) for s, i, v in rows}
-
-
 def test_scenario_files(spark, tmp_path):
     schema = "iteration int, v double"
     for name, text in {"climate change": "iteration,v\n1,NA\n2,2.5\n", "nuclear": "iteration,v\n1,1.0\n"}.items():
@@ -154,23 +144,6 @@ def test_scenario_files(spark, tmp_path):
     }
 
 
-def test_blocks_survive_a_failed_run(spark, tmp_path):
-    path, asked = str(tmp_path / "blocks"), []
-
-    def rows_of(first, last):
-        asked.append((first, last))
-        if first == 7 and len(asked) < 4:
-            raise RuntimeError("lost")
-        return spark.range(first, last + 1).selectExpr("'a b' AS scenario", "CAST(id AS INT) AS iteration")
-
-    with pytest.raises(RuntimeError):
-        tables.write_blocks(spark, rows_of, path, 10, block=3)
-    assert tables.finished_blocks(spark, path) == {0, 1}
-    assert tables.write_blocks(spark, rows_of, path, 10, block=3) == [2, 3]
-    assert asked == [(1, 3), (4, 6), (7, 9), (7, 9), (10, 10)]
-    assert sorted(r["iteration"] for r in tables.read_results(spark, path).collect()) == list(range(1, 11))
-
-
 def test_a_report_is_one_file(spark, tmp_path):
     path = tmp_path / "report"
     tables.export_csv(spark.createDataFrame([("x", 1.5), ("y", None)], "name string, value double"), str(path))
