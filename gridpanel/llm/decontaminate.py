@@ -1,22 +1,27 @@
 """Passages of a benchmark in training texts, by rare n-gram seeds and alignment.
 
-1. All n-grams of the benchmark's items are joined with those of the texts. Each n-gram
-   that an item and a text have in common is a seed, so an edited copy is looked at as
-   soon as ``n`` words in a row are left of it. (Seeds by rarity would have to be rare in
-   the copy itself: the rarest n-grams of an item are those that edits took away.) A copy
-   with fewer than ``n`` unchanged words in a row everywhere has no seed.
-2. A seed tells where the item would begin, and an alignment that reaches ``threshold``
+1. All n-grams of the benchmark's items are looked up in the texts and counted on both sides. A gram is
+   rare if few texts or few items hold it (up to ``RARE`` of either): each place where a text and an item share a
+   rare gram is a seed. Rarity is that of grams that do occur in a text, so a copy of which
+   edits took the item's rarest grams away is found by what they left.
+2. A gram that many texts and many items hold, a turn of phrase, is no seed by itself, as it would pair all of
+   them. It takes a second one: two common grams that stand in text and item at the same distance, up to ``3 n`` words,
+   are a seed together. Items of up to ``4 n`` words, which may have nothing rarer, take every gram; items of fewer than ``n``
+   words are looked for whole.
+3. A seed tells where the item would begin, and an alignment that reaches ``threshold``
    has at most ``2 * (1 - threshold)`` gaps a word of the item. Words that near to a seed are
    looked at; stretches that overlap are one.
-3. The words of a stretch are aligned with the item by Smith-Waterman (match 1,
+4. The words of a stretch are aligned with the item by Smith-Waterman (match 1,
    mismatch and gap -1/2). The score is the share of the item's length that the best
    local alignment reaches; from ``threshold`` on the passage is reported, and the words
    before and after it are aligned in turn. A stretch that has too few of the item's
    words to reach ``threshold`` in any order is not aligned.
 
-The n-grams of the items are broadcast up to ``BROADCAST_ROWS`` rows, by count; beyond
-that the join shuffles. Null texts have no words. Items with fewer than ``n`` words give
-no seeds and are not looked for. Rows with the same key and text share one result. Empty
+So a copy is looked at from ``n`` unchanged words in a row on that are not a turn of phrase, or two runs
+that are. The looked-up grams, eight bytes each, are broadcast up to ``BROADCAST_ROWS``, by count, and the stretches of
+numbered items likewise; item words are stored once and joined to the words of a stretch. Beyond these bounds joins
+shuffle. Null texts have no words. Rows with the same key and text share one result, repeated items
+(by id and text) one each. Other columns, whatever their names, are not read; texts may be of any length. Empty
 tables give empty results.
 """
 
@@ -34,8 +39,10 @@ from gridpanel.sources.scratch import landed
 
 N = 4
 THRESHOLD = 0.5
+RARE = 8
 BROADCAST_ROWS = 1_000_000
 BROADCAST_STRETCHES = 1 << 18
+BROADCAST_WORDS = 4 << 20
 MATCH, MISS, GAP = 2, -1, 1  # in halves
 
 
@@ -89,17 +96,51 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _pairs(common: DataFrame, on: list[str], n: int) -> DataFrame:
+    """Two grams of a text (or item) that stand ``n`` to ``3 n`` words apart, as one: ``gram`` of both and the
+    distance, ``place`` of the first."""
+    along = Window.partitionBy(*on).orderBy("place").rangeBetween(n, 3 * n)
+    behind = F.collect_list(F.struct("place", "gram")).over(along)  # of at most 2 n + 1 places
+    both = common.withColumn("next", F.explode(behind))
+    return both.select(*on, "place", F.xxhash64("gram", "next.gram", F.col("next.place") - F.col("place")).alias("gram"))
+
+
+def _seeds(hits: DataFrame, grams: DataFrame, same_item: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places in texts joined with those in items by grams that are rare on a side; and what is left of both."""
+    texts = hits.groupBy("gram").agg(F.count("*").alias("in_texts"))
+    listed = grams.groupBy("gram").agg(F.count_distinct("item_mark").alias("in_items"))
+    many = texts.join(listed, "gram").where((F.col("in_texts") > RARE) & (F.col("in_items") > RARE)).select("gram")
+    many = landed(many, "common-grams")
+    common = _sized(many, many.count())
+    rare = grams.join(common, "gram", "left_anti").select(*same_item, "size", "gram", F.col("place").alias("at"))
+    return hits.join(rare, "gram"), hits.join(common, "gram", "left_semi"), grams.join(common, "gram", "left_semi")
+
+
 def candidates(docs: DataFrame, items: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """``key, mark, item, item_mark, low, high``: stretches of words to be aligned, which
     do not overlap for one text and item."""
-    sizes = landed(_item_words(items).select("item", "item_mark", F.size("item_words").alias("size")), "item-sizes")
-    grams = _grams(items, n).select(
-        F.col("key").alias("item"), F.col("mark").alias("item_mark"), "gram", F.col("place").alias("at")
-    )
-    same_item = ["item", "item_mark"]
-    grams = landed(_join_null_safe(grams.distinct(), sizes.distinct(), same_item), "item-grams")
-    hits = _grams(docs, n).join(_sized(grams, grams.count()), "gram")
-    places = hits.groupBy("key", "mark", *same_item, "size", (F.col("place") - F.col("at")).alias("begin")).agg(F.lit(1))
+    sizes = landed(_item_words(items).select("item", "item_mark", F.size("item_words").alias("size")).distinct(), "item-sizes")
+    same_item, same_text = ["item", "item_mark"], ["key", "mark"]
+    tiny = sorted(r[0] for r in sizes.where(F.col("size").between(1, n - 1)).select("size").distinct().collect())
+    seeds = None
+    for width in [n, *tiny]:
+        named = F.col("key").alias("item"), F.col("mark").alias("item_mark"), "gram", "place"
+        fits = F.col("size") >= n if width == n else F.col("size") == width
+        grams = landed(_join_null_safe(_grams(items, width).select(*named).distinct(), sizes.where(fits), same_item), "item-grams")
+        listed = landed(grams.select("gram").distinct(), "grams")
+        hits = landed(_grams(docs, width).join(_sized(listed, listed.count()), "gram").distinct(), "gram-hits")
+        short = F.col("size") <= 4 * n
+        direct = grams.where(short).select(*same_item, "size", "gram", F.col("place").alias("at"))
+        found = [hits.join(direct, "gram")]
+        if width == n:
+            rare, texts, others = _seeds(hits, grams.where(~short), same_item)
+            texts, others = (landed(x, "common-hits") for x in (texts, others))
+            pairs = _pairs(others, [*same_item, "size"], n).select(*same_item, "size", "gram", F.col("place").alias("at"))
+            found += [rare, _pairs(texts, same_text, n).join(pairs, "gram")]
+        for some in found:
+            some = some.select(*same_text, *same_item, "size", (F.col("place") - F.col("at")).alias("begin"))
+            seeds = some if seeds is None else seeds.unionByName(some)
+    places = seeds.distinct()
     slack = F.ceil(F.col("size") * (2 * (1 - threshold))).cast("int")
     along = Window.partitionBy("key", "mark", *same_item).orderBy("begin")
     jump = F.coalesce((F.col("begin") - F.lag("begin").over(along) > 2 * slack + F.col("size")).cast("int"), F.lit(0))
@@ -182,44 +223,56 @@ def find(
     that scores ``threshold`` or more; ``mark`` is the hash of the text."""
     picked, items = _picked(docs, key, text), _picked(benchmark, item, item_text)
     found = landed(candidates(picked, items, n, threshold), "candidates")
-    # An item's words are stored once; a stretch names them by the hash of the item's text.
-    known = _item_words(items).select("item_mark", "item_words").dropDuplicates(["item_mark"])
-    known = landed(known, "item-words")
-    carried = found.join(_sized(known, known.count()), "item_mark")
-    by_text = carried.groupBy("key", "mark").agg(F.collect_list(F.struct("item", "item_words", "low", "high")).alias("stretches"))
+    by_text = found.groupBy("key", "mark").agg(F.collect_list(F.struct("item", "item_mark", "low", "high")).alias("stretches"))
     by_text = landed(by_text, "candidate-texts")
-    small = found.count() <= BROADCAST_STRETCHES
+    narrow = all(found.schema[c].dataType.simpleString() in ("int", "bigint") for c in ("key", "item"))
+    small = narrow and found.count() <= BROADCAST_STRETCHES
     joined = _join_null_safe(picked, F.broadcast(by_text) if small else by_text, ["key", "mark"])
     item_type = items.schema["key"].dataType.simpleString()
     key_type = picked.schema["key"].dataType.simpleString()
 
-    def run(batches):
+    def cut(batches):
+        """The words of each stretch."""
         for batch in batches:
             for part in words.slices(batch, "text"):
                 hashes, rows = _hashed(part.column("text"))
-                hashes = hashes.view(np.int64)
                 lists = part.column("stretches")
-                out = []
-                for i in range(part.num_rows):
-                    own = hashes[rows[i] : rows[i + 1]]
-                    for s in lists[i]:
-                        low = s["low"].as_py()
-                        item_words = np.asarray(s["item_words"].values)
-                        for score, first, last in passages(own[low : s["high"].as_py()], item_words, threshold):
-                            out.append((i, s["item"].as_py(), score, low + first, low + last))
-                r, item_ids, score, first, last = zip(*out) if out else ((),) * 5
-                take = pa.array(r, pa.int64())
+                own = lists.flatten()
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                low, high = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("low", "high"))
+                first = np.minimum(rows[row] + low, rows[row + 1])
+                count = np.minimum(rows[row] + high, rows[row + 1]) - first
+                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)[words.runs(first, count)]))
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key").take(take), part.column("mark").take(take),
-                        pa.array(item_ids, lists.type.value_type.field("item").type), pa.array(score, pa.float64()),
-                        pa.array(first, pa.int64()), pa.array(last, pa.int64()),
-                    ],
-                    ["key", "mark", "item", "score", "first_word", "last_word"],
-                )
-
-    return joined.mapInArrow(
-        run, f"key {key_type}, mark bigint, item {item_type}, score double, first_word bigint, last_word bigint"
+                    [part.column("key").take(take), part.column("mark").take(take), own.field("item"), own.field("item_mark"), pa.array(low), held],
+                    ["key", "mark", "item", "item_mark", "low", "own_words"],
+                )
+
+    def aligned(batches):
+        for batch in batches:
+            out = []
+            places = zip(batch.column("low").to_pylist(), batch.column("own_words"), batch.column("item_words"))
+            for i, (low, own, listed) in enumerate(places):
+                for score, first, last in passages(np.asarray(own.values), np.asarray(listed.values), threshold):
+                    out.append((i, score, low + first, low + last))
+            r, score, first, last = zip(*out) if out else ((),) * 4
+            take = pa.array(r, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(take) for c in ("key", "mark", "item")),
+                    pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
+                ],
+                ["key", "mark", "item", "score", "first_word", "last_word"],
+            )
+
+    stretches = joined.mapInArrow(cut, f"key {key_type}, mark bigint, item {item_type}, item_mark bigint, low bigint, own_words array<bigint>")
+    known = landed(_item_words(items).select("item_mark", "item_words").dropDuplicates(["item_mark"]), "item-words")
+    size = known.agg(F.sum(F.size("item_words") + 4)).first()[0] or 0
+    both = stretches.join(F.broadcast(known) if size <= BROADCAST_WORDS else known, "item_mark")
+    return both.mapInArrow(
+        aligned, f"key {key_type}, mark bigint, item {item_type}, score double, first_word bigint, last_word bigint"
     ).distinct()
 
 

@@ -13,7 +13,8 @@
 
 The unigram score uses the same counts: (c + 0.5) / (N + 0.5 (V + 1)), with the end as a
 token. Null text is empty: an end alone. A null key counts as training. Repeated rows are
-learned from and scored one by one. An empty table gives an empty result.
+learned from and scored one by one. Texts may be of any length: states are carried from window to
+window. Other columns, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -96,7 +96,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.struct(F.lit(-1), F.lit(i), F.lit(role), F.lit(PLANTED)) for i, role in enumerate(("user", "assistant"))])
     )
     planted = spark.range(1).select(rows).toDF("conv_id", "turn", "role", "text")
-    return chat.digests(chat.format_conversations(turns.unionByName(planted))).withColumnRenamed("conv", "conv_id")
+    return chat.digests_of_turns(chat.format_turns(turns.unionByName(planted))).withColumnRenamed("conv", "conv_id")
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,15 +156,15 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """,
     "op8_top_k": """
 WITH whole AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-    SELECT q.vec_id AS query_id, c.vec_id,
+    SELECT q.vec_id AS query_id, q.row, c.vec_id,
            CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.row <> q.row
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM pairs
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """,

@@ -1,31 +1,19 @@
 """Near duplicates by SimHash over an inverted index of byte positions.
 
-A fingerprint of ``width`` x 64 bits is seen as a list of positional bytes. Two
-fingerprints that differ in at most ``max_bits`` bits share at least
-``bytes - max_bits`` of them. Lists of single bytes would hold a 256th of all
-fingerprints each, so the index is kept by groups of positions that every pair
-with the guaranteed number of shared bytes has in common (``cover``). Fingerprints
-that meet in a list have their shared bytes counted; pairs that reach the minimum
-are verified by their differing bits.
+A 64-bit fingerprint is seen as a list of positional bytes. Two fingerprints that differ in at
+most ``max_bits`` bits share at least ``8 - max_bits`` of them. Lists of single bytes would
+hold a 256th of all fingerprints each, so the index is kept by groups of positions that every
+pair with the guaranteed number of shared bytes has in common (``cover``). For fingerprints
+that meet in a list the shared positional bytes are tallied; pairs that reach the guaranteed
+minimum are retained, and those alone are verified by their differing bits.
 
 A list hands on a minimum spanning forest of its links, not its pairs, so a group
 of near copies costs as many rows as it has members. A list beyond ``LIST`` members
 is cut into cells of two blocks each, so that no task holds all of it.
 
-``similar_groups`` looks for a given share of common shingles (Jaccard), which no number of
-bits guarantees. It works in two steps:
-
-1. 256 bits of the distinct shingles, an index by neighbouring pairs of positions (``ring``),
-   and links of the forests verified by their shingles. This joins most groups at the cost
-   of a row a member, but a forest is made before its links are verified, and pairs near
-   the similarity may meet in no list.
-2. A prefix filter over the shingles themselves completes it (``_missing``): every pair of the
-   similarity has a shingle in common among the first of both in one order of all shingles,
-   those that occur once first. Pairs are all verified whose sizes, shingles from the shared
-   one on, and parity bits (which differ in no more places than the sets) allow the similarity, but for pairs that the first step has put in one group.
-
 Rows with equal fingerprints are one node. Null text counts as empty. A text with
-no words has fingerprint zero, which links like any other. Repeated rows stay; an
+no words has fingerprint zero, which links like any other. Repeated rows stay in
+``near_duplicates``; ``one_of_each`` keeps one. Other columns, whatever their names, are not read. An
 empty table gives an empty result.
 """
 
@@ -40,16 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpanel.llm import substring, words
+from gridpanel.llm import words
 from gridpanel.llm.components import connected
 from gridpanel.sources.scratch import landed
 
 LIST = 1024
 LINKS = 1 << 18
 ROWS = 1 << 16
-WIDTH = 4  # 64-bit words of a fingerprint that finds similar sets
-STEPS = (1, 5)
-PARITY = 256
+BROADCAST_ROWS = 1_000_000
 
 
 def cover(positions: int, shared: int) -> list[tuple[int, ...]]:
@@ -69,24 +55,13 @@ def cover(positions: int, shared: int) -> list[tuple[int, ...]]:
     return [t for p in parts for t in combinations(p, 2)]
 
 
-def ring(positions: int, steps: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """Pairs of positions a fixed step apart, for wide fingerprints: each position
-    is in ``2 * len(steps)`` pairs."""
-    return [(i, (i + s) % positions) for s in steps for i in range(positions)]
-
-
-def _fingerprint(hashes: np.ndarray, width: int) -> bytes:
-    """Bits set in over half the hashes; further 64-bit words come from mixing."""
-    out = []
-    for w in range(width):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), ROWS):
-            h = hashes[at : at + ROWS]
-            if w:
-                h = words.mix(h + words.U64(w * int(words.BASE) % (1 << 64)))
-            ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(hashes)).tobytes())
-    return b"".join(out)
+def _fingerprint(hashes: np.ndarray) -> bytes:
+    """Bits set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), ROWS):
+        h = hashes[at : at + ROWS]
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
 def _shingles(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -105,33 +80,32 @@ def _shingles(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(view[s:e], 42) for s, e in zip(first, last)), np.uint64, b - a - k + 1)
 
 
-def fingerprints(rows: DataFrame, shingle: int, width: int = 1, distinct: bool = False) -> DataFrame:
-    """The columns of ``rows`` but ``text``, and the text's ``fp`` (8 x width bytes, first
-    bit first); ``distinct`` counts each different shingle once."""
+def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and the text's ``fp`` (8 bytes, first bit first)."""
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
             for part in words.slices(batch, "text"):
                 hashes = _shingles(part.column("text"), shingle)
-                fps = [_fingerprint(np.unique(h) if distinct else h, width) for h in hashes]
+                fps = [_fingerprint(h) for h in hashes]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fps, pa.binary())], [*kept, "fp"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(run, f"{schema}, fp binary")
 
 
-def _matrix(fps: pa.Array, width: int) -> np.ndarray:
+def _matrix(fps: pa.Array) -> np.ndarray:
     data, _ = words.flat(fps)
-    return data.reshape(-1, 8 * width)
+    return data.reshape(-1, 8)
 
 
-def _postings(nodes: DataFrame, groups: list[tuple[int, ...]], width: int) -> DataFrame:
+def _postings(nodes: DataFrame, groups: list[tuple[int, ...]]) -> DataFrame:
     """One row for each fingerprint and group: the group's number and byte values."""
 
     def run(batches):
         for batch in batches:
-            m = _matrix(batch.column("fp"), width).astype(np.int64)
+            m = _matrix(batch.column("fp")).astype(np.int64)
             for g, positions in enumerate(groups):
                 key = np.full(len(m), g, np.int64)
                 for p in positions:
@@ -173,18 +147,20 @@ def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> np.ndarra
 def _list_links(m: np.ndarray, ends: np.ndarray, min_shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a forest over sorted lists; ends: for each row, the end of its list."""
     n, found, held = len(m), [], 0
-    wide = np.ascontiguousarray(m).view(np.uint64)
+    wide = np.ascontiguousarray(m).view(np.uint64)[:, 0]
     active = np.arange(n)
     for step in range(1, n):
         active = active[active + step < ends[active]]
         if not len(active):
             break
         differ = wide[active] ^ wide[active + step]
-        bits = np.bitwise_count(differ).sum(1, dtype=np.int64)
-        shared = (differ.view(np.uint8).reshape(len(active), -1) == 0).sum(1)
-        good = (shared >= min_shared) & (bits <= max_bits)
-        found.append((active[good], active[good] + step, bits[good]))
-        held += int(good.sum())
+        shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+        retained = np.flatnonzero(shared >= min_shared)
+        bits = np.bitwise_count(differ[retained]).astype(np.int64)
+        near = bits <= max_bits
+        a = active[retained[near]]
+        found.append((a, a + step, bits[near]))
+        held += len(a)
         if held > LINKS:  # a forest of what is there keeps the memory bounded
             found = [_reduced(found, n)]
             held = len(found[0][0])
@@ -197,18 +173,18 @@ def _reduced(found: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, .
     return a[kept], b[kept], bits[kept]
 
 
-def links(nodes: DataFrame, groups: list[tuple[int, ...]], min_shared: int, max_bits: int, width: int = 1) -> DataFrame:
+def links(nodes: DataFrame, groups: list[tuple[int, ...]], min_shared: int, max_bits: int) -> DataFrame:
     """``a, b`` (fingerprints): links whose components are those of all links found.
 
     ``nodes`` has one row for each distinct ``fp``; it is read twice, so it should be
     a stored table.
     """
-    postings = _postings(nodes, groups, width)
+    postings = _postings(nodes, groups)
     counts = postings.groupBy("list").count().where(F.col("count") > LIST)
 
     def linked(table, turns):
         fps = table.column("fp")
-        a, b = _list_links(_matrix(fps, width), _ends(table, turns), min_shared, max_bits)
+        a, b = _list_links(_matrix(fps), _ends(table, turns), min_shared, max_bits)
         yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["a", "b"])
 
     return _in_cells(postings.join(counts, "list", "left"), linked).distinct()
@@ -250,191 +226,55 @@ def _in_cells(postings: DataFrame, linked) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def _grouped(rows: DataFrame, shingle: int, max_bits: int, order) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (with a column ``text``) with their ``fp``, stored; and ``fp, head, root``: for each
+    fingerprint the least row in an ``order`` and the least fingerprint of its component."""
+    if not 0 <= max_bits <= 4:
+        raise ValueError("64-bit fingerprints are linked at 0 to 4 bits")
+    marked = landed(fingerprints(rows, shingle), "fingerprints")
+    nodes = landed(marked.groupBy("fp").agg(F.min(order).alias("head")), "nodes")
+    groups = connected(links(nodes.select("fp"), cover(8, 4), 8 - max_bits, max_bits), "a", "b")
+    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left")
+    return marked, rooted.select("fp", "head", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """``key, fp, component``: each row's 64-bit fingerprint and the smallest key
     reachable over links of at most ``max_bits`` bits (null if all keys are null).
 
     Complete for ``max_bits`` up to 4, for which four of the eight bytes agree.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("64-bit fingerprints are linked at 0 to 4 bits")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    marked = landed(fingerprints(rows, shingle), "fingerprints")
-    nodes = landed(marked.groupBy("fp").agg(F.min("key").alias("key")), "nodes")
-    found = links(nodes.select("fp"), cover(8, 4), 8 - max_bits, max_bits)
-    groups = connected(found, "a", "b")
-    grouped = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(
-        "fp", "key", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = grouped.groupBy("root").agg(F.min("key").alias("component"))
+    marked, rooted = _grouped(rows, shingle, max_bits, F.col("key"))
+    smallest = rooted.groupBy("root").agg(F.min("head").alias("component"))
     # A fingerprint may hold a third of all rows: its component is brought to it by a join
     # of distinct fingerprints; Spark splits the rows of a frequent one.
-    by_fp = grouped.join(smallest, "root").select("fp", "component")
+    by_fp = rooted.join(smallest, "root").select("fp", "component")
     return marked.join(by_fp, "fp").select("key", "fp", "component")
 
 
-def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits that pairs of this Jaccard similarity stay below, but for one in a
-    thousand: mean and three standard deviations."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = np.arccos(min(1.0, cosine)) / np.pi
-    return int(np.ceil(bits * p + 3 * np.sqrt(bits * p * (1 - p))))
-
-
-def similar_groups(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``key, mark, copies, first``: for every key and text (``mark``, its hash), how many
-    rows hold it, and whether it is the first of its group (smallest key, null last)."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """``docs`` without near duplicates: of each group of ``near_duplicates`` the row with the smallest
+    key stays (null last; of rows with that key the one whose text has the smallest hash; of rows
+    equal in both, one)."""
     own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").alias("key"), own_text.alias("text")).withColumn("mark", F.xxhash64("text"))
-    marked = landed(fingerprints(rows, shingle, WIDTH, distinct=True), "fingerprints")
+    mark = F.xxhash64(own_text).alias("mark")
     order = F.struct(F.col("key").isNull().alias("late"), "key", "mark")
-    nodes = landed(marked.groupBy("fp").agg(F.min(order).alias("head")), "nodes")
-    heads = nodes.select("fp", F.col("head.key").alias("k"), F.col("head.mark").alias("m"))
-    texts = rows.join(heads, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")))
-    texts = landed(texts.dropDuplicates(["fp"]).select("fp", "text"), "head-texts")
-    met = links(nodes.select("fp"), ring(8 * WIDTH, STEPS), 2, bits_for(similarity, 64 * WIDTH), WIDTH)
-    true = landed(_verified(landed(met, "met"), texts, shingle, similarity), "links")
-    groups = landed(connected(true, "a", "b"), "groups")
-    missed = landed(_verified(_missing(texts, groups, shingle, similarity), texts, shingle, similarity), "missed")
-    if not missed.isEmpty():
-        groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed), "a", "b")
-    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
+    marked, rooted = _grouped(docs.select(F.col(f"`{key}`").alias("key"), mark, own_text.alias("text")), shingle, max_bits, order)
     least = rooted.groupBy("root").agg(F.min("head").alias("least"))
     by_fp = rooted.join(least, "root").select("fp", "least")
-    own = marked.groupBy("fp", "key", "mark").agg(F.count("*").alias("copies"))
-    return own.join(by_fp, "fp").select("key", "mark", "copies", order.eqNullSafe(F.col("least")).alias("first"))
-
-
-def _verified(met: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links ``a, b`` of a stored table that have the similarity by their shingles."""
-    ends = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
-    sets = landed(_sets(texts.join(ends, "fp"), shingle), "shingles")
-    both = met.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("of_a")), "a")
-    both = both.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("of_b")), "b")
-
-    @F.arrow_udf("double")
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(common / max(1, len(x) + len(y) - common))
-        return pa.array(out, pa.float64())
-
-    return both.where(jaccard("of_a", "of_b") >= similarity).select("a", "b")
-
-
-def _quick_shingles(part: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each row's distinct shingles (a shorter text is one), rising within a
-    row, and the row offsets."""
-    data, offsets = words.flat(part.column("text"))
-    data = words.LOWER[data]
-    starts, ends, rows = words.spans(data, offsets, words.SPACED)
-    hashes = words.word_hashes(data, starts, ends)
-    windows = words.window_hashes(hashes, shingle)
-    out = []
-    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
-        whole = hashes[a:b] if b - a < shingle else None
-        out.append(np.unique(windows[a : b - shingle + 1] if whole is None else words.window_hashes(whole, max(1, b - a))))
-    return np.concatenate([np.zeros(0, np.uint64), *out]), np.cumsum([0, *map(len, out)])
-
-
-def _prefix(n: np.ndarray, share: float) -> np.ndarray:
-    """Of n shingles, how many come first so that one is among any ``share`` of them."""
-    return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
-
-
-def _missing(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a, b``: pairs of texts of different groups that may have the similarity; none
-    that has it is missing.
-
-    Of shingles in common, the smaller text has one among its first for the share
-    ``2s / (1 + s)``, the larger one among its first for the share ``s``.
-    """
-    context = texts.sparkSession.sparkContext
-    cells, _ = substring._size(texts)
-    sketch = substring._sketch(texts, shingle, cells, [], _quick_shingles)
-    repeated = context.broadcast(substring._bits(sketch, cells))
-    even = 2 * similarity / (1 + similarity)
-
-    def first(batches):
-        for batch in batches:
-            for part in words.slices(batch, "text", substring.SLICE):
-                hashes, rows = _quick_shingles(part, shingle)
-                n = np.diff(rows)
-                row = np.repeat(np.arange(len(n)), n)
-                more = np.zeros(len(hashes), bool)
-                more[substring._estimated(hashes, [repeated.value])] = True
-                at = np.flatnonzero(more)
-                many = np.bincount(row[at], minlength=len(n))
-                odd = np.bincount(row * PARITY + (hashes % np.uint64(PARITY)).astype(np.int64), minlength=len(n) * PARITY) & 1
-                parity = np.packbits(odd.astype(np.uint8)).reshape(len(n), PARITY // 8)
-                before = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                row, place = row[at], (n - many)[row[at]] + before  # once-only shingles come first
-                keep = place < _prefix(n, similarity)[row]
-                at, row, place = at[keep], row[keep], place[keep]
-                small = place < _prefix(n, even)[row]
-                columns = [hashes[at].view(np.int64), n[row], n[row] - place, small]
-                fps = part.column("fp").take(pa.array(row))
-                odds = pa.array([p.tobytes() for p in parity], pa.binary()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([fps, *map(pa.array, columns), odds], ["fp", "list", "n", "rest", "small", "parity"])
-
-    postings = texts.mapInArrow(first, "fp binary, list bigint, n bigint, rest bigint, small boolean, parity binary")
-    postings = postings.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    postings = landed(postings.withColumn("own", F.xxhash64(F.coalesce("root", "fp"))).drop("root"), "prefixes")
-    repeated.destroy()
-    lists = postings.groupBy("list").agg(F.count("*").alias("count"), F.min("own").alias("x"), F.max("own").alias("y"))
-    open_lists = postings.join(lists.where("x < y").select("list", "count"), "list")
-
-    def linked(table, turns):
-        ends, fps = _ends(table, turns), table.column("fp")
-        n, rest, small, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "rest", "small", "own"))
-        parity = _matrix(table.column("parity"), PARITY // 64).view(np.uint64)
-        active = np.arange(table.num_rows)
-        for step in range(1, table.num_rows):
-            active = active[active + step < ends[active]]
-            if not len(active):
-                break
-            a, b = active, active + step
-            less, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            # the first shingle in common has all the others behind it, in both texts
-            needed = np.ceil(even / 2 * (less + most) - 1e-9)
-            good = (own[a] != own[b]) & (less >= similarity * most - 1e-9) & (np.minimum(rest[a], rest[b]) >= needed)
-            good &= np.where(n[a] == n[b], small[a] | small[b], np.where(n[a] < n[b], small[a], small[b]))
-            a, b, differ = a[good], b[good], (less + most - 2 * needed)[good]
-            good = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64) <= differ
-            if good.any():
-                a, b = a[good], b[good]
-                yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b))], ["a", "b"])
-
-    met = _in_cells(open_lists, linked)
-    return landed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-
-
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in words.slices(batch, "text"):
-                hashes = [np.unique(h).tobytes() for h in _shingles(part.column("text"), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array(hashes, pa.binary())], ["fp", "hashes"])
-
-    return texts.select("fp", "text").mapInArrow(run, "fp binary, hashes binary")
-
-
-def one_of_each(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """``docs`` without near duplicates: of each group the row with the smallest key stays
-    (of rows equal in key and text, one)."""
-    first = landed(similar_groups(docs, key, text, shingle, similarity).where("first"), "first-of-groups")
-    own_text = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(own_text).alias("mark"))
-
-    def kept(some: DataFrame) -> DataFrame:
-        named = some.select(F.col("key").alias("k"), F.col("mark").alias("m"))
-        return rows.join(named, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")), "left_semi")
-
-    repeated = kept(first.where("copies > 1")).dropDuplicates(["key", "mark"])
-    return kept(first.where("copies = 1")).unionByName(repeated).select("row.*")
+    own = marked.groupBy("fp", "key", "mark").agg(F.count("*").alias("copies")).join(by_fp, "fp")
+    first = order.eqNullSafe(F.col("least"))
+    judged = landed(own.select(F.col("key").alias("k"), F.col("mark").alias("m"), "copies", first.alias("first")), "judged")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("key"), mark)
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))
+
+    def listed(condition: str) -> DataFrame:
+        """Keys and marks, 16 bytes a row if the key is a number; Spark measures them where it is not."""
+        some = judged.where(condition).select("k", "m")
+        narrow = judged.schema["k"].dataType.simpleString() in ("bigint", "int")
+        return F.broadcast(some) if narrow and some.count() <= BROADCAST_ROWS else some
+
+    alone = rows.join(listed("NOT first OR copies > 1"), same, "left_anti")
+    repeated = rows.join(listed("first AND copies > 1"), same, "left_semi").dropDuplicates(["key", "mark"])
+    return alone.unionByName(repeated).select("row.*")

@@ -338,3 +338,28 @@ def compile_template(source: str, filters: dict[str, Callable[[str], str]]) -> C
         return "".join(out.parts), out.spans
 
     return render
+
+
+def _mentions(tree: object, name: str) -> bool:
+    if isinstance(tree, tuple):
+        return tree[:2] == ("name", name) or any(_mentions(x, name) for x in tree)
+    return False
+
+
+def compile_turns(source: str, filters: dict[str, Callable[[str], str]], items: str = "messages") -> Callable[[dict], tuple[str, list[tuple[int, int]]]] | None:
+    """A function from one item to what the template writes for it, with its spans, if the template is nothing
+    but a loop over ``items`` whose body looks at its own item alone; else None."""
+    tree = fold(parse(source), filters)
+    if tree[0] != "all" or len(tree) != 2 or tree[1][0] != "for" or tree[1][2] != ("name", items):
+        return None
+    _, name, _, body = tree[1]
+    if _mentions(body, items) or _mentions(body, "loop"):
+        return None
+    write = _writer(body, filters)
+
+    def render(item: dict) -> tuple[str, list[tuple[int, int]]]:
+        out = _Output()
+        write({name: item}, out)
+        return "".join(out.parts), out.spans
+
+    return render

@@ -18,7 +18,8 @@ import numpy as np
 
 from gridpanel.llm import words
 
-PARTS_KEPT = 800_000
+CACHE_BYTES = 96 << 20  # of a worker's parts and their ids
+ENTRY_BYTES = 170  # what Python takes for an entry besides its bytes
 
 # The split pattern of the word-level vocabulary, for ASCII and the
 # letters of Latin-1, which NFC leaves as they are.
@@ -37,20 +38,22 @@ PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 
 
 class Generations(dict):
-    """A cache of two generations: when the young one is full it becomes the old
-    one, whose entries come back only when they are asked for."""
+    """A cache of two generations within a bound in bytes: when the young one has half of
+    it, it becomes the old one, whose entries come back only when they are asked for."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.old, self.size = make, most // 2, {}, 0
 
     def __missing__(self, item):
         value = self.old.get(item)
         if value is None:
             value = self.make(item)
-        if len(self) >= self.most:
+        if self.size >= self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
+        self.size += ENTRY_BYTES + len(item) + len(value)
         self[item] = value
         return value
 
@@ -58,7 +61,7 @@ class Generations(dict):
 class WordTokenizer:
     """Little-endian unsigned 32-bit ids of whole texts."""
 
-    def __init__(self, path: str, parts_kept: int = PARTS_KEPT):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -68,7 +71,7 @@ class WordTokenizer:
         self.model = self.whole.model
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.parts = Generations(self._run, parts_kept)
+        self.parts = Generations(self._run, cache_bytes)
 
     @staticmethod
     def _is_plain(shape: dict) -> bool:

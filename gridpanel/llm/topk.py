@@ -5,22 +5,21 @@ id. Rows are dealt to shards of about ``SHARD`` vectors; a shard is stored as on
 its ball tree: nodes with centre and radius, vectors in leaf order. Query blocks meet
 shards by an equi-join on the shard number.
 
-A query descends a tree level by level and drops a node whose bound, centre . q + radius
-|q|, is below its k-th score so far; surviving leaves are visited from the highest bound
-on. The k-th score is shared: each block first searches one shard, and the others start
+A block of queries descends a tree level by level; a query drops a node whose bound, centre . q +
+radius |q|, is below its k-th score so far. Leaves are visited from the highest bound on, ``VISIT`` at a time, as
+one matrix product with the queries they survive for; each visit may raise the k-th scores and so drop
+leaves to come. The k-th score is shared: each block first searches one shard, and the others start
 from the score it found there.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do
-null ids. A query sees vectors of its own length only, and not those with its own id;
-rows that repeat an id are candidates one by one, and the smallest vector is the query.
-Scores have to fit in 64 bits.
-An empty table gives an empty result.
+null ids. A query sees vectors of its own length only, and every row but its own: rows that repeat an
+id are candidates one by one and, where the id asks, queries one by one. Rows are dealt by a number of
+their own, so repeated ids or vectors do not meet in a shard. Scores that might not
+fit in 64 bits are an error. Other columns, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +30,7 @@ from gridpanel.sources.scratch import landed
 SHARD = 8192
 BLOCK = 1024
 LEAF = 64
-VISIT = 8  # leaves scored at a time
+VISIT = 16  # leaves scored at a time
 
 
 def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
@@ -40,7 +39,18 @@ def whole_numbers(vectors: DataFrame, key: str, vector: str, scale: float) -> Da
     fine = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     scaled = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
     rows = vectors.where(fine & (F.size(x) > 0) & F.col(f"`{key}`").isNotNull())
-    return rows.select(F.col(f"`{key}`").cast("long").alias("id"), scaled.alias("vector"), F.size(x).alias("length"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("id"), scaled.alias("vector"), F.size(x).alias("length")
+    )
+
+
+def _check_range(rows: DataFrame) -> int:
+    """Rows of a stored table; raises if an inner product might need more than 64 bits."""
+    most = F.max(F.greatest(F.array_max("vector"), -F.array_min("vector")).cast("double"))
+    found = rows.groupBy("length").agg(F.count("*").alias("n"), most.alias("most")).collect()
+    if any(r["most"] * r["most"] * r["length"] >= 2.0**63 for r in found):
+        raise ValueError("inner products of these vectors may not fit in 64 bits")
+    return sum(r["n"] for r in found)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
@@ -79,14 +89,13 @@ def ball_tree(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[t
 
 
 class _Tree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels):
-        self.ids, self.vectors, self.levels = ids, _exact(vectors), levels
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, levels):
+        self.rows, self.ids, self.vectors, self.levels = rows, ids, _exact(vectors), levels
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query (by place) the ids and scores that may be among its best k."""
-        q = queries.astype(np.float64)
+    def bounds(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Queries x leaves: the most a vector of the leaf can score, -inf where a node above it was dropped."""
         size = np.sqrt((q**2).sum(1))
-        alive, bound = np.ones((len(q), 1), bool), None
+        alive, bound = np.ones((len(q), 1), bool), np.zeros((len(q), 1))
         for level, (_, centres, radii) in enumerate(self.levels):
             if level:
                 alive = np.repeat(alive, 2, axis=1)
@@ -95,39 +104,53 @@ class _Tree:
             value = q @ centres[nodes].T + size[:, None] * radii[nodes]
             bound[:, nodes] = value + 1e-9 * (1 + np.abs(value))
             alive &= bound >= kth[:, None]
-        edges = self.levels[-1][0]
+        return np.where(alive, bound, -np.inf)
+
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query by place, id, score): all that may be among the k best of a query."""
+        kth, edges = kth.copy(), self.levels[-1][0]
+        bound = self.bounds(queries.astype(np.float64), kth)
         scored = queries if self.vectors.dtype == np.int64 else _exact(queries)
-        leaves = np.argsort(-bound, axis=1, kind="stable")
-        for i in range(len(q)):
-            turn = leaves[i][alive[i][leaves[i]]]
-            least, ids, scores = kth[i], np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for at in range(0, len(turn), VISIT):
-                some = turn[at : at + VISIT]
-                if bound[i, some[0]] < least:
-                    break
-                rows = np.concatenate([np.arange(edges[n], edges[n + 1]) for n in some])
-                got = (self.vectors[rows] @ scored[i]).astype(np.int64)
-                keep = (got >= least) & (self.ids[rows] != query_ids[i])
-                ids, scores = np.concatenate([ids, self.ids[rows[keep]]]), np.concatenate([scores, got[keep]])
-                if len(scores) > k:
-                    best = np.lexsort((ids, -scores))[:k]
-                    ids, scores = ids[best], scores[best]
-                if len(scores) == k:
-                    least = max(least, scores.min())
-            yield i, ids, scores
+        best = tuple(np.zeros(0, np.int64) for _ in range(3))
+        order = np.argsort(-bound.max(0, initial=-np.inf), kind="stable")
+        for at in range(0, len(order), VISIT):
+            leaves = order[at : at + VISIT]
+            asking = np.flatnonzero((bound[:, leaves] >= kth[:, None]).any(1))
+            if not len(asking):
+                continue
+            places = np.concatenate([np.arange(edges[n], edges[n + 1]) for n in leaves])
+            scores = (scored[asking] @ self.vectors[places].T).astype(np.int64)
+            q, v = np.nonzero((scores >= kth[asking, None]) & (self.rows[places] != query_rows[asking, None]))
+            new = (asking[q], self.ids[places[v]], scores[q, v])
+            best = _best_of(*(np.concatenate(x) for x in zip(best, new)), k)
+            last = np.flatnonzero(np.diff(best[0], append=-1))
+            full = last[np.bincount(best[0], minlength=len(kth))[best[0][last]] == k]
+            kth[best[0][full]] = np.maximum(kth[best[0][full]], best[2][full])
+        return best
+
+
+def _best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by query, falling."""
+    order = np.lexsort((ids, -scores, query))
+    query = query[order]
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    turn = np.arange(len(query)) - np.repeat(first, np.diff([*first, len(query)]))
+    keep = turn < k
+    return query[keep], ids[order][keep], scores[order][keep]
 
 
 def _shards(rows: DataFrame, shards: int) -> DataFrame:
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         length = key[0].as_py()
-        table = table.sort_by("id")
-        ids, vectors = table.column("id").to_numpy(), _matrix(table.column("vector"), length)
+        table = table.sort_by("row")
+        rows, ids, vectors = table.column("row").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("vector"), length)
         order, levels = ball_tree(vectors)
         tree = [(b.astype(np.int64).tobytes(), c.tobytes(), r.tobytes()) for b, c, r in levels]
         return pa.table(
             {
                 "length": pa.array([length], pa.int32()),
                 "shard": pa.array([key[1].as_py()], pa.int64()),
+                "rows": pa.array([rows[order].tobytes()], pa.binary()),
                 "ids": pa.array([ids[order].tobytes()], pa.binary()),
                 "vectors": pa.array([vectors[order].tobytes()], pa.binary()),
                 "bounds": pa.array([[t[0] for t in tree]], pa.list_(pa.binary())),
@@ -136,59 +159,57 @@ def _shards(rows: DataFrame, shards: int) -> DataFrame:
             }
         )
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     return dealt.groupBy("length", "shard").applyInArrow(
-        build, "length int, shard bigint, ids binary, vectors binary, bounds array<binary>, centres array<binary>, radii array<binary>"
+        build, "length int, shard bigint, rows binary, ids binary, vectors binary, bounds array<binary>, centres array<binary>, radii array<binary>"
     )
 
 
 def _blocks(queries: DataFrame, blocks: int) -> DataFrame:
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+        table = table.sort_by("row")
         return pa.table(
             {
                 "length": pa.array([key[0].as_py()], pa.int32()),
                 "block": pa.array([key[1].as_py()], pa.int64()),
+                "query_rows": pa.array([table.column("row").to_numpy().tobytes()], pa.binary()),
                 "query_ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()),
                 "queries": pa.array([_matrix(table.column("vector"), key[0].as_py()).tobytes()], pa.binary()),
                 "kth": pa.array([table.column("kth").to_numpy().astype(np.int64).tobytes()], pa.binary()),
             }
         )
 
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     return dealt.groupBy("length", "block").applyInArrow(
-        build, "length int, block bigint, query_ids binary, queries binary, kth binary"
+        build, "length int, block bigint, query_rows binary, query_ids binary, queries binary, kth binary"
     )
 
 
 def _searched(shards: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score`` for blocks that have a shard number to meet."""
+    """``query_row, query_id, id, score`` for blocks that have a shard number to meet."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 n = row["length"]
-                ids = np.frombuffer(row["ids"], np.int64)
+                rows, ids = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids"))
                 vectors = np.frombuffer(row["vectors"], np.int64).reshape(-1, n)
                 levels = [
                     (np.frombuffer(b, np.int64), np.frombuffer(c, np.float64).reshape(-1, n), np.frombuffer(r, np.float64))
                     for b, c, r in zip(row["bounds"], row["centres"], row["radii"])
                 ]
-                query_ids = np.frombuffer(row["query_ids"], np.int64)
+                query_rows, query_ids = (np.frombuffer(row[c], np.int64) for c in ("query_rows", "query_ids"))
                 queries = np.frombuffer(row["queries"], np.int64).reshape(-1, n)
-                found = list(_Tree(ids, vectors, levels).search(query_ids, queries, np.frombuffer(row["kth"], np.int64), k))
-                counts = [len(x[1]) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))],
-                    ["query_id", "id", "score"],
-                )
+                place, found, scores = _Tree(rows, ids, vectors, levels).search(query_rows, queries, np.frombuffer(row["kth"], np.int64), k)
+                arrays = [pa.array(x) for x in (query_rows[place], query_ids[place], found, scores)]
+                yield pa.RecordBatch.from_arrays(arrays, ["query_row", "query_id", "id", "score"])
 
     both = shards.join(blocks, ["length", "shard"])
-    return both.mapInArrow(run, "query_id bigint, id bigint, score bigint")
+    return both.mapInArrow(run, "query_row bigint, query_id bigint, id bigint, score bigint")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    turn = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k)
 
 
@@ -199,11 +220,9 @@ def top_k(
     """``query_id, rank, id, score``: the k highest scores of each row that ``is_query``
     (a condition on the column ``id``) picks, equal scores by smaller id."""
     rows = landed(whole_numbers(vectors, key, vector, scale), "vectors")
-    n = rows.count()
-    shards = max(1, -(-n // shard))
+    shards = max(1, -(-_check_range(rows) // shard))
     stored = landed(_shards(rows, shards), "ball-trees")
-    least = F.min(F.struct("vector", "length")).alias("least")
-    queries = rows.where(is_query).groupBy("id").agg(least).select("id", "least.*")
+    queries = rows.where(is_query)
     blocks = max(1, -(-queries.count() // block))
     lowest = F.lit(-(2**63)).cast("long")
     home = F.pmod(F.col("block"), F.lit(shards))
@@ -211,9 +230,9 @@ def top_k(
     first = landed(_best(_searched(stored, first_blocks, k), k), "first-shard")
     if shards == 1:
         return first.select("query_id", "rank", "id", "score")
-    known = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    informed = queries.join(known, "id", "left").withColumn("kth", F.coalesce("kth", lowest))
+    known = first.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("kth"))
+    informed = queries.join(known, "row", "left").withColumn("kth", F.coalesce("kth", lowest))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != home)
     rest = _blocks(informed, blocks).withColumn("shard", F.explode(others))
-    found = _searched(stored, rest, k).unionByName(first.select("query_id", "id", "score"))
+    found = _searched(stored, rest, k).unionByName(first.select("query_row", "query_id", "id", "score"))
     return _best(found, k).select("query_id", "rank", "id", "score")

@@ -7,9 +7,12 @@ features they hold in 100 words, in equal shares; others are grade 0.
 One weight vector serves all thresholds: P(grade <= k) = sigmoid(t_k - w x), with rising
 t_k. A document gets the probability of each grade and the expected severity.
 
-The fit uses at most ``SAMPLE`` labelled rows, the ones with the smallest key hash: a
-bounded sample of fixed size. All documents are scored, whole. Null text has no words;
-labels that are null are left out; without labelled rows of both kinds nothing is toxic.
+The fit uses at most ``SAMPLE`` labelled keys, the ones with the smallest key hash, and one document
+of each: a bounded sample of fixed size, stored. A key that is labelled more than once is toxic if any of its labels says so;
+of documents that share a key the one with the smallest text counts. All documents are scored, whole, repeated
+rows alike. Null text has no words; null keys and labels that are null take no part in the fit; ties among telling
+words go by their hash. Without labelled rows of both kinds, in empty tables for one, nothing is toxic.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm import words
+from gridpanel.sources.scratch import landed
 
 SAMPLE = 20_000
 FEATURES = 256
@@ -141,12 +145,14 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 4
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
 ) -> Model:
-    """Fit on the labelled rows of ``docs``, ``sample`` of them at most."""
+    """Fit on the labelled rows of ``docs``, one for each of ``sample`` keys at most."""
     named = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("toxic"))
-    named = named.where("toxic in (0, 1) and key is not null").orderBy(F.xxhash64("key"), "key").limit(sample)
+    named = named.where("toxic in (0, 1) and key is not null").groupBy("key").agg(F.max("toxic").alias("toxic"))
+    named = named.orderBy(F.xxhash64("key"), "key").limit(sample)
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     # at most ``sample`` rows, so this side is small whatever the tables are
-    rows = docs.select(F.col(f"`{key}`").alias("key"), t.alias("text")).join(F.broadcast(named), "key").select("text", "toxic")
+    held = docs.select(F.col(f"`{key}`").alias("key"), t.alias("text")).join(F.broadcast(named), "key")
+    rows = landed(held.groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     sizes = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     never = Model(np.zeros(0, np.int64), np.zeros(0), np.linspace(20, 22, GRADES))
@@ -170,11 +176,15 @@ def fit(
     for i, r in enumerate(got):
         x[i, r["feature"]] = r["value"]
     toxic = np.array([r["toxic"] for r in got])
+    weights, thresholds = fit_ordinal(x, graded(x, toxic), GRADES)
+    return Model(features, weights, thresholds)
+
+
+def graded(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for rows that are not toxic, 1 to ``GRADES`` for the others."""
     held = np.expm1(x).sum(1)
     cuts = np.quantile(held[toxic == 1], np.arange(1, GRADES) / GRADES)
-    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, held, side="left"), 0)
-    weights, thresholds = fit_ordinal(x, grades, GRADES)
-    return Model(features, weights, thresholds)
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, held, side="left"), 0)
 
 
 def severity(model: Model, text: Column) -> Column:

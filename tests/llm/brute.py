@@ -59,21 +59,10 @@ def simhash(rows, bits=4):
     return sorted((str(d), f"{int(f):016x}", least.get(r)) for (d, _), f, r in zip(rows, fps, roots))
 
 
-def shingle_set(text, k=5):
-    w = spaced(text, True)
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
-
-
-def one_of_each(rows, similarity=0.8):
+def one_of_each(rows, bits=4):
     """Keys that stay (unique keys)."""
-    sets = [shingle_set(t) for _, t in rows]
-
-    def linked(i, j):
-        if not sets[i] or not sets[j]:
-            return sets[i] == sets[j]
-        return len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])
-
-    roots = components(len(rows), linked)
+    fps = np.array([fingerprint(t) for _, t in rows], np.uint64)
+    roots = components(len(rows), lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j])) <= bits)
     return {min(d for (d, _), r in zip(rows, roots) if r == root) for root in set(roots)}
 
 
@@ -266,3 +255,32 @@ def disclosed(rows, around=8, support=2, gain=3.0, left=1.0):
     for (d, t), (_, _, found, free) in zip(rows, parsed):
         out[d, t] = [(a, b, w[:3] + "*" not in bad) for (a, b, w), f in zip(found, free) if f and w in bad]
     return out
+
+
+def toxicity_rows(rows, labels):
+    """Per row the counts of its words and beginnings (4 to 8 bytes), and the label; one row a key."""
+    by_key = {}
+    for d, t in rows:
+        if d in labels:
+            by_key[d] = min(by_key.get(d, t or ""), t or "")
+    out = []
+    for d, t in by_key.items():
+        own = alnum(t)
+        counts = Counter(own)
+        counts.update((w.encode()[:n], n) for w in own for n in (4, 5, 6, 7, 8) if len(w.encode()) > n)
+        out.append((counts, len(own), labels[d]))
+    return out
+
+
+def telling(counted, least_rows=3, least=15.0):
+    """Score of each word or beginning whose rows are toxic more often than chance gives."""
+    n, toxic = len(counted), sum(y for *_, y in counted)
+    out = {}
+    for w in {w for c, *_ in counted for w in c}:
+        a = sum(y for c, _, y in counted if w in c)
+        b = sum(1 - y for c, _, y in counted if w in c)
+        c, d = toxic - a, n - toxic - b
+        score = n * (a * d - b * c) ** 2 / (toxic * (n - toxic) * (a + b) * max(c + d, 1))
+        if a * (n - toxic) > b * toxic and a >= least_rows and score >= least:
+            out[w] = score
+    return out

@@ -84,29 +84,26 @@ def test_one_of_each_against_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == brute.one_of_each(rows)
 
 
-def test_near_pairs_among_documents_of_one_template(spark):
-    rng = random.Random(8)
-    template, rows = [f"t{i}" for i in range(260)], []
-    for i in range(400):  # any two at about 0.75
-        rows.append([*template, *(f"u{i}x{j}" for j in range(42))])
-    for i in range(0, 100, 2):  # pairs with more in common, at about 0.82
-        rows[i + 1] = [*template, *rows[i][260:272], *(f"v{i}x{j}" for j in range(30))]
-    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
-    sets = [brute.shingle_set(t) for _, t in rows]
-    assert 0.81 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.83
-    rng.shuffle(rows)
-    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert kept == brute.one_of_each(rows) == set(range(400)) - set(range(1, 100, 2))
-
-
-def test_short_pairs_at_the_similarity_are_all_found(spark):
-    rng, rows = random.Random(9), []
-    for i in range(120):  # 4 of 5, 8 of 10 (nested), 12 of 15 shingles
-        n = (4, 8, 12)[i % 3]
-        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"z{i}x{j}" for j in range(n // 4))]))]
-    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert kept == brute.one_of_each(rows) == set(range(0, 240, 2))
+def test_one_of_each_agrees_with_the_operator(spark, hard_rows, monkeypatch):
+    frame = spark.createDataFrame(hard_rows, SCHEMA)
+    groups = {r["key"]: r["component"] for r in simhash.near_duplicates(frame).collect()}
+    for most in (simhash.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        assert {r["doc_id"] for r in simhash.one_of_each(frame).collect()} == set(groups.values())
+
+
+def test_count_filter_decides(monkeypatch):
+    """Pairs that share fewer positional bytes than guaranteed are not verified."""
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 256, (500, 8), dtype=np.uint8)
+    m[:, [0, 3, 6]] = 7  # what brought them to one list
+    m[1::50] = m[::50]
+    m[1::50, 1] ^= 3
+    seen, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: seen.append(len(x)) or count(x))
+    a, b = simhash._list_links(m, np.full(500, 500), 4, 4)
+    assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} >= {(i, i + 1) for i in range(0, 500, 50)}
+    assert sum(seen) < 0.05 * 500 * 499 / 2
 
 
 def test_one_of_each_keeps_one_of_equal_rows(spark):
@@ -115,9 +112,15 @@ def test_one_of_each_keeps_one_of_equal_rows(spark):
     assert sorted(map(str, (r["doc_id"] for r in kept))) == ["1", "2", "None"]
 
 
-def test_bits_follow_the_similarity():
-    assert simhash.bits_for(1.0, 256) == 0
-    assert simhash.bits_for(0.8, 256) < simhash.bits_for(0.6, 256) < 128
+def test_columns_with_clashing_names(spark, hard_rows):
+    names = ["key", "fp", "component", "mark", "row", "k", "m", "first", "text.x", "head"]
+    more = ", ".join(f"`{n}` int" for n in names)
+    frame = spark.createDataFrame([(d, t, *range(len(names))) for d, t in hard_rows], f"{SCHEMA}, {more}")
+    plain = spark.createDataFrame(hard_rows, SCHEMA)
+    assert sorted(simhash.near_duplicates(frame).collect()) == sorted(simhash.near_duplicates(plain).collect())
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in simhash.one_of_each(plain).collect()}
 
 
 def test_empty_tables(spark):

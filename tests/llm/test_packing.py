@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gridpanel.llm import packing, queries
-from gridpanel.llm.tokens import Generations, WordTokenizer
+from gridpanel.llm.tokens import ENTRY_BYTES, Generations, WordTokenizer
 from tests.llm.conftest import SF
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -65,9 +65,12 @@ def test_other_tokenizers_take_whole_texts():
 
 def test_generations_keep_what_is_asked_for():
     made = []
-    cache = Generations(lambda x: made.append(x) or x * 2, 4)
-    assert [cache[i] for i in (1, 2, 1, 3, 1, 4, 5, 1)] == [2, 4, 2, 6, 2, 8, 10, 2]
-    assert made == [1, 2, 3, 4, 5] and len(cache) + len(cache.old) <= 4
+    cache = Generations(lambda x: made.append(x) or x * 2, 4 * (ENTRY_BYTES + 3))
+    assert [cache[i] for i in "12131451"] == ["11", "22", "11", "33", "11", "44", "55", "11"]
+    assert made == list("12345") and len(cache) + len(cache.old) <= 4
+    for i in range(1000):
+        cache[str(i)]
+    assert len(cache) + len(cache.old) <= 4
 
 
 @given(st.lists(st.integers(1, 64), max_size=60))
@@ -112,6 +115,14 @@ def test_equal_rows_and_null_keys_are_packed_once_each(spark):
     assert packing.pack(frame.limit(0)).count() == 0
 
 
+def test_equal_rows_go_to_all_blocks(spark):
+    rows = [(None, "the same words in each of them") if i % 3 == 0 else (i, f"row {i} " * (i % 9)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = packing.pieces(frame, "doc_id", "text", PATH, 1, 2048, 8)
+    sizes = [r["count"] for r in dealt.groupBy("block").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 3000 and max(sizes) < 1.5 * np.median(sizes)
+
+
 def test_query_against_the_tokenizer(spark):
     rows = [(r[0], r[1]) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
     found = [tuple(r) for r in queries.op1_packing(spark, SF).collect()]

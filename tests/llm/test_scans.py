@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gridpanel.llm import decontaminate, licenses, queries, toxicity
+from gridpanel.llm import decontaminate, licenses, queries, toxicity, words
 from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import SF, sentence
@@ -84,7 +84,7 @@ def test_passages_are_found_and_clean_texts_left(spark, monkeypatch):
     items, docs = items_and_docs()
     frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, `item` int")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    want = {(i, 0) for i in range(20)} | {(30, 1), (32, 3), (32, 4), (33, None), (None, 4)}
+    want = {(i, 0) for i in range(20)} | {(30, 1), (32, 3), (32, 4), (33, None), (None, 4), (37, 8)}
     for most in (1_000_000, 0):
         monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
         found = decontaminate.find(frame, benchmark).collect()
@@ -95,7 +95,7 @@ def test_passages_are_found_and_clean_texts_left(spark, monkeypatch):
     assert (at["first_word"], at["last_word"]) == (200, 229)
     kept = decontaminate.without_passages(frame, benchmark)
     assert kept.columns == frame.columns
-    assert {r["doc_id"] for r in kept.collect()} == {31, 34, 35, 36, 37}
+    assert {r["doc_id"] for r in kept.collect()} == {31, 34, 35, 36}
     assert decontaminate.find(frame.limit(0), benchmark).count() == 0
     assert decontaminate.without_passages(frame, benchmark.limit(0)).count() == len(docs)
 
@@ -126,6 +126,49 @@ def test_edited_and_half_items_against_full_alignment(spark):
         assert {(5, 0), (6, 0), (7, 0), (20, 1), (21, 2)} <= set(want)
 
 
+def test_a_turn_of_phrase_pairs_nothing(spark):
+    rng = random.Random(12)
+    items = [(i, f"{sentence(rng, 20)} one of the most {sentence(rng, 20)}") for i in range(50)]
+    docs = [(i, f"{sentence(rng, 15)} one of the most {sentence(rng, 15)}") for i in range(600)]
+    docs += [(1000 + i, f"{sentence(rng, 9)} {items[i][1]} {sentence(rng, 9)}") for i in range(12)]
+    frame, asked = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    picked, listed = decontaminate._picked(frame, "doc_id", "text"), decontaminate._picked(asked, "item_id", "text")
+    found = decontaminate.candidates(picked, listed, 4).collect()
+    assert {(r["key"], r["item"]) for r in found} == {(1000 + i, i) for i in range(12)}
+    assert {(r["key"], r["item"]) for r in decontaminate.find(frame, asked).collect()} == {(1000 + i, i) for i in range(12)}
+
+
+def test_variants_of_an_item_in_many_texts(spark):
+    """Nothing in them is rare: seeds are pairs of common grams."""
+    rng = random.Random(13)
+    base = sentence(rng, 40).split()
+    items = [(i, " ".join([*base[: 20 + i % 3], f"variant{i}", *base[21 + i % 3 :]])) for i in range(12)]
+    docs = []
+    for i in range(14):
+        words = base[:]
+        words[rng.randrange(40)] = "edited"
+        docs.append((i, f"{sentence(rng, 20)} {' '.join(words)} {sentence(rng, 20)}"))
+    docs.append((50, f"{sentence(rng, 20)} {' '.join(base[5:12])} {sentence(rng, 40)}"))
+    found = decontaminate.find(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["key"], r["item"]): r["score"] for r in found.collect()}
+    want = {}
+    for d, t in docs:
+        for i, item in items:
+            score = brute.smith_waterman(brute.alnum(t), brute.alnum(item)) / (2 * len(brute.alnum(item)))
+            if score >= 0.5:
+                want[d, i] = score
+    assert got == pytest.approx(want) and len(want) == 14 * 12
+
+
+def test_items_shorter_than_a_gram(spark):
+    items = [(1, "zero"), (2, "alpha beta"), (3, "gamma, Delta epsilon"), (4, "..."), (None, "beta zeta")]
+    docs = [(10, "x alpha beta y"), (11, "beta alpha"), (12, "a GAMMA delta epsilon gamma delta epsilon"), (13, "Zero zero"), (14, None), (15, "beta zeta")]
+    found = decontaminate.find(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted(str((r["key"], r["item"], r["score"], r["first_word"], r["last_word"])) for r in found)
+    want = [(10, 2, 1.0, 1, 2), (12, 3, 1.0, 1, 3), (12, 3, 1.0, 4, 6), (13, 1, 1.0, 0, 0), (13, 1, 1.0, 1, 1), (15, None, 1.0, 0, 1)]
+    assert got == sorted(map(str, want))
+
+
 def test_decontamination_query_finds_every_whole_item(spark):
     docs = queries.table(spark, SF, "documents").collect()
     items = queries.table(spark, SF, "benchmark").collect()
@@ -175,6 +218,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert docs.limit(0).select(toxicity.severity(model, F.col("text"))).count() == 0
 
 
+def test_toxicity_against_a_plain_fit(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(240):
+        own = sentence(rng, 40).split()
+        for _ in range(rng.randint(1, 5) if i % 4 == 0 else 0):
+            own.insert(rng.randrange(len(own)), rng.choice(["vilest", "vilely", "rotten"]))
+        rows.append((i, " ".join(own)))
+    rows += [(0, "zzz")] * 200 + [(None, "vilest"), (5, None)]  # one labelled key on many documents
+    labels = [(i, int(i % 4 == 0)) for i in range(200)] + [(3, 0), (3, 1), (8, None), (None, 1)]
+    by_key = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            by_key[d] = max(y, by_key.get(d, 0))
+    frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    counted = brute.toxicity_rows(rows, by_key)
+    wanted = brute.telling(counted)
+
+    def hashed(w):
+        raw, n = (w.encode(), None) if isinstance(w, str) else w
+        data = np.frombuffer(raw, np.uint8)
+        h = words.word_hashes(data, np.array([0]), np.array([len(data)]))
+        return int((h if n is None else words.mix(h + words.U64(n))).view(np.int64)[0])
+
+    by_hash = {hashed(w): w for w in wanted}
+    assert set(model.features.tolist()) == set(by_hash) and len(by_hash) >= 4
+    names = [by_hash[h] for h in model.features.tolist()]
+    x = np.array([[np.log1p(100 * c[w] / n) if n else 0.0 for w in names] for c, n, _ in counted])
+    toxic = np.array([y for *_, y in counted])
+    order = np.lexsort((*x.T[::-1], toxic))
+    weights, thresholds = toxicity.fit_ordinal(x[order], toxicity.graded(x[order], toxic[order]), toxicity.GRADES)
+    assert model.weights == pytest.approx(weights, abs=0.05) and model.thresholds == pytest.approx(thresholds, abs=0.05)
+    got = frame.select("doc_id", "text", toxicity.severity(model, F.col("text")).alias("s")).collect()
+    for r in got:
+        c, n, _ = (brute.toxicity_rows([(1, r["text"])], {1: 0}))[0]
+        score = sum(w * (np.log1p(100 * c[name] / n) if n else 0.0) for w, name in zip(model.weights, names))
+        below = [1 / (1 + np.exp(score - t)) for t in model.thresholds]
+        p = np.diff([0.0, *below, 1.0])
+        assert r["s"]["probabilities"] == pytest.approx(p, abs=1e-9)
+        assert r["s"]["severity"] == pytest.approx(sum(k * q for k, q in enumerate(p)), abs=1e-9)
+
+
 def test_toxicity_query_agrees_with_labels(spark):
     labels = {r["doc_id"]: r["toxic"] for r in queries.table(spark, SF, "labels").collect()}
     found = {r["doc_id"]: r for r in queries.op9_toxicity(spark, SF).collect()}

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridpanel.llm import chat, gru, lm, queries
-from gridpanel.llm.templates import TemplateError, compile_template, fold, parse
+from gridpanel.llm.templates import TemplateError, compile_template, compile_turns, fold, parse
 from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import SF, sentence
@@ -64,6 +64,36 @@ def test_chat_with_nulls_ties_and_equal_rows(spark):
     assert got[None]["n_turns"] == 2 and got[None]["loss_sha256"] == brute.sha("")
     assert got[2]["turns_sha256"] == brute.sha("a\nb\\\n<|im_end|>\n")
     assert chat.format_conversations(frame.limit(0)).count() == 0
+    by_turn = chat.digests_of_turns(chat.format_turns(frame))
+    assert {r["conv"]: r for r in by_turn.collect()} == got
+    assert chat.digests_of_turns(chat.format_turns(frame.limit(0))).count() == 0
+
+
+def test_a_conversation_with_a_third_of_all_turns(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 3 else 7, i // 2, rng.choice(["user", "assistant"]), sentence(rng, rng.randint(0, 9)) + "<|im_end|>\\" * (i % 5 == 0)) for i in range(3000)]
+    rows += [(None, i, "assistant", f"x{i}") for i in range(900)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pieces = chat.format_turns(frame).collect()
+    whole = {r["conv"]: r for r in chat.format_conversations(frame).collect()}
+    for conv, r in whole.items():
+        own = sorted((p for p in pieces if p["conv"] == conv), key=lambda p: p["nth"])
+        assert [p["nth"] for p in own] == list(range(1, len(own) + 1))
+        assert "".join(p["piece"] for p in own) == r["formatted"]
+        assert [p["start"] for p in own] == np.cumsum([0, *(len(p["piece"]) for p in own)])[:-1].tolist()
+        assert [s for p in own for s in p["spans"]] == r["spans"]
+    key = lambda r: str(r["conv"])
+    assert sorted(chat.digests_of_turns(chat.format_turns(frame)).collect(), key=key) == sorted(chat.digests(chat.format_conversations(frame)).collect(), key=key)
+    picked = chat._picked(frame, "conv_id", "turn", "role", "text").repartitionByRange(4, *chat.ORDER)
+    counts = [r[1] for r in picked.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 4 and max(counts) < 2 * sorted(counts)[2]
+
+
+def test_only_loops_over_turns_are_rendered_on_their_own():
+    render = compile_turns(chat.TEMPLATE, chat.FILTERS)
+    assert render({"role": "assistant", "text": "a<|b"}) == ("<|im_start|>assistant\na<\\|b<|im_end|>\n", [(23, 28)])
+    for other in ("x{% for m in messages %}{{ m.text }}{% endfor %}", "{% for m in messages %}{{ loop.index }}{% endfor %}", "{% for m in others %}a{% endfor %}", "a"):
+        assert compile_turns(other, chat.FILTERS) is None
 
 
 def naive_score(p, tokens, end):
