@@ -100,7 +100,10 @@ def format_turns(
         def flush():
             keys, nths, starts, pieces, spans = zip(*rows)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            arrays = [pa.array(keys, conv_type), pa.array([part] * len(rows)), pa.array(nths), pa.array(starts), pa.array(pieces), pa.array([len(p) for p in pieces]), pa.array(spans, kind)]
+            arrays = [
+                pa.array(keys, conv_type), pa.array([part] * len(rows), pa.int32()), pa.array(nths), pa.array(starts),
+                pa.array(pieces), pa.array([len(p) for p in pieces]), pa.array(spans, kind),
+            ]
             return pa.RecordBatch.from_arrays(arrays, ["conv", "part", "nth", "start", "piece", "size", "spans"])
 
         for batch in batches:
@@ -129,7 +132,8 @@ def format_turns(
     carried = ends.withColumns({"_n": F.sum("n").over(before), "_size": F.sum("size").over(before)}).where("_n IS NOT NULL")
     carried = landed(carried.select(F.col("conv").alias("_conv"), F.col("part").alias("_part"), "_n", "_size"), "carried")
     both = pieces.join(carried, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")), "left")
-    start = F.col("start") + F.coalesce("_size", F.lit(0))
+    both = both.withColumn("_from", F.col("start") + F.coalesce("_size", F.lit(0)))
+    start = F.col("_from")
     moved = F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end")))
     return both.select("conv", (F.col("nth") + F.coalesce("_n", F.lit(0))).alias("nth"), start.alias("start"), "piece", moved.alias("spans"))
 

@@ -101,7 +101,7 @@ def _pairs(common: DataFrame, on: list[str], n: int) -> DataFrame:
     distance, ``place`` of the first."""
     along = Window.partitionBy(*on).orderBy("place").rangeBetween(n, 3 * n)
     behind = F.collect_list(F.struct("place", "gram")).over(along)  # of at most 2 n + 1 places
-    both = common.withColumn("next", F.explode(behind))
+    both = common.withColumn("behind", behind).withColumn("next", F.explode("behind"))
     return both.select(*on, "place", F.xxhash64("gram", "next.gram", F.col("next.place") - F.col("place")).alias("gram"))
 
 

@@ -218,15 +218,27 @@ def passes(filter_bytes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _spread(texts: DataFrame, listed: DataFrame) -> DataFrame:
-    """``term, documents`` of terms and classes that are ``listed``."""
+    """``term, documents`` of terms and classes that are ``listed``, and of some others that the
+    filter lets pass. A task adds up its own counts before it hands them on."""
     shared = texts.sparkSession.sparkContext.broadcast(bloom(listed, "term"))
 
-    def counted(seen):
-        term, n = np.unique(np.concatenate(seen), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
-
     def run(batches):
-        seen, size = [], 0
+        seen, held = [], []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            held.append(np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            seen.clear()
+            term, number = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            n = np.zeros(len(term), np.int64)
+            np.add.at(n, number, np.concatenate([c for _, c in held]))
+            held[:] = [(term, n)]
+            return term, n
+
+        def batch_of(term, n):
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+
+        size = 0
         for batch in batches:
             for part in words.slices(batch, "text"):
                 t = _Texts(part.column("text")).split()
@@ -241,13 +253,14 @@ def _spread(texts: DataFrame, listed: DataFrame) -> DataFrame:
                     seen.append(h[new])
                     size += len(seen[-1])
                 if size > HELD:
-                    yield counted(seen)
-                    seen, size = [], 0
-        if size:
-            yield counted(seen)
+                    term, n = added()
+                    size = 0
+                    if len(term) > HELD:
+                        yield batch_of(term, n)
+        yield batch_of(*added())
 
     partial = texts.select("text").mapInArrow(run, "term bigint, n bigint")
-    return partial.groupBy("term").agg(F.sum("n").alias("documents")).join(listed, "term", "left_semi")
+    return partial.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
 def disclosing(texts: DataFrame, support: int = SUPPORT, gain: float = GAIN, left: float = LEFT) -> DataFrame:

@@ -128,9 +128,13 @@ def test_edited_and_half_items_against_full_alignment(spark):
 
 def test_a_turn_of_phrase_pairs_nothing(spark):
     rng = random.Random(12)
-    items = [(i, f"{sentence(rng, 20)} one of the most {sentence(rng, 20)}") for i in range(50)]
-    docs = [(i, f"{sentence(rng, 15)} one of the most {sentence(rng, 15)}") for i in range(600)]
-    docs += [(1000 + i, f"{sentence(rng, 9)} {items[i][1]} {sentence(rng, 9)}") for i in range(12)]
+
+    def own(n):
+        return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+    items = [(i, f"{own(20)} one of the most {own(20)}") for i in range(50)]
+    docs = [(i, f"{own(15)} one of the most {own(15)}") for i in range(600)]
+    docs += [(1000 + i, f"{own(9)} {items[i][1]} {own(9)}") for i in range(12)]
     frame, asked = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
     picked, listed = decontaminate._picked(frame, "doc_id", "text"), decontaminate._picked(asked, "item_id", "text")
     found = decontaminate.candidates(picked, listed, 4).collect()
