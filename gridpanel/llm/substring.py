@@ -44,8 +44,8 @@ MIN_CELLS = 1 << 21
 MAX_CELLS = 1 << 30
 REGION = 1 << 20
 ROWS = 2
-GROUPED = 1 << 19
-SKETCHED = 1 << 21
+GROUPED = 1 << 18
+SKETCHED = 1 << 20
 BUCKET = 1 << 21
 LEAST_BUCKETS = 64
 BLOCK = 1 << 12
@@ -251,6 +251,7 @@ def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     def grouped(found):
         h1, h2, place = (np.concatenate([x[i] for x in found]) for i in range(3))
         key, mark, deal = (pa.concat_arrays([x[i] for x in found]) for i in (3, 4, 5))
+        found.clear()  # the parts are not held beside the whole
         mark, deal = mark.to_numpy(), deal.to_numpy()
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
