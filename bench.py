@@ -35,7 +35,12 @@ HEADLINE = [
 ]
 
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+
+
 def main() -> None:
+    # Python workers find the package where this file lies
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH", "")]))
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
