@@ -19,8 +19,8 @@
 
 So a copy is looked at from ``n`` unchanged words in a row on that are not a turn of phrase, or two runs
 that are. The looked-up grams, eight bytes each, are broadcast up to ``BROADCAST_ROWS``, by count, and the stretches of
-numbered items likewise; item words are stored once and joined to the words of a stretch. Beyond these bounds joins
-shuffle. Null texts have no words. Rows with the same key and text share one result, repeated items
+numbered items likewise; item words are stored once, broadcast up to ``BROADCAST_WORDS``, else joined to the words of a
+stretch. Beyond these bounds joins shuffle. Null texts have no words. Rows with the same key and text share one result, repeated items
 (by id and text) one each. Other columns, whatever their names, are not read; texts may be of any length. Empty
 tables give empty results.
 """
@@ -250,12 +250,14 @@ def find(
                     ["key", "mark", "item", "item_mark", "low", "own_words"],
                 )
 
-    def aligned(batches):
+    def aligned(batches, words_of=None):
         for batch in batches:
             out = []
-            places = zip(batch.column("low").to_pylist(), batch.column("own_words"), batch.column("item_words"))
-            for i, (low, own, listed) in enumerate(places):
-                for score, first, last in passages(np.asarray(own.values), np.asarray(listed.values), threshold):
+            listed = batch.column("item_words") if words_of is None else (words_of[m] for m in batch.column("item_mark").to_pylist())
+            places = zip(batch.column("low").to_pylist(), batch.column("own_words"), listed)
+            for i, (low, own, item) in enumerate(places):
+                item = item if words_of else np.asarray(item.values)
+                for score, first, last in passages(np.asarray(own.values), item, threshold):
                     out.append((i, score, low + first, low + last))
             r, score, first, last = zip(*out) if out else ((),) * 4
             take = pa.array(r, pa.int64())
@@ -267,13 +269,17 @@ def find(
                 ["key", "mark", "item", "score", "first_word", "last_word"],
             )
 
-    stretches = joined.mapInArrow(cut, f"key {key_type}, mark bigint, item {item_type}, item_mark bigint, low bigint, own_words array<bigint>")
+    result = f"key {key_type}, mark bigint, item {item_type}, score double, first_word bigint, last_word bigint"
     known = landed(_item_words(items).select("item_mark", "item_words").dropDuplicates(["item_mark"]), "item-words")
     size = known.agg(F.sum(F.size("item_words") + 4)).first()[0] or 0
-    both = stretches.join(F.broadcast(known) if size <= BROADCAST_WORDS else known, "item_mark")
-    return both.mapInArrow(
-        aligned, f"key {key_type}, mark bigint, item {item_type}, score double, first_word bigint, last_word bigint"
-    ).distinct()
+    if size > BROADCAST_WORDS:
+        stretches = joined.mapInArrow(cut, f"key {key_type}, mark bigint, item {item_type}, item_mark bigint, low bigint, own_words array<bigint>")
+        return stretches.join(known, "item_mark").mapInArrow(aligned, result).distinct()
+    table = known.toArrow()
+    held = {m: np.asarray(w.values) for m, w in zip(table.column("item_mark").to_pylist(), table.column("item_words"))}
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    # one Python worker a task does both
+    return joined.mapInArrow(lambda batches: aligned(cut(batches), shared.value), result).distinct()
 
 
 def without_passages(

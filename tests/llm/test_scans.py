@@ -87,6 +87,7 @@ def test_passages_are_found_and_clean_texts_left(spark, monkeypatch):
     want = {(i, 0) for i in range(20)} | {(30, 1), (32, 3), (32, 4), (33, None), (None, 4), (37, 8)}
     for most in (1_000_000, 0):
         monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
         found = decontaminate.find(frame, benchmark).collect()
         assert {(r["key"], r["item"]) for r in found} == want
         assert sum(r["key"] == 32 and r["item"] == 3 for r in found) == 2
