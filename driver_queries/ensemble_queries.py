@@ -360,6 +360,22 @@ def underscored(df):
     return df.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in df.columns])
 
 
+@query(
+    "metric_gaps", "metric absent known unknown",
+    f"""WITH {RESULTS_SQL}, long AS ({" UNION ALL ".join(f"SELECT scenario, '{m}' AS metric, {m} AS value FROM statistics" for m in METRICS)})
+    SELECT metric, '-' AS absent, CASE WHEN count(value) FILTER (scenario = 'AFRICA') = 0 THEN '-' ELSE 'number' END AS known,
+      CASE WHEN metric = 'eens_gwh' OR count(value) FILTER (scenario = 'ASIA') = 0 THEN '-' ELSE 'number' END AS unknown
+    FROM long GROUP BY metric""",
+)
+def metric_gaps(spark, sf_dir):
+    """Cells without a value, of a scenario that was not run and of one that lacks a metric, are dashes."""
+    statistics = ensemble.scenario_statistics(main_results(spark, sf_dir), digits=None, max_scenarios=len(REGIONS))
+    lacking = statistics.withColumn("eens_gwh", F.when(F.col("scenario") != "ASIA", F.col("eens_gwh")))
+    matrix = ensemble.metric_matrix(lacking, ["AFRICA", "ASIA", "ATLANTIS"])
+    dash = {c: F.when(F.col(c) == "-", "-").otherwise("number") for c in ("AFRICA", "ASIA")}
+    return matrix.select("metric", F.col("ATLANTIS").alias("absent"), dash["AFRICA"].alias("known"), dash["ASIA"].alias("unknown"))
+
+
 @query(
     "metric_matrix", "metric " + " ".join(f"{r}:2" for r in REGION_COLUMNS),
     f"WITH {RESULTS_SQL}, long AS ("
