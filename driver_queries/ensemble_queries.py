@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_queries.bases import CAP, LINES_SQL, lines
@@ -493,12 +494,8 @@ SHOWN = ["EUROPE", "ASIA", "AFRICA"]
 def scenario_order(spark, sf_dir):
     """A report's rows: some scenarios in a fixed order, the others behind them by name."""
     counted = results(spark, sf_dir).groupBy("scenario").agg(F.count("*").alias("n"))
-    return numbered(ensemble.ordered(counted, "scenario", SHOWN))
-
-
-def numbered(report):
-    """Row numbers of a report of a few rows, in the order it has."""
-    return report.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    of_few_rows = Window.partitionBy().orderBy(ensemble.position_in("scenario", SHOWN), "scenario")
+    return ensemble.ordered(counted, "scenario", SHOWN).withColumn("place", F.row_number().over(of_few_rows))
 
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
