@@ -19,3 +19,14 @@ def test_a_session_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.shared_folder(Unset)
+
+
+def test_tables_that_are_done_with_can_be_removed(spark):
+    before = scratch.made(spark)
+    one, two = (scratch.landed(spark.range(n), "t") for n in (3, 4))
+    made = scratch.made(spark)[len(before):]
+    assert len(made) == 2
+    scratch.remove(spark, made[:1])
+    assert two.count() == 4 and scratch.made(spark) == [*before, made[1]]
+    with pytest.raises(Exception, match="(?i)not.exist|PATH_NOT_FOUND"):
+        spark.read.parquet(made[0]).count()
