@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.llm import decontaminate, packing, simhash, substring, toxicity
 from gridpanel.llm.queries import table
-from gridpanel.sources.scratch import landed
+from gridpanel.sources import scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -71,7 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has landed on its way goes once its output is written, and
+    that output once the next one's is."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = landed(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = len(scratch.made(spark)) - len(held)
+        docs = scratch.landed(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        *done, output = scratch.made(spark)[before:]
+        scratch.remove(spark, done)
+        held = [output]
     return docs
