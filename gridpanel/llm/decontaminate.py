@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpanel.llm import words
+from gridpanel.llm.workers import in_small_batches, lean
 from gridpanel.sources.scratch import landed
 
 N = 4
@@ -116,6 +117,7 @@ def _seeds(hits: DataFrame, grams: DataFrame, same_item: list[str]) -> tuple[Dat
     return hits.join(rare, "gram"), hits.join(common, "gram", "left_semi"), grams.join(common, "gram", "left_semi")
 
 
+@in_small_batches
 def candidates(docs: DataFrame, items: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """``key, mark, item, item_mark, low, high``: stretches of words to be aligned, which
     do not overlap for one text and item."""
@@ -221,6 +223,7 @@ def find(
 ) -> DataFrame:
     """``key, mark, item, score, first_word, last_word``: each passage of a document
     that scores ``threshold`` or more; ``mark`` is the hash of the text."""
+    lean(docs.sparkSession)
     picked, items = _picked(docs, key, text), _picked(benchmark, item, item_text)
     found = landed(candidates(picked, items, n, threshold), "candidates")
     by_text = found.groupBy("key", "mark").agg(F.collect_list(F.struct("item", "item_mark", "low", "high")).alias("stretches"))

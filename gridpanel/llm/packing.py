@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.llm import words
 from gridpanel.llm.tokens import tokenizer
+from gridpanel.llm.workers import lean
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
@@ -139,6 +140,7 @@ def pack(
     """
     if list(tiers) != sorted(set(tiers)) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be rising powers of two")
+    lean(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     dealt = pieces(docs, key, text, path or default_tokenizer(), end_id, tiers[-1], blocks)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gridpanel.llm import words
 from gridpanel.llm.components import connected
+from gridpanel.llm.workers import in_small_batches, lean
 from gridpanel.sources.scratch import landed
 
 LIST = 1024
@@ -226,11 +227,13 @@ def _in_cells(postings: DataFrame, linked) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+@in_small_batches
 def _grouped(rows: DataFrame, shingle: int, max_bits: int, order) -> tuple[DataFrame, DataFrame]:
     """``rows`` (with a column ``text``) with their ``fp``, stored; and ``fp, head, root``: for each
     fingerprint the least row in an ``order`` and the least fingerprint of its component."""
     if not 0 <= max_bits <= 4:
         raise ValueError("64-bit fingerprints are linked at 0 to 4 bits")
+    lean(rows.sparkSession)
     marked = landed(fingerprints(rows, shingle), "fingerprints")
     nodes = landed(marked.groupBy("fp").agg(F.min(order).alias("head")), "nodes")
     groups = connected(links(nodes.select("fp"), cover(8, 4), 8 - max_bits, max_bits), "a", "b")

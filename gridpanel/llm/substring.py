@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm import words
+from gridpanel.llm.workers import in_small_batches, lean
 from gridpanel.sources.scratch import landed
 
 CELLS_A_WINDOW = 2
@@ -219,8 +220,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return _repeated(_prepared(docs, key, text), window)
 
 
+@in_small_batches
 def _repeated(prepared: DataFrame, window: int) -> DataFrame:
     spark = prepared.sparkSession
+    lean(spark)
     cells, buckets = _size(prepared)
     shared: list = []
     for share in (1, 2):

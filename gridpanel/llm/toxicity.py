@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpanel.llm import words
+from gridpanel.llm.workers import in_small_batches, lean
 from gridpanel.sources.scratch import landed
 
 SAMPLE = 20_000
@@ -142,10 +143,12 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, steps: int = 4
     return w, first + np.concatenate([[0.0], np.cumsum(np.exp(raw))])
 
 
+@in_small_batches
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
 ) -> Model:
     """Fit on the labelled rows of ``docs``, one for each of ``sample`` keys at most."""
+    lean(docs.sparkSession)
     named = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("toxic"))
     named = named.where("toxic in (0, 1) and key is not null").groupBy("key").agg(F.max("toxic").alias("toxic"))
     named = named.orderBy(F.xxhash64("key"), "key").limit(sample)
