@@ -47,7 +47,7 @@ REGION = 1 << 20
 ROWS = 2
 GROUPED = 1 << 18
 SKETCHED = 1 << 20
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 LEAST_BUCKETS = 64
 BLOCK = 1 << 12
 SLICE = 1 << 20  # bytes of text worked on at once

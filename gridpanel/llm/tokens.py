@@ -18,7 +18,7 @@ import numpy as np
 
 from gridpanel.llm import words
 
-CACHE_BYTES = 96 << 20  # of a worker's parts and their ids
+CACHE_BYTES = 48 << 20  # of a worker's parts and their ids
 ENTRY_BYTES = 170  # what Python takes for an entry besides its bytes
 
 # The split pattern of the word-level vocabulary, for ASCII and the
@@ -66,17 +66,19 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        shape = json.loads(self.whole.to_str())
-        self.plain = self._is_plain(shape)
+        # of these two alone: as a whole it would bring the vocabulary along
+        parts = (self.whole.normalizer, self.whole.pre_tokenizer)
+        normalizer, steps = (json.loads(p.__getstate__()) if p is not None else {} for p in parts)
+        self.plain = self._is_plain(normalizer, steps)
         self.model = self.whole.model
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.parts = Generations(self._run, cache_bytes)
 
     @staticmethod
-    def _is_plain(shape: dict) -> bool:
-        kinds = [x["type"] for x in (shape.get("normalizer") or {}).get("normalizers", [])]
-        steps = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    def _is_plain(normalizer: dict, pre_tokenizer: dict) -> bool:
+        kinds = [x["type"] for x in normalizer.get("normalizers", [])]
+        steps = pre_tokenizer.get("pretokenizers", [])
         return (
             kinds == ["NFC", "Replace", "Lowercase"]
             and [x["type"] for x in steps] == ["Split", "ByteLevel"]
