@@ -30,6 +30,7 @@ from gridpanel.sources.scratch import landed
 
 SAMPLE = 20_000
 FEATURES = 256
+SLICE = 1 << 20  # bytes of text worked on at once
 MIN_ROWS = 3
 MIN_SCORE = 15.0  # chi-square; chance alone gives this to one word in ten thousand
 PREFIXES = (4, 5, 6, 7, 8)
@@ -84,7 +85,7 @@ def _values(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _distinct_words(sample: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 hashes, row, _ = _hashed(part.column("text"))
                 seen = np.unique(np.rec.fromarrays([row, hashes], names="row,word"))
                 toxic = part.column("toxic").take(pa.array(seen["row"].astype(np.int64)))
@@ -167,7 +168,7 @@ def fit(
 
     def values(batches):
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 row, feature, value = _values(part.column("text"), features)
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature.astype(np.int32), value)]
@@ -197,7 +198,7 @@ def severity(model: Model, text: Column) -> Column:
     def scored(texts: pa.Array) -> pa.Array:
         one = pa.record_batch([texts], ["text"])
         parts = []
-        for part in words.slices(one, "text"):
+        for part in words.slices(one, "text", SLICE):
             row, feature, value = _values(part.column("text"), model.features)
             parts.append(np.bincount(row, value * model.weights[feature], part.num_rows))
         p = model.of_scores(np.concatenate(parts) if parts else np.zeros(0))
