@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driver_queries.draw_queries import REGIONS
-from driver_queries.ensemble_queries import RESULTS_SQL, results
+from driver_queries.ensemble_queries import RESULTS_SQL, RUN, results
 from driver_queries.registry import query, table
 from gridpanel.sources import commits, feeds, scratch, tables
 
@@ -182,9 +182,8 @@ def price_scan(spark, sf_dir):
 )
 def incremental_write(spark, sf_dir):
     """All blocks are written, then one block again with other numbers."""
-    rows = results(spark, sf_dir).select(
-        "scenario", (F.col("iteration") + 1).alias("iteration"), "total_generation", F.lit(False).alias("rerun")
-    )
+    stored = scratch.landed(results(spark, sf_dir).select(*RUN, "total_generation"), "results")
+    rows = stored.withColumns({"iteration": F.col("iteration") + 1, "rerun": F.lit(False)})
     path = scratch.new_path(spark, "incremental_write")
     commits.write_iterations(rows, path, 20)
     again = commits.with_block(rows, 20).where(F.col("iter_block") == 1).drop("iter_block")

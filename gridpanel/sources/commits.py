@@ -1,8 +1,9 @@
 """Result tables that are written in blocks of iterations, with a manifest of what is whole.
 
-A commit is a folder of its own, ``blocks/commit_id=.../scenario=.../iter_block=...``, and then one small
+A commit is a folder of its own, ``blocks/commit_id=.../scenario=...``, and then one small
 file in ``manifest`` that says which scenarios and iterations it holds and under which digest
-(seed, settings and inputs) they were made. Readers go by the manifest alone: a folder that no file
+(seed, settings and inputs) they were made. Blocks are a column of the files, so their number does not
+add to that of the files (commits made before that have a folder each, which is read as it is). Readers go by the manifest alone: a folder that no file
 names, of a run that died, is not there for them, and a commit counts for all of its
 scenarios or for none. Nothing is moved or overwritten, so this holds on object stores too.
 
@@ -14,11 +15,13 @@ The manifest has an entry for each scenario, block and commit; it is read by the
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 @dataclass(frozen=True)
 class Entry:
     """Iterations ``first`` to ``last`` of a scenario, in a folder below ``blocks``; None where
-    they have no rows."""
+    they have no rows. ``block`` is their number in that folder, None where the folder is theirs alone."""
 
     order: int
     scenario: str
@@ -39,6 +42,7 @@ class Entry:
     rows: int
     folder: str | None
     schema: str
+    block: int | None = None
 
 
 def digest_of(*parts: object) -> str:
@@ -78,7 +82,7 @@ def entries(spark: SparkSession, path: str) -> list[Entry]:
     fs, folder = _files(spark, f"{path}/manifest")
     if not fs.exists(folder) or not any(f.getPath().getName().endswith(".json") for f in fs.listStatus(folder)):
         return []
-    kinds = {"int": T.LongType(), "str": T.StringType(), "str | None": T.StringType()}
+    kinds = {"int": T.LongType(), "str": T.StringType(), "str | None": T.StringType(), "int | None": T.LongType()}
     schema = T.StructType([T.StructField(k, kinds[t]) for k, t in Entry.__annotations__.items()])
     rows = spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{path}/manifest").collect()
     return sorted((Entry(**r.asDict()) for r in rows), key=lambda e: (e.order, str(e.scenario), e.first))
@@ -88,34 +92,46 @@ def current(found: Iterable[Entry], digests: dict[str, str] | None = None) -> li
     """The entries that count, at most one for an iteration of a scenario. ``digests`` by scenario
     asks for these scenarios and digests alone."""
     kept: dict[str, list[Entry]] = {}
+    starts: dict[str, list[int]] = {}
     wanted = dict(digests or {})
     for e in sorted(found, key=lambda e: -e.order):
         if digests is not None and e.scenario not in digests or e.digest != wanted.setdefault(e.scenario, e.digest):
             continue
-        own = kept.setdefault(e.scenario, [])
-        if all(e.last < k.first or e.first > k.last for k in own):
-            own.append(e)
+        own, first = kept.setdefault(e.scenario, []), starts.setdefault(e.scenario, [])
+        # those kept are apart and in order, so only the last one that begins in time can reach into this one
+        at = bisect.bisect_right(first, e.last)
+        if at == 0 or own[at - 1].last < e.first:
+            own.insert(at, e)
+            first.insert(at, e.first)
     return sorted((e for own in kept.values() for e in own), key=lambda e: (str(e.scenario), e.first))
 
 
-def commit(df: DataFrame, path: str, ranges: dict[tuple[str, int], tuple[int, int]], digests: dict[str, str], files: int = 8) -> list[Entry]:
+Spans = dict[tuple[str, int], tuple[int, int]]
+
+
+def commit(df: DataFrame, path: str, ranges: Spans | Callable[[set], Spans], digests: dict[str, str] | str, files: int = 8) -> list[Entry]:
     """Write rows with ``scenario, iteration, iter_block`` and record them. ``ranges`` has the
-    iterations that each (scenario, block) stands for; those without rows are recorded too. A
+    iterations that each (scenario, block) stands for, or tells them for those that were written; those
+    without rows are recorded too. ``digests`` are by scenario or one for all. A
     scenario's block is dealt over ``files`` tasks."""
     spark = df.sparkSession
     order = max((e.order for e in entries(spark, path)), default=0) + 1
     target = f"{path}/blocks/commit_id=c{order:012d}-{uuid.uuid4().hex}"
     part = F.pmod(F.xxhash64("iteration"), F.lit(files))
-    df.repartition("scenario", "iter_block", part).write.partitionBy("scenario", "iter_block").parquet(target)
+    df.repartition("scenario", "iter_block", part).write.partitionBy("scenario").parquet(target)
     written = spark.read.schema(df.schema).parquet(target)
     folder = F.min(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).alias("folder")
     held = {(r["scenario"], r["iter_block"]): r for r in written.groupBy("scenario", "iter_block").agg(F.count("*").alias("n"), folder).collect()}
-    if extra := held.keys() - ranges.keys():
+    spans = ranges(set(held)) if callable(ranges) else ranges
+    if extra := held.keys() - spans.keys():
         raise ValueError(f"rows outside the blocks to be written: {sorted(map(str, extra))}")
     schema = df.schema.json()
     made = [
-        Entry(order, scenario, *span, digests[scenario], r["n"] if (r := held.get((scenario, block))) else 0, unquote(r["folder"]).rsplit("/blocks/", 1)[1] if r else None, schema)
-        for (scenario, block), span in ranges.items()
+        Entry(
+            order, scenario, *span, digests if isinstance(digests, str) else digests[scenario], r["n"] if (r := held.get((scenario, block))) else 0,
+            unquote(r["folder"]).rsplit("/blocks/", 1)[1] if r else None, schema, block,
+        )
+        for (scenario, block), span in spans.items()
     ]
     if made:
         _record(spark, path, made)
@@ -129,11 +145,12 @@ def with_block(df: DataFrame, block: int = 1000) -> DataFrame:
 
 def write_iterations(df: DataFrame, path: str, block: int = 1000, files: int = 8, digest: str = "") -> list[Entry]:
     """Write whole blocks of iterations in one commit; blocks that are written again are
-    replaced, the others stay."""
-    rows = with_block(df, block)
-    there = rows.select("scenario", "iter_block").distinct().collect()
-    ranges = {(r[0], r[1]): (r[1] * block + 1, (r[1] + 1) * block) for r in there}
-    return commit(rows, path, ranges, {r[0]: digest for r in there}, files)
+    replaced, the others stay. The rows are made once."""
+
+    def whole(there):
+        return {(scenario, number): (number * block + 1, (number + 1) * block) for scenario, number in there}
+
+    return commit(with_block(df, block), path, whole, digest, files)
 
 
 def write_blocks(
@@ -175,14 +192,27 @@ def read_iterations(
         raise ValueError(f"{path} has no manifest")
     some = [e for e in current(found, digests) if scenario is None or e.scenario == scenario]
     schema = T.StructType.fromJson(json.loads(found[-1].schema))
-    folders = [e.folder for e in some if e.folder and (n is None or e.first <= n)]
+    folders = sorted({e.folder for e in some if e.folder and (n is None or e.first <= n)})
     if not folders:
         return spark.createDataFrame([], schema)
-    blocks = f"{path}/blocks"
-    out = spark.read.schema(schema).option("basePath", blocks).parquet(*[f"{blocks}/{f}" for f in folders]).select(*schema.names)
+    blocks, depths = f"{path}/blocks", {f.count("/") for f in folders}
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("commit_id", T.StringType())])).option("basePath", blocks)
+    parts = [read.parquet(*[f"{blocks}/{f}" for f in folders if f.count("/") == depth]) for depth in sorted(depths)]
+    out = _without(reduce(DataFrame.unionByName, parts), set(found) - set(some), set(folders)).select(*schema.names)
     return out if n is None else out.where(F.col("iteration") <= n)
 
 
+def _without(rows: DataFrame, replaced: set[Entry], folders: set[str]) -> DataFrame:
+    """Leave out the blocks that do not count, of folders that others share with them."""
+    gone = [(e.folder.split("/")[0].removeprefix("commit_id="), e.scenario, e.block) for e in replaced if e.folder in folders and e.block is not None]
+    if not gone:
+        return rows
+    # as many rows as the driver has read from the manifest
+    named = F.broadcast(rows.sparkSession.createDataFrame(gone, "commit_id string, scenario string, iter_block int")).alias("gone")
+    on = [F.col(f"rows.{c}").eqNullSafe(F.col(f"gone.{c}")) for c in named.columns]
+    return rows.alias("rows").join(named, on, "left_anti")
+
+
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Remove the folders of commits that no entry that counts lies in; returns them. For when
     no run writes or reads there."""

@@ -152,3 +152,59 @@ def test_content_hash(spark):
     assert commits.content_hash(df.withColumnRenamed("b", "d")) != same
     assert commits.content_hash(df.unionByName(df)) != same
     assert commits.content_hash(df.limit(0)) != same
+
+
+def test_many_blocks_do_not_make_many_files(spark, tmp_path):
+    """A commit of 300 blocks has no more files than one of few, is made from one pass, and its rewritten blocks are left out."""
+    df = spark.range(1, 3001).selectExpr("IF(id % 2 = 0, 'a', NULL) AS scenario", "CAST(id AS INT) AS iteration", "0 AS v")
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    path = str(tmp_path / "t")
+    made = commits.write_iterations(df.mapInArrow(counted, df.schema), path, 10)
+    assert passes.value == 3000 and len(made) == 600
+    assert len(list((tmp_path / "t" / "blocks").rglob("*.parquet"))) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    commits.write_iterations(df.where("iteration <= 25 AND scenario IS NULL").withColumn("v", F.lit(1)), path, 10)
+    got = [tuple(r) for r in commits.read_iterations(spark, path).select("scenario", "iteration", "iter_block", "v").collect()]
+    # the third block is replaced by the one of iterations 21 to 25
+    want = [("a" if i % 2 == 0 else None, i, (i - 1) // 10, int(i <= 25 and i % 2 == 1)) for i in range(1, 3001) if i % 2 == 0 or not 25 < i <= 30]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_commits_with_a_folder_a_block_are_read_on(run):
+    """As commits were laid out before: their folders and a manifest without the block's number."""
+    import json
+
+    old = f"{run.path}/blocks/commit_id=c000000000001-x"
+    rows = run.rows_of(1)(1, 20, ["a"]).withColumn("iter_block", F.floor((F.col("iteration") - 1) / 10).cast("int"))
+    rows.write.partitionBy("scenario", "iter_block").parquet(old)
+    digest, fs = commits.digest_of("a", 1), commits._files(run.spark, f"{run.path}/manifest/000000000001-x.json")
+    out = fs[0].create(fs[1])
+    for k in range(2):
+        entry = dict(order=1, scenario="a", first=10 * k + 1, last=10 * k + 10, digest=digest, rows=10, folder=f"commit_id=c000000000001-x/scenario=a/iter_block={k}", schema=rows.schema.json())
+        out.write(bytearray((json.dumps(entry) + "\n").encode()))
+    out.close()
+    assert run.go(30, ["a"]) == ([("a", 21, 30)], want(30, ["a"]))
+    commits.write_iterations(run.rows_of(5)(11, 20, ["a"]), run.path, 10, digest=digest)
+    assert run.read() == sorted([x if not 10 < x[1] <= 20 else ("a", x[1], 5) for x in want(30, ["a"])])
+
+
+def test_what_counts_among_many_entries():
+    """Against the plain rule: newest first, none that overlaps one already there."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    some = [commits.Entry(rng.randint(1, 9), "a", f, f + rng.randint(0, 6), "d", 1, None, "") for f in (rng.randint(1, 60) for _ in range(200))]
+    kept = []
+    for e in sorted(some, key=lambda e: -e.order):
+        if all(e.last < k.first or e.first > k.last for k in kept):
+            kept.append(e)
+    assert commits.current(some) == sorted(kept, key=lambda e: e.first)
+    many = [commits.Entry(1, "a", 20 * i + 1, 20 * i + 20, "d", 1, None, "") for i in range(20_000)]
+    begin = time.time()
+    assert commits.current(many) == many and time.time() - begin < 5
