@@ -228,10 +228,49 @@ class _Wanted:
         return ask
 
 
+def _wanted() -> list[tuple[str, str]]:
+    """The aggregates that the tables of an iteration are made of."""
+    wanted = _Wanted()
+    kpi_columns(wanted)
+    return sorted(wanted.asked | {("avg", c) for c in [*PROFILED.values(), *INPUTS]})
+
+
+def _summed() -> list[str]:
+    return sorted({c for kind, c in _wanted() if kind in ("sum", "avg", "std")})
+
+
+GAP_BITS = 62
+
+
+def _gaps() -> dict[str, Column]:
+    """Flags that tell which of the summed columns a row lacks: a bit each, in as many numbers as
+    it takes."""
+    names = _summed()
+    out = {}
+    for k in range(0, len(names), GAP_BITS):
+        flags = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(names[k : k + GAP_BITS])]
+        out[f"gaps_{k // GAP_BITS}"] = scalars.add_up(flags)
+    return out
+
+
 class OverParts:
     """The same aggregates from ``parts``: counts and sums are added up, means weighted by the
     known values, the deviations of the parts and of their means added."""
 
+    def __init__(self):
+        self.place = {c: divmod(i, GAP_BITS) for i, c in enumerate(_summed())}
+
+    def known(self, c: str) -> Column:
+        """Whether the part's rows have the column: all of them or none."""
+        number, bit = self.place[c]
+        return F.col(f"gaps_{number}").bitwiseAND(F.lit(1 << bit).cast("bigint")) == 0
+
+    def n(self, c: str) -> Column:
+        return F.when(self.known(c), F.col("n")).otherwise(F.lit(0))
+
+    def total(self, c: str) -> Column:
+        return F.when(self.known(c), F.col(f"sum_{c}"))
+
     def count(self) -> Column:
         return F.sum("n")
 
@@ -239,10 +278,10 @@ class OverParts:
         return F.sum(f"if_{condition}")
 
     def sum(self, c: str) -> Column:
-        return F.sum(f"sum_{c}")
+        return F.sum(self.total(c))
 
     def avg(self, c: str) -> Column:
-        return scalars.ratio(F.sum(f"sum_{c}"), F.sum(f"n_{c}"))
+        return scalars.ratio(F.sum(self.total(c)), F.sum(self.n(c)))
 
     def min(self, c: str) -> Column:
         return F.min(f"min_{c}")
@@ -251,7 +290,7 @@ class OverParts:
         return F.max(f"max_{c}")
 
     def std(self, c: str) -> Column:
-        n, total = F.col(f"n_{c}"), F.col(f"sum_{c}")
+        n, total = self.n(c), self.total(c)
         between = F.sum(scalars.ratio(total * total, n)) - scalars.ratio(F.sum(total) * F.sum(total), F.sum(n))
         squares = F.sum(f"dev_{c}") + F.greatest(between, F.lit(0.0))
         return F.when(F.sum(n) > 1, F.sqrt(squares / (F.sum(n) - 1)))
@@ -261,17 +300,18 @@ class OverParts:
 
 
 def parts(hours: DataFrame) -> DataFrame:
-    """One row per iteration, month, hour of day and whether the hours are ``valid``, with what
-    the indicators, both profiles and the realised inputs are made of. The only pass over the hours."""
-    wanted = _Wanted()
-    kpi_columns(wanted)
-    wanted.asked |= {("avg", c) for c in [*PROFILED.values(), *INPUTS]}
+    """One row per iteration, month, hour of day, whether the hours are ``valid`` and which columns
+    they lack, with what the indicators, both profiles and the realised inputs are made of. The only
+    pass over the hours.
+
+    Hours of a part have a column all or not at all, so one count serves all columns and sums
+    needn't look out for nulls: of so many aggregates, those that tell known values would be most of
+    the work.
+    """
     out = {"n": F.count(F.lit(1)), "first_ts": F.min("ts")}
-    for kind, c in sorted(wanted.asked):
-        if kind in ("sum", "avg", "std"):
-            out[f"sum_{c}"] = F.sum(F.col(c).cast("double"))
-        if kind in ("avg", "std"):
-            out[f"n_{c}"] = F.count(c)
+    for c in _summed():
+        out[f"sum_{c}"] = F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    for kind, c in _wanted():
         if kind == "std":
             out[f"dev_{c}"] = F.var_pop(c) * F.count(c)
         if kind in ("min", "max"):
@@ -281,7 +321,8 @@ def parts(hours: DataFrame) -> DataFrame:
         if kind == "count_if":
             out[f"if_{c}"] = F.count_if(F.expr(CONDITIONS[c]))
     valid = (F.col("status") != "undefined").alias("valid")
-    return hours.groupBy(*RUN, "month", "hour", valid).agg(*[e.alias(n) for n, e in out.items()])
+    gaps = [e.alias(n) for n, e in _gaps().items()]
+    return hours.groupBy(*RUN, "month", "hour", valid, *gaps).agg(*[e.alias(n) for n, e in out.items()])
 
 
 def kpis_of_parts(parts: DataFrame) -> DataFrame:

@@ -321,18 +321,17 @@ def clear_hours(hours: DataFrame, constants: Constants, hydro: str = "profile")
         values += [pa.array(done.level, mask=np.isnan(done.level)), pa.array(done.shed), pa.array(done.spill)]
         return pa.StructArray.from_arrays(values, results)
 
-    # generated from a one-element array: a later filter on any result then stops
-    # above this column, where it would otherwise clear the hours once more
-    solved = ready.withColumn("_m", F.explode(F.array(cleared(*arguments))))
-    out = {c: F.when(F.col("_known"), F.col("_m")[c]) for c in results if c != "level"}
-    solved = solved.withColumns(out | {"_level": F.when(F.col("_known"), F.col("_m")["level"])})
-    priced = {
-        f"{s}_demand": F.expr(f"IF(_known, greatest(a_{s} - b_{s} * ({gross}D * _level), 0D), NULL)")
-        for s in fv.SECTORS
+    # said to vary, so that a later filter on any result stops above this column, where it would
+    # otherwise clear the hours once more
+    solved = ready.withColumn("_m", cleared.asNondeterministic()(*arguments))
+    # written out and not by each other's names: every level of names is one more copy of a wide row
+    known = {c: F.when(F.col("_known"), F.col("_m")[c]) for c in results}
+    at = F.lit(gross) * known.pop("level")
+    demands = {
+        f"{s}_demand": F.when(F.col("_known"), F.greatest(F.col(f"a_{s}") - F.col(f"b_{s}") * at, F.lit(0.0))) for s in fv.SECTORS
     }
-    priced["price"] = gross * F.col("_level") / 1000.0
-    priced["status"] = _status(F.col("_known"), F.col("spill") > 0, F.col("shed"))
-    return solved.withColumns(priced).drop("_known", "_m", "_level", *supply)
+    status = _status(F.col("_known"), known["spill"] > 0, known["shed"])
+    return solved.withColumns(known | demands | {"price": at / 1000.0, "status": status}).drop("_known", "_m", *supply)
 
 
 # --- accounts of a cleared hour --------------------------------------------------------------------
@@ -370,19 +369,18 @@ def costs_and_emissions(hours: DataFrame, constants: Constants) -> DataFrame:
             emitted.append(q * float(row["direct_e_tco2_gwh"]))
         yearly = float(row["fixed_om_Meur_gwy"]) * 1e6
         fixed.append(F.col(fv.CAPACITY_COLUMN[t]) * (yearly / fv.HOURS_PER_YEAR))
+    fuel_costs, direct, fixed_costs = (scalars.add_up(x) for x in (fuel, emitted, fixed))
+    # in one step: a level of names more is a copy of a wide row more
+    running = scalars.add_up(variable) + constants.voll * F.col("shed") + fuel_costs + F.col("eu_ets_price_eur_tco2") * direct
     return hours.withColumns(
         {
-            "fuel_costs": scalars.add_up(fuel),
-            "direct_emissions": scalars.add_up(emitted),
-            "fixed_costs": scalars.add_up(fixed),
+            "fuel_costs": fuel_costs,
+            "direct_emissions": direct,
+            "fixed_costs": fixed_costs,
+            "running_costs": running,
+            "total_costs": running + fixed_costs,
         }
-    ).withColumn(
-        "running_costs",
-        scalars.add_up(variable)
-        + constants.voll * F.col("shed")
-        + F.col("fuel_costs")
-        + F.col("eu_ets_price_eur_tco2") * F.col("direct_emissions"),
-    ).withColumn("total_costs", F.col("running_costs") + F.col("fixed_costs"))
+    )
 
 
 def generation_totals(hours: DataFrame, params: dict[str, float]) -> DataFrame:
@@ -391,23 +389,22 @@ def generation_totals(hours: DataFrame, params: dict[str, float]) -> DataFrame:
     def q(names):
         return scalars.add_up([F.col(f"q_{t}") for t in names])
 
-    summed = hours.withColumns(
+    renewable, low_carbon, other = q(fv.RENEWABLE), q(fv.LOW_CARBON), q(fv.NON_RENEWABLE)
+    total = renewable + other
+    return hours.withColumns(
         {
-            "non_renewable_gen": q(fv.NON_RENEWABLE),
-            "renewable_gen": q(fv.RENEWABLE),
-            "low_carbon_gen": q(fv.LOW_CARBON),
+            "non_renewable_gen": other,
+            "renewable_gen": renewable,
+            "low_carbon_gen": low_carbon,
             "storage_out": q(fv.STORAGE),
             "min_non_renewable_gen": floor_of_non_renewables(params),
             **{
                 f"curtailment_{t}": F.col(fv.CAPACITY_COLUMN[t]) * F.col(f"{t}_cap_factor") - F.col(f"q_{t}")
                 for t in fv.FACTOR_LIMITED
             },
-        }
-    ).withColumn("total_generation", F.col("renewable_gen") + F.col("non_renewable_gen"))
-    return summed.withColumns(
-        {
-            "share_renewable_gen": scalars.ratio("renewable_gen", "total_generation"),
-            "share_low_carbon_gen": scalars.ratio("low_carbon_gen", "total_generation"),
+            "total_generation": total,
+            "share_renewable_gen": scalars.ratio(renewable, total),
+            "share_low_carbon_gen": scalars.ratio(low_carbon, total),
         }
     )
 

@@ -122,3 +122,27 @@ def test_parts_take_one_pass(spark):
     hours = scratch.landed(with_stocks(spark, sf_path("0.001")), "hours")
     plan = ensemble.parts(hours)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_parts_count_known_values_by_what_hours_lack(spark):
+    """Hours of a part lack the same columns, so one count serves all of them; hours that lack others are parts of their own."""
+    from driver_queries.ensemble_queries import with_stocks
+    from gridpanel.sources import scratch
+    from tests.oracle import sf_path
+
+    hours = scratch.landed(with_stocks(spark, sf_path("0.001")), "hours")
+    day = F.dayofmonth("ts")
+    names = {"coal_cap_gw": day % 2 == 0, "q_wind": day % 3 == 0, "price": day % 5 < 4, "cost_gas_eur_gwh": F.lit(True), "battery_charge": F.col("iteration") % 2 == 0}
+    hours = hours.withColumns({c: F.when(~gone, F.col(c)).cast("double") for c, gone in names.items()})
+    parts = scratch.landed(ensemble.parts(hours), "parts")
+    assert not [c for c in parts.columns if c.startswith("n_")]
+    valid = ensemble.valid_hours(hours)
+    for one, other in (
+        (ensemble.kpis_of_parts(parts), ensemble.iteration_kpis(valid)),
+        (ensemble.profile_of_parts(parts, "hour"), ensemble.period_profile(valid, "hour")),
+        (ensemble.inputs_of_parts(parts), ensemble.realised_inputs(hours)),
+    ):
+        keys = [c for c in ("scenario", "iteration", "hour", "month") if c in other.columns]
+        a, b = (df.toPandas().sort_values(keys).reset_index(drop=True) for df in (one, other))
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-9)
+        assert b.isna().any().any()

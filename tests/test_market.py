@@ -210,3 +210,17 @@ def test_hours_that_lack_an_input(spark, hours):
 def test_snap(spark):
     df = market.snapped(spark.createDataFrame([(5e-4,), (-5e-4,), (2e-3,)], "x double"), ["x"])
     assert [r[0] for r in df.collect()] == [0.0, 0.0, 2e-3]
+
+
+def test_accounts_of_an_hour_are_few_copies_of_a_row(spark):
+    """Each level of names is one more copy of some hundred columns for every hour."""
+    from driver_queries.market_queries import dispatched
+    from tests.oracle import sf_path
+
+    hours = dispatched(spark, sf_path("0.001"))
+    wide = hours.select(*[c for c in hours.columns if c not in ("ts",)], "ts")
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("ArrowEvalPython")]
+    assert above.count("Project") <= 5 and "Generate" not in above
+    filtered = wide.where("price > 50 AND status = 'cleared'")._jdf.queryExecution().optimizedPlan().toString()
+    assert filtered.count("cleared(") == 1
